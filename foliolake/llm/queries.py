@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import bpe_codec, token_store
+from foliolake.llm import bpe_codec, quality_rules, token_store
 from foliolake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,32 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "token-planes")
     token_store.write_ids(table(spark, sf_dir, "documents"), out)
     return token_store.read_ids(spark, out).select("doc_id", "start", "n_tokens", token_store.ids_crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    out = quality_rules.quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op1_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+    length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g')) AS n_upper FROM w),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT doc_id, i, word, lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS more
+    FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, i, more IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, more) > 1 AS twice FROM g),
+c AS (SELECT doc_id, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM t),
+r AS (SELECT doc_id, sum(hit) AS n_repeat_words FROM c GROUP BY doc_id),
+a AS (SELECT m.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT (base_failed OR 100 * n_symbols > 8 * word_chars OR 100 * n_upper > 50 * word_chars OR 1000 * n_dup_lines > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM b
+"""
