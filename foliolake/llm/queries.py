@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import bpe_codec, quality_rules, token_store
+from foliolake.llm import bpe_codec, pii, quality_rules, token_store
 from foliolake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words
     NOT (base_failed OR 100 * n_symbols > 8 * word_chars OR 100 * n_upper > 50 * word_chars OR 1000 * n_dup_lines > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
+
+
+def _is(i: int) -> Callable[[Column], Column]:
+    return lambda k: k == i
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("pii", lambda s: s["kind"])
+    n = [F.size(F.filter(kinds, _is(i))) for i in range(pii.BASE)]
+    base = F.filter("pii", lambda s: s["kind"] < pii.BASE)
+    return found.select("doc_id", *(x.cast("long").alias(f"n_{k.name}") for x, k in zip(n, pii.KINDS)), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))

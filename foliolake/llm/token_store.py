@@ -100,7 +100,7 @@ def write_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "
     path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
     given = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = given.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = given.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
