@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import bpe_codec, decontaminate, language, pii, quality_rules, simhash, token_store, toxicity
+from foliolake.llm import bpe_codec, decontaminate, language, pii, quality_rules, repeats, simhash, token_store, toxicity
 from foliolake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     given = docs.select("doc_id", language.held_out().alias("held_out"), "text")
     return language.predict(given, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that come again."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
