@@ -5,25 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import bpe_codec
-from foliolake.llm.common import stored
+from foliolake.llm import bpe_codec, decontaminate, pii, simhash, toxicity
+from foliolake.llm.common import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labelled ones, doesn't call toxic."""
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.TARGETS)
+    return toxicity.score(docs.select(COLUMNS), chain).where(F.col("p_toxic") < toxicity.THRESHOLD).select(COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    found = simhash.near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.select(COLUMNS).join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])  # rows of one id are copies or in one component; the join has dealt them by it
+
+
+def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a contaminating share of benchmark words."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:]))
+    return found.where(~decontaminate.contaminated()).select(COLUMNS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced by its kind."""
+    found = pii.find(docs.select(COLUMNS)).withColumn("text", pii.redacted(F.col("text"), F.col("pii")))
+    return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, and the text decoded from them."""
-    ids = bpe_codec.encode(docs.withColumn("given", F.col("text")), text_col="given")
-    return bpe_codec.decode(ids).withColumn("decoded", F.col("decoded").cast("string"))
+    """Every document's ids and their number; its text is what the ids decode to."""
+    ids = bpe_codec.encode(docs.select(COLUMNS))
+    out = bpe_codec.decode(ids).withColumn("text", F.col("decoded").cast("string"))
+    return out.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [
+    ("toxicity", not_toxic),
+    ("simhash", one_of_each),
+    ("decontamination", not_contaminated),
+    ("personal_data", without_personal_data),
+    ("bpe", tokens),
+]
 
-#: Toxicity and language models are trained: SQL can't express them.
+#: The toxicity models are trained: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,10 +71,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = hits.groupBy("_key").agg(F.collect_set(F.struct((F.col("pos") - F.col("off") + 1).alias("start"), "len", "win", "item_id")).alias("found"))
 
     # The texts are shuffled, not their words, which take more room.
-    rows = docs.select(key, F.col(f"`{id_col}`").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), text.alias("_text"))
-    both = rows.join(found.hint("merge"), "_key", "left").withColumn("w", words(F.col("_text")))
-    true = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"], c["len"]), " ") == c["win"])
-    both = both.select("doc_id", *(F.col(f"`{c}`") for c in keep), F.size("w").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), true).alias("found"))
+    at = text_col if text_col in keep else "_text"
+    rows = docs.select(key, F.col(f"`{id_col}`").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), *([] if at in keep else [text.alias(at)]))
+    both = rows.join(found.hint("merge"), "_key", "left").withColumn("_w", words(F.col(f"`{at}`")))
+    true = F.filter("found", lambda c: F.array_join(F.slice("_w", c["start"], c["len"]), " ") == c["win"])
+    both = both.select("doc_id", *(F.col(f"`{c}`") for c in keep), F.size("_w").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), true).alias("found"))
     covered = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("found", lambda c: F.struct(c["start"].alias("s"), c["len"].alias("n")))), lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1))))
     named = F.array_sort(F.array_distinct(F.transform("found", lambda c: c["item_id"])))
     both = both.select("doc_id", *(F.col(f"`{c}`") for c in keep), "n_words", F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(named, F.array().cast("array<string>")).alias("items"))
