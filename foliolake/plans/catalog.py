@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from foliolake.plans import q_chapters, q_charmap, q_layout, q_scalars, q_sources, q_stats, q_text, q_trees  # noqa: F401
+from foliolake.plans.registry import QUERIES, SQL  # noqa: F401
