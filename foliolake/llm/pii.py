@@ -120,23 +120,24 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", kinds: lis
     in code points, end exclusive.
 
     A null or empty text has no spans. Weaker kinds than the base don't overlap a base span. Rows are judged alone, so
-    repeated rows, null keys and an empty table need no rule; a column named ``out_col`` is replaced.
+    repeated rows, null keys and an empty table need no rule; a column named ``out_col`` is replaced, and names that begin
+    with ``__pii_`` are the operator's own.
     """
     kinds = kinds or KINDS
     text = F.col(f"`{text_col}`")
-    found = df.select(*(c for c in map(lambda c: F.col(f"`{c}`"), (c for c in df.columns if c != out_col))), *(matches(text, k).alias(f"_pii{i}") for i, k in enumerate(kinds)))
+    found = df.select(*(c for c in map(lambda c: F.col(f"`{c}`"), (c for c in df.columns if c != out_col))), *(matches(text, k).alias(f"__pii_{i}") for i, k in enumerate(kinds)))
 
     def spans(i: int, k: Kind) -> Column:
-        kept = F.filter(F.col(f"_pii{i}"), lambda m: confirmed(k, m["match"]) & ((F.lit(k.prior) >= THRESHOLD) if k.prior >= THRESHOLD else (score(text, k, m) >= THRESHOLD)))
+        kept = F.filter(F.col(f"__pii_{i}"), lambda m: confirmed(k, m["match"]) & ((F.lit(k.prior) >= THRESHOLD) if k.prior >= THRESHOLD else (score(text, k, m) >= THRESHOLD)))
         return F.transform(kept, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     base = F.concat(*(spans(i, k) for i, k in enumerate(kinds[:BASE])))
     more = F.concat(none, *(spans(i + BASE, k) for i, k in enumerate(kinds[BASE:])))
-    some = lambda part: F.lit(False) if not part else F.greatest(*(F.size(f"_pii{i}") for i in part), F.lit(0)) > 0
-    found = found.withColumn("_base", F.when(some(range(BASE)), base).otherwise(none)).withColumn("_more", F.when(some(range(BASE, len(kinds))), more).otherwise(none))
-    clear = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn(out_col, F.concat("_base", clear)).drop("_base", "_more", *(f"_pii{i}" for i in range(len(kinds))))
+    some = lambda part: F.lit(False) if not part else F.greatest(*(F.size(f"__pii_{i}") for i in part), F.lit(0)) > 0
+    found = found.withColumn("__pii_base", F.when(some(range(BASE)), base).otherwise(none)).withColumn("__pii_more", F.when(some(range(BASE, len(kinds))), more).otherwise(none))
+    clear = F.filter("__pii_more", lambda m: ~F.exists("__pii_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return found.withColumn(out_col, F.concat("__pii_base", clear)).drop("__pii_base", "__pii_more", *(f"__pii_{i}" for i in range(len(kinds))))
 
 
 def redacted(text: Column, spans: Column, kinds: list[Kind] | None = None) -> Column:
