@@ -26,17 +26,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes one scratch path that this library wrote, through Hadoop's file system of that path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage ends at files that outlive an
     executor, and what follows sees true sizes."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more, through Hadoop's file system of their path."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

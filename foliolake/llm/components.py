@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.llm.common import stored
+from foliolake.llm.common import drop, stored
 
 #: Rounds needed grow with the logarithm of the longest chain; this many would do for any graph that can be stored.
 MOST_ROUNDS = 100
@@ -46,7 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        now = stored(_small_star(_large_star(now)), "links")
+        last, now = now, stored(_small_star(_large_star(now)), "links")
+        drop(last)
         before, mark = mark, _mark(now)
         if mark == before and _stars(now):
             break

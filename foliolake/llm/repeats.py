@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.llm.common import stored
+from foliolake.llm.common import drop, stored
 
 WINDOW = 200
 GRAM = 32
@@ -257,6 +257,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(_run_rows(df, id_col, text_col), "runs")
     again = rows.groupBy("small").agg(F.sum("times").alias("times")).where("times >= 2").select("small")
     shared = stored(rows.select("key", "small", "whole").join(again.hint("merge"), "small"), "shared-runs")
+    drop(rows)
     counts = shared.groupBy("small", "whole").agg(F.count("*").alias("n"))
     # For every smallest hash: how many different runs, and how many of them come once.
     kinds = counts.groupBy("small").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("edges"))
@@ -274,5 +275,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hits = _compare(edges.join(many.hint("shuffle_hash"), "small", "left_anti")).unionByName(_compare_crowd(edges.join(many.hint("merge"), "small", "left_semi")))
     full = status.where("n >= 2").select("small", "whole", F.lit(None).cast("array<bigint>").alias("hits"))
     verdict = stored(full.unionByName(hits), "verdicts")
+    drop(status, edges, many)
     found = shared.join(verdict.hint("merge"), ["small", "whole"]).groupBy("key").agg(F.collect_set(F.struct("small", "whole", "hits")).alias("found"))
     return _kept(_with_texts(df, id_col, text_col, found, "left"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.llm.common import stored
+from foliolake.llm.common import drop, stored
 from foliolake.llm.components import components
 
 SHINGLE = 4
@@ -103,6 +103,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(nodes.select("fp"), dense)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "fingerprint-roots")
+    drop(nodes)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids.hint("merge"), "root").select("fp", "component_id")
     return docs.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
