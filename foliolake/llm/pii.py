@@ -52,6 +52,27 @@ THRESHOLD = 0.8
 REACH = 40
 
 
+#: Matches whose lengths are summed at once, so that a text with very many of them costs no square.
+_BLOCK = 256
+
+
+def _running(rows: Column) -> Column:
+    """Places of matches from the gaps before them and their lengths: sums over blocks, then within the block."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(rows, b * _BLOCK + 1, _BLOCK)))
+    before = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["all"], a["at"] + n).alias("all")))["all"]
+
+    def place(before: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            block = F.floor(i / _BLOCK).cast("int")
+            start = F.get(before, block) + total(F.slice(rows, block * _BLOCK + 1, i - block * _BLOCK)) + x["gap"]
+            return F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["match"].alias("match"))
+
+        return F.transform(rows, one)
+
+    return F.transform(F.array(before), place)[0]
+
+
 def matches(text: Column, kind: Kind) -> Column:
     """array<struct<start, end, match>> of a pattern's leftmost non-overlapping matches, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -61,14 +82,8 @@ def matches(text: Column, kind: Kind) -> Column:
     def placed(found: Column) -> Column:
         # The text between matches has as many pieces as there are matches, and one more.
         pieces = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["piece"])
-            end = start + F.length(x["match"])
-            return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))).alias("out"))
-
-        return F.aggregate(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), zero, step)["out"]
+        rows = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("match")))
+        return F.transform(F.array(rows), _running)[0]
 
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     return F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))[0]
