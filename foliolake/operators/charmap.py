@@ -101,9 +101,9 @@ def overlay_differences(base: DataFrame, diffs: DataFrame, names: dict[str, str]
     placed = run.withColumn("start", F.coalesce(F.first("num", True).over(within), F.lit(0))).withColumn("k", F.count("glyph").over(within)).where("glyph IS NOT NULL")
     placed = placed.select("font_id", "seq", (F.col("start") + F.col("k") - 1).alias("code"), "glyph").where("code BETWEEN 0 AND 255")
     known = glyph_to_unicode(placed, "glyph", "uni", names).where("uni <> ''").groupBy("font_id", "code").agg(F.max_by("uni", "seq").alias("new"))
-    fonts = diffs.select("font_id").distinct()
-    full = fonts.join(F.broadcast(base.select("code", "uni")))  # 256 codes a font, as the result has
-    return full.join(known, ["font_id", "code"], "left").select("font_id", "code", F.coalesce("new", "uni").alias("uni"))
+    codes = diffs.select("font_id").distinct().select("font_id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("code"))
+    full = codes.join(F.broadcast(base.where("code BETWEEN 0 AND 255").select(F.col("code").cast("int").alias("code"), "uni")), "code")  # 256 rows at most
+    return full.join(known, ["font_id", "code"], "left").select("font_id", F.col("code").cast("long").alias("code"), F.coalesce("new", "uni").alias("uni"))
 
 
 def decode_codes(strings: DataFrame, fonts: DataFrame, cmap: DataFrame, encoding: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.plans import views as V
 from foliolake.plans.registry import query, table
 from foliolake.sources import files as S
+from foliolake.streaming import ingest
 
 
 @query(f"WITH {V.FILES} SELECT doc_id, path, regexp_extract(path, '[^.]*$') AS ext, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest FROM files_v")
@@ -72,3 +75,14 @@ def s6_import_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Summary line of every customer's orders as chapters."""
     c = table(spark, sf, "orders").selectExpr("o_custkey doc_id", "o_orderkey chap_no", "o_orderkey % 5 + 1 pages", "o_orderkey % 3 = 0 by_outline")
     return S.import_summary(c, table(spark, sf, "customer").selectExpr("c_custkey doc_id", "c_custkey % 4 = 0 scanned"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents")
+def s7_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that arrive as files of a table, imported by a stream that ends when all are in. (A pattern, as a stream
+    takes a path without one for a folder.)"""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    slim = lambda b: b.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+    ingest.ingest_table(spark, f"{sf}/documents.parque[t]", "doc_id long, text string", "doc_id", f"{base}/out", f"{base}/progress", slim).awaitTermination()
+    return ingest.latest(spark, f"{base}/out").select("doc_id", "digest", "n")

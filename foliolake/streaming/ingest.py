@@ -27,6 +27,16 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, g
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_table(spark: SparkSession, path: str, schema: str, key: str, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """As ingest_stream, for documents that arrive as Parquet files of a table: each row is a document by its key."""
+    rows = spark.readStream.format("parquet").schema(schema).load(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        (transform or (lambda x: x))(batch.withColumnRenamed(key, "doc_id")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
     """The rows of each document's newest batch: a file that is imported again replaces its book."""
     rows = spark.read.parquet(out)
