@@ -70,7 +70,7 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     full = stored(homes.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > dense), "full-buckets")
     any_full = not full.isEmpty()
     if any_full:
-        homes = homes.join(full.select("seg", "value", F.lit(True).alias("full")).hint("shuffle_hash"), ["seg", "value"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
+        homes = homes.join(full.select("seg", "value", F.lit(True).alias("full")).hint("merge"), ["seg", "value"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
         homes = stored(homes, "buckets")
     else:
         homes = homes.withColumn("full", F.lit(False))
@@ -80,14 +80,14 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     left = near.select("seg", "value", F.col("fp").alias("a"), F.col("full").alias("a_full"))
     right = homes.where(~F.col("full")).select("seg", "value", F.col("fp").alias("b"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = left.join(right.hint("shuffle_hash"), ["seg", "value"]).where((apart <= DISTANCE) & (F.col("a_full") & (F.col("a") != F.col("b")) | (F.col("b") < F.col("a")))).select("a", "b")
+    found = left.join(right.hint("merge"), ["seg", "value"]).where((apart <= DISTANCE) & (F.col("a_full") & (F.col("a") != F.col("b")) | (F.col("b") < F.col("a")))).select("a", "b")
     if any_full:
         masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
         signed = np.array(masks, np.uint64).view(np.int64).tolist()
         crowd = homes.where("full").select("fp").distinct()
         points = crowd.select("fp", F.explode(F.transform(F.lit(signed), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
         least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("point", "least")
-        found = found.unionByName(points.join(least.hint("shuffle_hash"), "point").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")))
+        found = found.unionByName(points.join(least.hint("merge"), "point").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")))
     return found.distinct()
 
 
