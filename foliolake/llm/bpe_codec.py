@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliolake.llm.pretokens import Encoder, mapped
+from foliolake.llm.pretokens import Encoder, mapped, packed
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Text that one Arrow batch from Python holds at most, but for a single longer one.
@@ -74,12 +74,14 @@ def _encoder(path: str, pattern: str) -> Encoder:
     ranks = read_ranks(path)
     model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
 
+    ids_of = model.encode
+
     def encode(tokens: list[str]) -> bytes:
         ids: list[int] = []
         for data in map(str.encode, tokens):
             whole = ranks.get(data)
-            ids += model.encode(mapped(data)) if whole is None else (whole,)
-        return np.array(ids, "<i4").tobytes()
+            ids += ids_of(mapped(data)) if whole is None else (whole,)
+        return packed(ids)
 
     return Encoder(regex.compile(pattern).findall, encode)
 
@@ -147,7 +149,9 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 column = part.column(ids_col)
-                data = pa.array((None if not x.is_valid else b"".join(map(piece, x.values.to_pylist())) for x in column), pa.binary())
+                ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+                held = column.is_valid().to_pylist()
+                data = pa.array([b"".join(map(piece, ids[i:j].tolist())) if ok else None for i, j, ok in zip(ends, ends[1:], held)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), data], [*kept, out_col])
 
     return given.mapInArrow(run, schema)

@@ -9,6 +9,8 @@ cut by the pattern itself.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 #: White space after a blank or line end, or one of these two at the end.
@@ -26,6 +28,14 @@ def mapped(data: bytes) -> str:
     return data.decode("latin-1").translate(BYTE_CHARS)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    out = array("i", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Memo(dict):
     """From pieces to their ids, little-endian 32-bit integers; what isn't known is computed. There are two generations
     of at most ``size`` pieces: when the young one is full, it becomes the old one."""
@@ -52,8 +62,9 @@ class Encoder:
     def __init__(self, findall: Callable[[str], list[str]], encode: Callable[[list[str]], bytes]):
         self.findall = findall
         self.pre = Memo(lambda p: encode([p]))
-        self.first = Memo(lambda p: encode(findall(p)) if p else b"")
-        self.rest = Memo(lambda p: encode(findall(" " + p)))
+        # A piece of letters alone is one pre-token, with or without a blank before it.
+        self.first = Memo(lambda p: encode([p] if p.isalpha() else findall(p)) if p else b"")
+        self.rest = Memo(lambda p: encode([" " + p] if p.isalpha() else findall(" " + p)))
         self.line_end = encode(["\n"])
 
     def __call__(self, text: str) -> bytes:
