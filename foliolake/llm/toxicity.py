@@ -29,6 +29,7 @@ MOST_FEATURES = 2_000
 SUPPORT, RATIO = 5, 20.0
 #: Lengths of word beginnings.
 BEGINNINGS = (3, 4, 5, 6, 7)
+GATE = min(BEGINNINGS)
 FOLDS = 5
 RIDGE = 1e-4
 STEPS = 200
@@ -39,8 +40,12 @@ PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97),
 SIGNS = "#*$%&|<>!"
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in (x.strip(PUNCTUATION) for x in text.lower().split()) if w]
+def _words(text: str) -> tuple[int, set[str]]:
+    """How many words a text has, and its distinct ones without the signs around them."""
+    every = text.lower().split()
+    distinct = {x.strip(PUNCTUATION) for x in set(every)}
+    distinct.discard("")
+    return len(every), distinct
 
 
 def _strings(word: str) -> list[str]:
@@ -77,7 +82,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by accelerated gradient steps; the last column is the constant."""
     x = x.astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         w[-1] = 6 if len(y) and y[0] else -6
         return w.astype(float)
     v = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
@@ -106,13 +111,12 @@ def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str]) -> Ch
     of_word: dict[str, np.ndarray] = {}
     rows, shares = [], []
     for t in texts:
-        w = _words(t)
-        distinct = set(w)
+        n_words, distinct = _words(t)
         for x in distinct:
             if x not in of_word:
                 of_word[x] = np.array([ids.setdefault(s, len(ids)) for s in _strings(x)])
         rows.append(np.unique(np.concatenate([of_word[x] for x in distinct])) if distinct else np.zeros(0, int))
-        shares.append(_shares(t, len(w), len(distinct)))
+        shares.append(_shares(t, n_words, len(distinct)))
     n, names = len(texts), list(ids)
     inside = np.bincount(np.concatenate(rows), minlength=len(ids)) if rows else np.zeros(0, int)
     score = np.zeros(len(ids))
@@ -169,16 +173,9 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     schema = T.StructType([*given.schema.fields, *(T.StructField(c, T.DoubleType()) for c in made)])
 
     def run(it):
-        chain, of_word = held.value, {}
+        chain = held.value
         find = chain.features.get
-
-        def columns(word: str) -> tuple[int, ...]:
-            found = of_word.get(word)
-            if found is None:
-                if len(of_word) > 500_000:
-                    of_word.clear()
-                found = of_word[word] = tuple(i for i in map(find, _strings(word)) if i is not None)
-            return found
+        starts = {f.rstrip("\n")[:GATE] for f in chain.features}  # most words begin like no feature, and are done with that
 
         for batch in it:
             for start in range(0, batch.num_rows, 512):
@@ -186,11 +183,10 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
                 x = np.zeros((part.num_rows, len(chain.features)), np.float32)
                 shares = np.zeros((part.num_rows, SHARES))
                 for i, t in enumerate(part.column(text_col).to_pylist()):
-                    w = _words(t or "")
-                    distinct = set(w)
-                    shares[i] = _shares(t or "", len(w), len(distinct))
-                    for c in map(columns, distinct):
-                        if c:
+                    n_words, distinct = _words(t or "")
+                    shares[i] = _shares(t or "", n_words, len(distinct))
+                    for c in {find(s) for w in distinct if w[:GATE] in starts for s in _strings(w)}:
+                        if c is not None:
                             x[i, c] = 1
                 p = chain.probabilities(x, shares)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(p[:, k]) for k in range(len(made)))], [*kept, *made])
