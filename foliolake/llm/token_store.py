@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake.llm.bpe_codec import list_array
-from foliolake.llm.pretokens import Encoder, mapped
+from foliolake.llm.pretokens import Encoder, mapped, packed
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC = b"BPS1"
@@ -83,7 +83,7 @@ def _encoder(path: str, pattern: str) -> Encoder:
     model = tokenizer.model  # the BPE itself: the texts are cut by the pattern before, and special tokens aren't looked for
 
     def encode(tokens: list[str]) -> bytes:
-        return np.array([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))], "<i4").tobytes()
+        return packed([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))])
 
     return Encoder(regex.compile(pattern).findall, encode)
 
