@@ -106,7 +106,7 @@ def rules() -> list[Rule]:
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 8 * c, ("n_symbols", "word_chars")),
         Rule("capitals", 100 * F.col("n_upper") > 50 * c, ("n_upper", "word_chars")),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") * 10 > 30 * n, ("n_dup_lines", "n_words")),
+        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 3 * n, ("n_dup_lines", "n_words")),
         Rule("word_length", (c < 2 * n) | (c > 20 * n), ("word_chars", "n_words")),
     ]
 

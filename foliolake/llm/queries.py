@@ -64,7 +64,7 @@ r AS (SELECT doc_id, sum(hit) AS n_repeat_words FROM c GROUP BY doc_id),
 a AS (SELECT m.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-    NOT (base_failed OR 100 * n_symbols > 8 * word_chars OR 100 * n_upper > 50 * word_chars OR 1000 * n_dup_lines > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+    NOT (base_failed OR 100 * n_symbols > 8 * word_chars OR 100 * n_upper > 50 * word_chars OR 100 * n_dup_lines > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
 
