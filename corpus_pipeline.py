@@ -28,7 +28,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a contaminating share of benchmark words."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:]))
-    return found.where(~decontaminate.contaminated()).select(COLUMNS)
+    return found.where(~F.col("contaminated")).select(COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

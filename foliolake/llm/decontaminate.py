@@ -52,7 +52,7 @@ def windows(items: DataFrame, frequency: DataFrame, window: int = WINDOW) -> Dat
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the columns ``keep``, n_words, n_hit (words inside an occurrence of a
-    window), n_items and items (item ids as strings, sorted).
+    window), items (item ids as strings, sorted), n_items and contaminated. ``keep`` must not have these names.
 
     A null or empty text has no words and no hits; a null or empty item no windows. Equal items are all named. Rows of
     the same key, null keys included, share their candidates, but each row is verified against its own words. With an
@@ -73,16 +73,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # The texts are shuffled, not their words, which take more room.
     at = text_col if text_col in keep else "_text"
     rows = docs.select(key, F.col(f"`{id_col}`").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), *([] if at in keep else [text.alias(at)]))
-    both = rows.join(found.hint("merge"), "_key", "left").withColumn("_w", words(F.col(f"`{at}`")))
-    true = F.filter("found", lambda c: F.array_join(F.slice("_w", c["start"], c["len"]), " ") == c["win"])
-    both = both.select("doc_id", *(F.col(f"`{c}`") for c in keep), F.size("_w").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), true).alias("found"))
-    covered = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("found", lambda c: F.struct(c["start"].alias("s"), c["len"].alias("n")))), lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1))))
-    named = F.array_sort(F.array_distinct(F.transform("found", lambda c: c["item_id"])))
-    both = both.select("doc_id", *(F.col(f"`{c}`") for c in keep), "n_words", F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(named, F.array().cast("array<string>")).alias("items"))
-    both = both.withColumn("n_hit", F.greatest("n_hit", F.lit(0)))  # the size of a null array is -1
-    return both.withColumn("n_items", F.size("items").cast("long"))
-
-
-def contaminated() -> Column:
-    """The contract's verdict over n_hit and n_words."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    both = rows.join(found.hint("merge"), "_key", "left")
+    # One expression a row: words, then true candidates, are each bound to a name, so that however the optimizer moves
+    # this, a filter on the verdict included, a text is cut once and not once a candidate.
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    result = once(words(F.col(f"`{at}`")), lambda w: once(F.filter("found", lambda c: F.array_join(F.slice(w, c["start"], c["len"]), " ") == c["win"]), lambda t: _counted(w, t)))
+    both = both.select("doc_id", *(F.col(f"`{c}`") for c in keep), once(result, lambda r: F.struct(r["n_words"], r["n_hit"], r["items"], contaminated(r["n_hit"], r["n_words"]).alias("contaminated"))).alias("_r"))
+    return both.select("doc_id", *(F.col(f"`{c}`") for c in keep), "_r.n_words", "_r.n_hit", "_r.items", F.size("_r.items").cast("long").alias("n_items"), "_r.contaminated")
+
+
+def _counted(w: Column, true: Column) -> Column:
+    """struct<n_words, n_hit, items> of a document's words and the true candidates, null if it has none."""
+    places = F.array_distinct(F.transform(true, lambda c: F.struct(c["start"].alias("s"), c["len"].alias("n"))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(places, lambda c: F.sequence(c["s"], c["s"] + c["n"] - 1)))))
+    named = F.array_sort(F.array_distinct(F.transform(true, lambda c: c["item_id"])))
+    return F.struct(F.size(w).cast("long").alias("n_words"), F.when(true.isNull(), 0).otherwise(covered).cast("long").alias("n_hit"), F.coalesce(named, F.array().cast("array<string>")).alias("items"))
+
+
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    """The contract's verdict."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
