@@ -1,16 +1,21 @@
 """Operator 3: main text of web pages by template deduction over the pages of a host.
 
-1. Every page is cut into tokens: a tag with its path of open elements and their classes, or a whole block of text with
-   its path. Its occurrence vector has, for each page of the host, how often the token comes. The vector is never
-   stored: pages are hashed with their counts and combined by exclusive or, with partial aggregation, so a host with a
-   third of all pages is no larger than another.
-2. Tokens of a host with the same vector form an equivalence class. A class is valid if it has at least ``CLASS`` tokens
-   and comes on at least ``SHARE`` of the host's pages and on ``SUPPORT`` pages; valid classes nest by their paths into the
-   host's template. As a token must be on half of the pages, a template has at most twice as many tokens as an average
-   page.
-3. What is left in the slots between template tokens is content. Slots inside elements that are chrome by name or class
-   (menus, headers, footers, sidebars, notices, adverts, forms, comments) are dropped; where a page has an article or
-   main element, its slots are the text, and else all other slots but those that are mostly links.
+1. Every page is cut into tokens: a tag with its class and the names of the elements around it, or a whole block of text
+   with these names. A token's occurrence vector has, for each different page of the host, how often the token comes.
+   The vector is never stored: pages are hashed with their counts and combined by exclusive or, with partial aggregation,
+   so a host with a third of all pages is no larger than another. Copies of a page count once.
+2. Tokens of a host with the same vector form an equivalence class. A class is valid if it comes on at least ``SHARE`` of
+   the host's pages and on ``SUPPORT`` pages and has a size of at least ``CLASS``, where a block counts its words and a
+   tag its start and end. The tokens of the valid classes are the host's template. As a token must be on half of the
+   pages, a template has at most twice as many tokens as an average page.
+3. Every page is cut by the template: its template elements nest by their paths, and what stands between two template
+   tokens of one of them is a slot. Over the host's pages the text in slots is summed for each template element; the
+   smallest element that is met once a page and holds more than half is the host's main element.
+4. Template text is dropped on every page, inside an article too. Slots in the main element are the text, all other
+   slots too but those that are mostly links. Names decide where this leaves it open: an article around the main
+   element, or on pages without one, stands for it and then other slots are dropped; elements that are chrome by name or
+   class (menus, footers, sidebars, notices, adverts, forms, comments) are dropped.
+   A page that has nothing but its host's template keeps the template text of its main element or article.
 
 References are decoded, white space in a block becomes one blank, and blocks are joined in page order.
 """
@@ -22,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +54,8 @@ CHROME_NAME = re.compile(
     r"(?<![a-z])(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|sidebar|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|gdpr|"
     r"notices?|alert|newsletter|subscri[a-z]*|sign-?up|log-?in|comments?|commentlist|respond|repl(?:y|ies)|discuss[a-z]*|disqus|share|sharing|social|related|recommend[a-z]*|popup|modal|overlay|widget|search|pagination|pager|toolbar|skip-?link)(?![a-z])"
 )
+#: Around articles that are not the page's own.
+_OTHERS = re.compile("comment|repl|respond|discuss|related|recommend")
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
     re.S | re.I,
@@ -56,23 +64,45 @@ _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\
 _HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
+#: Elements that can be a host's main element.
+CONTAINERS = frozenset("article main section div td table form center blockquote".split())
+_DIGITS = re.compile("[0-9]+")
+
+
+@dataclass
+class Element:
+    """An element of a page. path: names of the elements around it and its own; label: its class, id and role; up: place
+    of the element around it, -1 without."""
+
+    path: str
+    name: str
+    label: str
+    hidden: bool
+    up: int
+    depth: int
+
+    @property
+    def token(self) -> int:
+        return _hash(f"{self.path}.{_DIGITS.sub('0', self.label)}" if self.label else self.path)
+
+
 @dataclass
 class Block:
-    """A block of text. path: names of its open elements; chrome, article: whether it is inside such; links: characters
-    in links."""
+    """A block of text. path: names of its open elements; up: place of the innermost one; at: elements begun before its
+    end; links: characters in links."""
 
     path: str
     text: str
-    chrome: bool
-    article: bool
+    up: int
+    at: int
     links: int
 
 
-def parse(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks of text and tag tokens of a page, in order."""
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """Elements and blocks of text of a page, in order."""
     blocks: list[Block] = []
-    tags: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, inside chrome, inside an article
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # name, place in elements
     held: list[str] = []
     link_chars = at = in_link = 0
 
@@ -81,8 +111,8 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                _, path, chrome, article = stack[-1] if stack else ("", "", False, False)
-                blocks.append(Block(path, text, chrome, article, link_chars))
+                up = stack[-1][1] if stack else -1
+                blocks.append(Block(elements[up].path if stack else "", text, up, len(elements), link_chars))
             held.clear()
         link_chars = 0
 
@@ -120,51 +150,144 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         ends = IMPLIED.get(name)
         while ends and stack and stack[-1][0] in ends | {"b", "i", "em", "strong", "a", "span", "font"} and any(s[0] in ends for s in stack[-6:]):
             close(len(stack) - 1)
-        _, path, chrome, article = stack[-1] if stack else ("", "", False, False)
-        label = ""
-        if m[4]:
-            label = " ".join(x.strip("\"'").lower() for x in _NAMED.findall(m[4]))
-            chrome = chrome or (name not in ("body", "html", "article", "main") and bool(CHROME_NAME.search(label))) or bool(_HIDDEN.search(m[4]))
-        chrome = chrome or name in CHROME or (name == "header" and not article) or name == "head"
-        if name in ("article", "main") and not (label and CHROME_NAME.search(label)):
-            # An article in a menu or advert that was never closed is an article all the same; a reader's comment isn't.
-            if chrome and not any(re.search("comment|repl|respond|discuss|related|recommend", s[1]) for s in stack[-1:]):
-                chrome = False
-            article = article or not chrome
-        elif name == "article" and label and CHROME_NAME.search(label):
-            chrome = True
-        path = f"{path}/{name}.{label}" if label else f"{path}/{name}"
-        if len(path) > 400:
-            path = path[-400:]
-        tags.append(path)
+        up = stack[-1][1] if stack else -1
+        path, depth = (elements[up].path, elements[up].depth + 1) if stack else ("", 0)
+        label = " ".join(x.strip("\"'").lower() for x in _NAMED.findall(m[4])) if m[4] else ""
+        elements.append(Element(f"{path}/{name}"[-400:], name, label, bool(m[4] and _HIDDEN.search(m[4])), up, depth))
         if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, path, chrome, article))
+            stack.append((name, len(elements) - 1))
             in_link += name == "a"
     if at < len(page):
         held.append(page[at:])
     flush()
-    return blocks, tags
+    return elements, blocks
 
 
 def _hash(path: str, text: str = "") -> int:
     return xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
 
 
-def tokens(page: str) -> Counter:
-    """Occurrences of the page's tokens."""
-    blocks, tags = parse(page)
-    return Counter([*map(_hash, tags), *(_hash(b.path, b.text) for b in blocks)])
-
-
-def main_text(page: str, template: frozenset | set = frozenset()) -> str:
-    """The text in the content slots of a page. template: tokens of its host's template."""
-    blocks, _ = parse(page)
-    inside = [b for b in blocks if b.article and not b.chrome]
-    if not inside:
-        open_ = [b for b in blocks if not b.chrome]
-        slots = [b for b in open_ if _hash(b.path, b.text) not in template]
-        inside = [b for b in slots or open_ if 2 * b.links <= len(b.text)]
-    return "\n\n".join(b.text for b in inside)
+def tokens(page: str) -> dict[int, tuple[int, int]]:
+    """Occurrences of the page's tokens, and their sizes: words of a block, 2 of a tag, 1 of a tag without content."""
+    elements, blocks = parse(page)
+    out: dict[int, tuple[int, int]] = {}
+    for token, size in chain(((e.token, 1 if e.name in VOID else 2) for e in elements), ((_hash(b.path, b.text), b.text.count(" ") + 1) for b in blocks)):
+        out[token] = (out.get(token, (0, 0))[0] + 1, size)
+    return out
+
+
+class Cut:
+    """A page cut by its host's template (``known``, its tokens; empty without one).
+
+    fixed: whether an element is of the template; open: the blocks in slots; slot: the slot of each of these, its
+    innermost template element and the last template token before it; held: characters of open blocks in each element."""
+
+    def __init__(self, page: str, known: frozenset | set):
+        self.elements, self.blocks = parse(page)
+        self.tokens = [e.token for e in self.elements]
+        self.known, self.fixed = known, [t in known for t in self.tokens]
+        home: list[int] = []  # the innermost template element in which an element is, or itself
+        hidden: list[bool] = []
+        for i, e in enumerate(self.elements):
+            home.append(i if self.fixed[i] else home[e.up] if e.up >= 0 else -1)
+            hidden.append(e.hidden or e.up >= 0 and hidden[e.up])
+        self.shown = [b for b in self.blocks if b.up < 0 or not hidden[b.up]]
+        self.open: list[Block] = []
+        self.slot: list[tuple[int, int, int]] = []
+        last = passed = at = 0
+        for b in self.shown:
+            while at < b.at:
+                at += 1
+                last = at if self.fixed[at - 1] else last
+            if known and _hash(b.path, b.text) in known:
+                passed += 1
+            else:
+                self.open.append(b)
+                self.slot.append((home[b.up] if b.up >= 0 else -1, last, passed))
+        self.held = self.sums(self.open)
+
+    def sums(self, blocks: list[Block]) -> list[int]:
+        """Characters of the blocks in each element."""
+        out = [0] * len(self.elements)
+        for b in blocks:
+            if b.up >= 0:
+                out[b.up] += len(b.text)
+        for i in range(len(out) - 1, -1, -1):
+            if self.elements[i].up >= 0:
+                out[self.elements[i].up] += out[i]
+        return out
+
+    def around(self, up: int) -> Iterator[int]:
+        """Places of an element and of those around it."""
+        while up >= 0:
+            yield up
+            up = self.elements[up].up
+
+    def weights(self) -> Iterator[tuple[int, int, int]]:
+        """Token, depth and characters in slots of the template elements that come once and can be a main element."""
+        n = Counter(self.tokens)
+        for i, e in enumerate(self.elements):
+            if self.fixed[i] and e.name in CONTAINERS and n[self.tokens[i]] == 1:
+                yield self.tokens[i], e.depth, self.held[i]
+
+    def main(self, token: int | None) -> int:
+        """Place of the main element: that with the host's token, or without one the smallest container that holds more
+        than half of the page's open text; -1 without. An article around it stands for it."""
+        if token is not None:
+            i = next((i for i, t in enumerate(self.tokens) if t == token), -1)
+        else:
+            most = sum(len(b.text) for b in self.open)
+            large = [i for i, e in enumerate(self.elements) if e.name in CONTAINERS and 2 * self.held[i] > most]
+            i = max(large, key=lambda i: self.elements[i].depth, default=-1)
+        for k in self.around(i):
+            i = k if self.elements[k].name in ("article", "main") else i
+        return i
+
+    def chrome(self, main: int) -> tuple[list[bool], list[bool]]:
+        """Whether each element is chrome by name, and whether it is in an article."""
+        chrome: list[bool] = []
+        article: list[bool] = []
+        for i, e in enumerate(self.elements):
+            off, inside = (chrome[e.up], article[e.up]) if e.up >= 0 else (False, False)
+            named = e.label and bool(CHROME_NAME.search(e.label))
+            off = off or e.name in CHROME or e.name == "head" or (e.name == "header" and not inside) or (e.name not in ("body", "html", "article", "main") and named)
+            if e.name in ("article", "main") and not named:
+                # An article in a menu or advert that was never closed is an article all the same; a reader's comment isn't.
+                if off and not (e.up >= 0 and _OTHERS.search(self.elements[e.up].label)):
+                    off = False
+                inside = inside or not off
+            elif e.name == "article" and named:
+                off = True
+            chrome.append(off)
+            article.append(inside)
+        return chrome, article
+
+    def text(self, token: int | None) -> list[Block]:
+        """The blocks of the main text. token: that of the host's main element."""
+        main = self.main(token)
+        chrome, article = self.chrome(main)
+        in_main = lambda b: main >= 0 and main in self.around(b.up)
+        on = lambda b: b.up < 0 or not chrome[b.up]
+        inside = lambda b: b.up >= 0 and article[b.up]
+        if any(inside(b) and on(b) for b in self.shown):
+            named = main >= 0 and self.elements[main].name in ("article", "main") or token is None or main < 0
+            whole = [b for b in self.shown if on(b) and (inside(b) if named else inside(b) or in_main(b))]
+            left = set(map(id, self.open))
+            return [b for b in whole if id(b) in left] or whole
+        links: Counter = Counter()
+        chars: Counter = Counter()
+        for b, slot in zip(self.open, self.slot, strict=True):
+            links[slot] += b.links
+            chars[slot] += len(b.text)
+        # Without a main element a slot may hold menu and text alike: there, blocks that are nothing but a link.
+        linked = lambda b, slot: 2 * links[slot] > chars[slot] if main >= 0 and self.known else b.links >= len(b.text)
+        kept = [b for b, slot in zip(self.open, self.slot, strict=True) if on(b) and (in_main(b) or not linked(b, slot))]
+        return kept or [b for b in self.shown if on(b) and (main < 0 or in_main(b)) and b.links < len(b.text)]
+
+
+def main_text(page: str, template: frozenset | set = frozenset(), main: int | None = None) -> str:
+    """The text in the content slots of a page. template: tokens of its host's template; main: that of its main element."""
+    return "\n\n".join(b.text for b in Cut(page, template).text(main))
 
 
 def host(url_col: str) -> Column:
@@ -173,10 +296,22 @@ def host(url_col: str) -> Column:
     return F.when(found != "", found)
 
 
+def _known(template: pa.Scalar, host: str | None, held: dict) -> frozenset:
+    """A template as a set; ``held`` has those of the last hosts."""
+    if not template.is_valid:
+        return frozenset()
+    if host not in held:
+        if len(held) >= 64:
+            held.clear()
+        held[host] = frozenset(template.values.to_numpy().view(np.uint64).tolist())
+    return held[host]
+
+
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host and template (array of token hashes) of every host that has valid classes. Pages without host or html have
-    no part in this."""
-    given = pages.select(host(url_col).alias("host"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{html_col}`")).alias("page"), F.col(f"`{html_col}`").alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
+    no part in this, and copies of a page on its host count once."""
+    given = pages.select(host(url_col).alias("host"), F.xxhash64(F.col(f"`{html_col}`")).alias("page"), F.col(f"`{html_col}`").alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
+    names = given.select("host", "page").distinct()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -185,20 +320,44 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 counted = [tokens(x) for x in part.column("html").to_pylist()]
                 sizes = [len(c) for c in counted]
                 token = np.fromiter((t for c in counted for t in c), np.uint64, sum(sizes))
-                n = np.fromiter((v for c in counted for v in c.values()), np.uint64, sum(sizes))
+                n = np.fromiter((v for c in counted for v, _ in c.values()), np.uint64, sum(sizes))
+                size = np.fromiter((v for c in counted for _, v in c.values()), np.int64, sum(sizes))
                 page = np.repeat(part.column("page").to_numpy().view(np.uint64), sizes)
                 mark = (page ^ (page >> np.uint64(31))) * (n * np.uint64(2) + np.uint64(0x9E3779B97F4A7C14 | 1))
                 hosts = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([part.column("host").take(hosts), pa.array(token.view(np.int64)), pa.array((mark ^ (mark >> np.uint64(29))).view(np.int64))], ["host", "token", "mark"])
+                yield pa.RecordBatch.from_arrays([part.column("host").take(hosts), pa.array(token.view(np.int64)), pa.array((mark ^ (mark >> np.uint64(29))).view(np.int64)), pa.array(size)], ["host", "token", "mark", "size"])
 
-    rows = given.mapInArrow(run, "host string, token bigint, mark bigint")
-    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor("mark").alias("vector")).where(F.col("support") >= SUPPORT)
-    n_pages = given.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT)
+    rows = given.dropDuplicates(["host", "page"]).mapInArrow(run, "host string, token bigint, mark bigint, size bigint")
+    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor("mark").alias("vector"), F.max("size").alias("size")).where(F.col("support") >= SUPPORT)
+    n_pages = names.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT)
     common = vectors.join(n_pages.hint("merge"), "host").where(F.col("support") >= SHARE * F.col("pages"))
-    classes = common.groupBy("host", "support", "vector").agg(F.count("*").alias("size"), F.collect_list("token").alias("tokens")).where(F.col("size") >= CLASS)
+    classes = common.groupBy("host", "support", "vector").agg(F.sum("size").alias("size"), F.collect_list("token").alias("tokens")).where(F.col("size") >= CLASS)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
+def main_elements(rows: DataFrame) -> DataFrame:
+    """host and main: the token of the main element of every host that has one. rows: host, html, template."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out: list[tuple] = []
+                for host_, page, template in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("template"), strict=True):
+                    cut = Cut(page, _known(template, host_, held))
+                    out.append((host_, None, 0, sum(len(b.text) for b in cut.open)))
+                    out.extend((host_, *w) for w in cut.weights())
+                token = pa.array([None if t is None else t - (t >> 63 << 64) for _, t, _, _ in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), token, pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())], ["host", "token", "depth", "chars"])
+
+    found = rows.where("template IS NOT NULL").select("host", "html", "template").mapInArrow(run, "host string, token bigint, depth bigint, chars bigint")
+    sums = found.groupBy("host", "token").agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
+    # A host's elements are at most its template's; the row without a token has all of the host's open text.
+    each = sums.groupBy("host").agg(F.max(F.when(F.col("token").isNull(), F.col("chars"))).alias("all"), F.collect_list(F.when(F.col("token").isNotNull(), F.struct("chars", (-F.col("depth")).alias("depth"), "token"))).alias("elements"))
+    return each.select("host", F.array_min(F.filter("elements", lambda e: 2 * e["chars"] > F.col("all")))["token"].alias("main")).where("main IS NOT NULL")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text.
 
@@ -211,16 +370,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     found = stored(templates(pages, id_col, url_col, html_col), "templates")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), host(url_col).alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     small = found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    rows = rows.join(F.broadcast(found) if small else found.hint("merge"), "host", "left").select("page_id", "url", "html", "template")
+    sided = lambda df: F.broadcast(df) if small else df.hint("merge")
+    mains = stored(main_elements(rows.join(sided(found), "host")), "main-elements")
+    found = found.join(mains.hint("merge"), "host", "left")
+    rows = rows.join(sided(found), "host", "left").select("page_id", "url", "host", "html", "template", "main")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = []
-                for page, template in zip(part.column("html").to_pylist(), part.column("template"), strict=True):
-                    known = set(template.values.to_numpy().view(np.uint64).tolist()) if template.is_valid else frozenset()
-                    texts.append(main_text(page, known))
+                for host_, page, template, main in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("template"), part.column("main").to_pylist(), strict=True):
+                    texts.append(main_text(page, _known(template, host_, held), None if main is None else main % 2**64))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))

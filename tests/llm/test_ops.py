@@ -354,3 +354,27 @@ def test_pii_scores_and_redaction(spark):
     out = {r["doc_id"]: r["t"] for r in df.select("doc_id", pii.redacted(F.col("text"), F.col("pii")).alias("t")).collect()}
     assert out[1].startswith("pay to account [IBAN] or GB82 WEST 1234 5698 7654 33; SSN [NATIONAL_ID], not") and out[1].endswith("[EMAIL] [CARD]")
     assert out[2] is None and out[3] == "none"
+
+
+# 3 html: the host's template decides inside articles too
+
+
+def pages_of(spark, pages, host="h.example"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html_text.extract(df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_html_template_cuts_articles(spark):
+    share = lambda i: "<p>Read all of our stories in the app</p>" if i != 4 else ""  # noqa: E731  not on every page: a class of its own
+    page = lambda i: f"<html><body><div class=top>Site {i}</div><article><h1>Title {i}</h1><p>Our paper is free for all</p><p>Own text {i} of some length</p>{share(i)}</article></body></html>"
+    got = pages_of(spark, [page(i) for i in range(6)])
+    assert got == [f"Title {i}\n\nOwn text {i} of some length" for i in range(6)]
+    # Copies of one page count once, so they are no template.
+    assert pages_of(spark, [page(1)] * 5)[0] == "Title 1\n\nOur paper is free for all\n\nOwn text 1 of some length\n\nRead all of our stories in the app"
+
+
+def test_html_main_element_without_article(spark):
+    refs = lambda i: f"<ol><li><a href=r>Reference {i} of the first kind</a></li></ol>" if i == 2 else ""
+    page = lambda i: f"<html><body><div class=m><ul><li><a href=x>Go {i}</a></li></ul></div><div class=c><h2>Title {i}</h2><p>Own text {i} that is much longer than the rest</p>{refs(i)}</div></body></html>"
+    got = pages_of(spark, [page(i) for i in range(4)])
+    assert got == [f"Title {i}\n\nOwn text {i} that is much longer than the rest" + ("\n\nReference 2 of the first kind" if i == 2 else "") for i in range(4)]
