@@ -14,7 +14,8 @@
 4. Template text is dropped on every page, inside an article too. Slots in the main element are the text, all other
    slots too but those that are mostly links. Names decide where this leaves it open: an article around the main
    element, or on pages without one, stands for it and then other slots are dropped; elements that are chrome by name or
-   class (menus, footers, sidebars, notices, adverts, forms, comments) are dropped.
+   class (menus, footers, sidebars, notices, adverts, forms, comments) are dropped where the template has them too, or on
+   pages without a template.
    A page that has nothing but its host's template keeps the template text of its main element or article.
 
 References are decoded, white space in a block becomes one blank, and blocks are joined in page order.
@@ -48,6 +49,7 @@ BLOCKS = frozenset(
 )
 #: Open elements that the start of these ends.
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CHROME = frozenset("nav aside form footer button dialog menu label input fieldset".split())
 #: Parts of a class, id or role that mark chrome.
 CHROME_NAME = re.compile(
@@ -244,20 +246,26 @@ class Cut:
         return i
 
     def chrome(self, main: int) -> tuple[list[bool], list[bool]]:
-        """Whether each element is chrome by name, and whether it is in an article."""
+        """Whether each element is chrome, and whether it is in an article.
+
+        A name is a hint: on a page with a template an element is chrome by name only if it is of the template too. An
+        article, a heading, the main element and what is around it never are by name alone, but a reader's comment in
+        an article is if it is of the template."""
+        spared = set(self.around(main))
         chrome: list[bool] = []
         article: list[bool] = []
         for i, e in enumerate(self.elements):
             off, inside = (chrome[e.up], article[e.up]) if e.up >= 0 else (False, False)
-            named = e.label and bool(CHROME_NAME.search(e.label))
-            off = off or e.name in CHROME or e.name == "head" or (e.name == "header" and not inside) or (e.name not in ("body", "html", "article", "main") and named)
+            named = e.name in CHROME or (e.name == "header" and not inside) or bool(e.label and e.name not in ("body", "html", "main") and CHROME_NAME.search(e.label))
+            named = named and i not in spared and e.name not in HEADINGS and (self.fixed[i] or not self.known)
+            if e.name == "article":
+                named = named and inside and self.fixed[i]
+            off = off or named or e.name == "head"
             if e.name in ("article", "main") and not named:
                 # An article in a menu or advert that was never closed is an article all the same; a reader's comment isn't.
                 if off and not (e.up >= 0 and _OTHERS.search(self.elements[e.up].label)):
                     off = False
                 inside = inside or not off
-            elif e.name == "article" and named:
-                off = True
             chrome.append(off)
             article.append(inside)
         return chrome, article

@@ -378,3 +378,15 @@ def test_html_main_element_without_article(spark):
     page = lambda i: f"<html><body><div class=m><ul><li><a href=x>Go {i}</a></li></ul></div><div class=c><h2>Title {i}</h2><p>Own text {i} that is much longer than the rest</p>{refs(i)}</div></body></html>"
     got = pages_of(spark, [page(i) for i in range(4)])
     assert got == [f"Title {i}\n\nOwn text {i} that is much longer than the rest" + ("\n\nReference 2 of the first kind" if i == 2 else "") for i in range(4)]
+
+
+def test_html_names_are_hints(spark):
+    more = lambda i: f"<h2 id=search>Search {i}</h2><section id=related-work><p>Related work {i}</p></section>" if i == 3 else ""
+    page = lambda i: f"<html><body class='post-{i}'><article class='post category-social'><h1>Title {i}</h1><p>Own text {i} that is long enough to be the most</p>{more(i)}<div class=share>Send {i}</div></article><footer>c {i}</footer></body></html>"
+    got = pages_of(spark, [page(i) for i in range(5)])
+    own = [f"Title {i}\n\nOwn text {i} that is long enough to be the most" for i in range(5)]
+    assert got == [*own[:3], own[3] + "\n\nSearch 3\n\nRelated work 3", own[4]]
+    # Without a template: the element that holds most of the text, an article and a heading are no chrome by name.
+    assert html_text.main_text("<div class='content has-sidebar'><h2 id=search>A</h2><p>Text of some length</p></div><div class=sidebar>x</div>") == "A\n\nText of some length"
+    assert html_text.main_text("<article class='post tag-search'><p>Text</p></article><p>after") == "Text"
+    assert html_text.main_text("<article><p>Text</p><div id=comments><article class=comment><p>first</p></article></div></article>") == "Text"
