@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -75,22 +75,37 @@ def unpack(frame: bytes) -> np.ndarray:
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, pattern: str) -> Encoder:
+def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """Ids of a text as the library's encode without special tokens gives them: the file's added tokens are found in the
+    text first, and what stands between them is cut by the pattern."""
     import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model  # the BPE itself: the texts are cut by the pattern before, and special tokens aren't looked for
+    model = tokenizer.model  # the BPE itself: the texts are cut by the pattern before
 
     def encode(tokens: list[str]) -> bytes:
         return packed([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))])
 
-    return Encoder(regex.compile(pattern).findall, encode)
+    plain = Encoder(regex.compile(pattern).findall, encode)
+    added = {t.content: (packed([i]), t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+    if not added:
+        return plain
+    if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):  # they take more than their own characters
+        found = regex.compile("|".join(map(regex.escape, added)))
+        return lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids) if found.search(text) else plain(text)
+    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def coder(text: str) -> bytes:
+        first, *more = cut.split(text)
+        return plain(first) + b"".join(added[p][0] if k % 2 == 0 else plain(p) for k, p in enumerate(more)) if more else plain(first)
+
+    return coder
 
 
 def write_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None,
               pattern: str | None = None, partitions: int | None = None, block: int = BLOCK, bits: bool = False) -> None:
-    """Encodes every text, appends ``end_id`` to each document and writes the frames below ``out`` in ascending order of
+    """Encodes every text (a literal added token of the vocabulary file, such as <|endoftext|>, is its id), appends ``end_id`` to each document and writes the frames below ``out`` in ascending order of
     ``id_col``: folder ``frames`` with one row a frame: part, ids of the part before it, ids in it, its documents' keys and
     token counts, and the frame. part and the frames in it ascend with the key.
 
