@@ -18,11 +18,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(COLUMNS).join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])  # rows of one id are copies or in one component; the join has dealt them by it
+    """Of each group of near-duplicates one document, that with the smallest id; of several rows with this id, or with none
+    where no row of the group has an id, the one with the smallest hash."""
+    # 128 bits of a whole row: rows that share them are copies, and ids may repeat or be null.
+    row = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    docs = docs.select(*COLUMNS, F.xxhash64(*row).alias("_row"), F.xxhash64(F.lit(1), *row).alias("_row2"))
+    found = simhash.near_duplicates(docs, keep=("_row", "_row2"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_row2")).alias("first"))
+    kept = docs.join(first.select("first._row", "first._row2").hint("merge"), ["_row", "_row2"], "left_semi")
+    return kept.dropDuplicates(["_row", "_row2"]).select(COLUMNS)  # the join has dealt the rows by these
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

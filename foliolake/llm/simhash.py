@@ -51,16 +51,18 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row; a null text has no words, fingerprint 0."""
-    given = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` and fp (the fingerprint's 64 bits as a signed long) of every row; a null text has no
+    words, fingerprint 0."""
+    given = df.select(F.col(f"`{id_col}`").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"))
+    names = ["doc_id", *keep]
 
     def run(it):
         for batch in it:
-            fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_py()) for x in batch.column(len(names))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(fps)], [*names, "fp"])
 
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return given.mapInArrow(run, ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in names) + ", fp bigint")
 
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -91,19 +93,21 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row for each row of ``df``: doc_id, fp and component_id, the smallest doc_id that links reach.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``df``: doc_id, the columns ``keep``, fp, component_id, the smallest doc_id that links reach,
+    and root, the component's own fingerprint, which no other component has (component_id may be, where ids repeat or
+    are null).
 
     Null and empty texts and texts without words share fingerprint 0, linked like any other. Repeated rows share a
     component. Null ids are never the smallest; a component of null ids alone has a null id. An empty table gives an
-    empty table. Only the two named columns are read.
+    empty table. Only the two named columns and ``keep`` are read.
     """
-    docs = stored(fingerprints(df, id_col, text_col), "fingerprints")
+    docs = stored(fingerprints(df, id_col, text_col, keep), "fingerprints")
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     roots = components(links(nodes.select("fp"), dense)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "fingerprint-roots")
     drop(nodes)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids.hint("merge"), "root").select("fp", "component_id")
-    return docs.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(ids.hint("merge"), "root").select("fp", "component_id", "root")
+    return docs.join(named.hint("merge"), "fp").select("doc_id", *keep, "fp", "component_id", "root")
