@@ -23,8 +23,8 @@ _LABEL = "[A-Za-z0-9-]"
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data. prior: score of a pattern match; checked: added where the checksum holds (a match whose
-    checksum fails is dropped); near: words in the 40 characters before that add ``context``; hint: what a text must
-    contain to have any match, a cheap test before the pattern."""
+    checksum fails is dropped); near: words in the 40 characters before or after that add ``context``; hint: what a text
+    must contain to have any match, a cheap test before the pattern."""
 
     name: str
     pattern: str
@@ -35,20 +35,37 @@ class Kind:
     context: float = 0.0
 
 
+#: Characters of an account number by country, from the public registry (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA",
+    23: "GI IQ IL OM SO TL AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MR MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(n: int, countries: str) -> str:
+    whole, rest = divmod(n - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{whole}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: A number as long as its country's, whatever follows it.
+EXACT_IBAN = "(?:" + "|".join(_iban(n, c) for n, c in IBAN_LENGTHS.items()) + ")"
+
 #: In the order in which spans are listed; the first four are the base.
 KINDS = [
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "", 0.4, 0.5, "iban|account|konto|compte|cuenta", 0.1),
+    # Other lengths and countries: the longest run of groups that ends with a word; see ``shortened``.
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{EXACT_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", "", 0.4, 0.5, "iban|account|konto|compte|cuenta", 0.1),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.5, 0.0, "ssn|social|security|passport|identity|ausweis", 0.4),
     Kind("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])", "", 0.5, 0.0, "token|secret|password|api.?key|passwort|clave", 0.4),
 ]
 BASE = 4
 #: A span is kept from this score on.
 THRESHOLD = 0.8
-#: Characters before a span in which context words count.
+#: Characters before and after a span in which context words count.
 REACH = 40
 
 
@@ -122,11 +139,25 @@ def confirmed(kind: Kind, x: Column) -> Column:
     return {"ip": octets(x), "card": luhn(x), "phone": (n >= 9) & (n <= 15), "iban": mod97(x)}.get(kind.name, F.lit(True))
 
 
+def shortened(kind: Kind, m: Column) -> Column:
+    """A match of account numbers of a length that its country doesn't have may hold words that follow the number: it ends
+    at the last blank before which its checksum holds, if it doesn't hold for all of it. Other matches stay."""
+    if kind.name != "iban":
+        return m
+    words = F.split(m["match"], " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    held = F.filter(parts, lambda p: (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 12) & mod97(p))
+    best = F.coalesce(F.get(held, F.lit(0)), m["match"])
+    cut = F.struct(m["start"].alias("start"), (m["start"] + F.length(best)).alias("end"), best.alias("match"))
+    return F.when(m["match"].rlike(f"^{EXACT_IBAN}$"), m).otherwise(cut)
+
+
 def score(text: Column, kind: Kind, m: Column) -> Column:
-    """A confirmed match's score: prior, checksum and context words before it."""
+    """A confirmed match's score: prior, checksum and context words before or after it."""
     start = F.greatest(m["start"] - REACH, F.lit(0))
-    before = F.lower(F.substr(text, start + 1, m["start"] - start))
-    near = F.when(before.rlike(rf"(?<![a-z])(?:{kind.near})(?![a-z])"), F.lit(kind.context)).otherwise(F.lit(0.0)) if kind.near else F.lit(0.0)
+    sides = (F.substr(text, start + 1, m["start"] - start), F.substr(text, m["end"] + 1, F.lit(REACH)))
+    seen = [F.lower(x).rlike(rf"(?<![a-z])(?:{kind.near})(?![a-z])") for x in sides] if kind.near else []
+    near = F.when(seen[0] | seen[1], F.lit(kind.context)).otherwise(F.lit(0.0)) if seen else F.lit(0.0)
     return F.lit(kind.prior + kind.checked) + near
 
 
@@ -143,7 +174,9 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", kinds: lis
     found = df.select(*(c for c in map(lambda c: F.col(f"`{c}`"), (c for c in df.columns if c != out_col))), *(matches(text, k).alias(f"__pii_{i}") for i, k in enumerate(kinds)))
 
     def spans(i: int, k: Kind) -> Column:
-        kept = F.filter(F.col(f"__pii_{i}"), lambda m: confirmed(k, m["match"]) & ((F.lit(k.prior) >= THRESHOLD) if k.prior >= THRESHOLD else (score(text, k, m) >= THRESHOLD)))
+        found = F.col(f"__pii_{i}")
+        found = F.transform(found, lambda m: shortened(k, m)) if k.name == "iban" else found
+        kept = F.filter(found, lambda m: confirmed(k, m["match"]) & ((F.lit(k.prior) >= THRESHOLD) if k.prior >= THRESHOLD else (score(text, k, m) >= THRESHOLD)))
         return F.transform(kept, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")

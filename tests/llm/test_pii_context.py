@@ -1,0 +1,30 @@
+"""Account numbers before other words, and context words after a span."""
+
+from pyspark.sql import functions as F
+
+from foliolake.llm import pii
+
+
+def test_iban_before_words_and_context_after(spark):
+    hexes = "0123456789abcdef" * 2
+    cases = {
+        "AT61 1904 3002 3457 3201 BIC OPSKATWW": "[IBAN] BIC OPSKATWW",
+        "BE68 5390 0754 7034 SEPA": "[IBAN] SEPA",
+        "BE68 5390 0754 7034 PLEASE PAY": "[IBAN] PLEASE PAY",
+        "AT61 1904 3002 3457 3201 Bank": "[IBAN] Bank",
+        "AT61 1904 3002 3457 3201 DE89 3704 0044 0532 0130 00": "[IBAN] [IBAN]",
+        "AT611904300234573201 BIC": "[IBAN] BIC",
+        "GB82 WEST 1234 5698 7654 32 NOW": "[IBAN] NOW",
+        "AT61 1904 3002 3457 3202 BIC": "AT61 1904 3002 3457 3202 BIC",
+        "123-45-6789 (SSN)": "[NATIONAL_ID] (SSN)",
+        "123-45-6789 (no id)": "123-45-6789 (no id)",
+        hexes + " is the token": "[SECRET] is the token",
+    }
+    # A country that isn't in the registry: the longest end that holds counts.
+    plain = "ZZ00ABCD1234WXYZ"
+    body = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
+    own = f"ZZ{98 - int(body) % 97:02d} ABCD 1234 WXYZ"
+    cases[own + " BIC"] = "[IBAN] BIC"
+    df = pii.find(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"))
+    got = {r["text"]: r["t"] for r in df.select("text", pii.redacted(F.col("text"), F.col("pii")).alias("t")).collect()}
+    assert got == cases
