@@ -17,18 +17,32 @@ IMAGE = r"""(?i)<img[^>]+src="([^"]+)\""""
 ANY_IMAGE = r"""(?i)<(?:img[^>]*?\ssrc|image[^>]*?\shref)="([^"]+)\""""
 
 
+def utf16_text(hex_digits: Column, little: bool = False) -> Column:
+    """Text of UTF-16 in hex digits. What is left of an odd number of bytes is dropped, and a surrogate without its other
+    half becomes U+FFFD."""
+    units = F.regexp_extract_all(hex_digits, F.lit("[0-9A-Fa-f]{4}"), F.lit(0))
+    units = F.transform(units, lambda u: F.concat(F.substring(u, 3, 2), F.substring(u, 1, 2))) if little else units
+    high, low = (lambda u: F.coalesce(u.rlike("^[dD][89abAB]"), F.lit(False))), (lambda u: F.coalesce(u.rlike("^[dD][c-fC-F]"), F.lit(False)))
+    # The one-element array binds the units to a name.
+    mend = lambda us: F.transform(us, lambda u, i: F.when(high(u) & ~low(F.get(us, i + 1)) | low(u) & ~high(F.get(us, i - 1)), F.lit("FFFD")).otherwise(u))
+    mended = F.array_join(F.transform(F.array(units), mend)[0], "")
+    whole = mended if little else F.when(hex_digits.rlike("[dD][89a-fA-F]"), mended).otherwise(F.left(hex_digits, (F.length(hex_digits) - F.length(hex_digits) % 4).cast("int")))
+    return F.decode(F.unhex(whole), "UTF-16BE")
+
+
 def decode_text(raw: Column) -> Column:
     """Bytes to text: by a byte-order mark, else as UTF-8 if that is valid and has a character of several bytes, else as
-    Latin-1. Null stays null."""
+    Latin-1. Null stays null, and no bytes are an empty text. Malformed bytes after a mark become U+FFFD, an odd last byte
+    of UTF-16 is dropped."""
     head = F.hex(F.substring(raw, 1, 3))
     rest = lambda n: F.substring(raw, n + 1, 2147483647)
     plain = raw.cast("string")
     multi = F.is_valid_utf8(plain) & (F.length(plain) < F.octet_length(raw))
     return (
-        F.when(head.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
-        .when(head.startswith("FFFE"), F.decode(rest(2), "UTF-16LE"))
-        .when(head == "EFBBBF", F.decode(rest(3), "UTF-8"))
-        .when(multi, F.decode(raw, "UTF-8"))
+        F.when(head.startswith("FEFF"), utf16_text(F.hex(rest(2))))
+        .when(head.startswith("FFFE"), utf16_text(F.hex(rest(2)), little=True))
+        .when(head == "EFBBBF", F.regexp_replace(F.make_valid_utf8(rest(3).cast("string")), "^\ufeff", ""))
+        .when(multi, plain)
         .otherwise(F.decode(raw, "ISO-8859-1"))
     )
 
@@ -48,9 +62,9 @@ def legacy_charset(name: Column) -> Column:
 
 
 def code_point(hex_digits: Column) -> Column:
-    """The character of a code point in hex; empty outside Unicode."""
+    """The character of a code point in hex; U+FFFD for half of a pair, empty outside Unicode."""
     value = F.conv(hex_digits, 16, 10).cast("long")
-    return F.when(value <= 0x10FFFF, F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")).otherwise("")
+    return F.when(value.between(0xD800, 0xDFFF), "\ufffd").when(value <= 0x10FFFF, F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")).otherwise("")
 
 
 def glyph_by_rule(name: Column) -> Column:
@@ -66,7 +80,10 @@ def is_mono_font(name: Column) -> Column:
 
 def advance_hundredths(text: Column, mono: Column) -> Column:
     """Approximate advance of a text in hundredths of an em, an integer, so that sums don't depend on order."""
-    blank, wide = F.regexp_count(text, F.lit(BLANK)), F.regexp_count(text, F.lit(WIDE))
+    # Texts of one-byte characters, most of all texts, have nothing wide, and need no pattern.
+    ascii_only = F.octet_length(text) == F.length(text)
+    blank = F.length(text) - F.length(F.translate(text, BLANK.strip("[]"), ""))
+    wide = F.when(ascii_only, 0).otherwise(F.regexp_count(text, F.lit(WIDE)))
     other = F.length(text) - blank - wide
     return blank * F.when(mono, ADVANCE["blank_mono"]).otherwise(ADVANCE["blank"]) + wide * ADVANCE["wide"] + other * F.when(mono, ADVANCE["other_mono"]).otherwise(ADVANCE["other"])
 

@@ -2,41 +2,40 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolake.functions.scalars import glyph_by_rule
+from foliolake.functions.scalars import glyph_by_rule, utf16_text
 
 #: Codes that one range may have.
 MOST_CODES = 65_536
-#: Glyph names that no rule gives, and their code points in hex.
-GLYPH_NAMES = (
-    "space=20 exclam=21 quotedbl=22 numbersign=23 dollar=24 percent=25 ampersand=26 quotesingle=27 parenleft=28 parenright=29 asterisk=2A plus=2B comma=2C hyphen=2D period=2E slash=2F "
-    "zero=30 one=31 two=32 three=33 four=34 five=35 six=36 seven=37 eight=38 nine=39 colon=3A semicolon=3B less=3C equal=3D greater=3E question=3F at=40 "
-    "bracketleft=5B backslash=5C bracketright=5D asciicircum=5E underscore=5F grave=60 braceleft=7B bar=7C braceright=7D asciitilde=7E "
-    "exclamdown=A1 cent=A2 sterling=A3 currency=A4 yen=A5 brokenbar=A6 section=A7 dieresis=A8 copyright=A9 ordfeminine=AA guillemotleft=AB logicalnot=AC sfthyphen=AD registered=AE macron=AF "
-    "degree=B0 plusminus=B1 twosuperior=B2 threesuperior=B3 acute=B4 mu=B5 paragraph=B6 periodcentered=B7 cedilla=B8 onesuperior=B9 ordmasculine=BA guillemotright=BB onequarter=BC onehalf=BD "
-    "threequarters=BE questiondown=BF multiply=D7 divide=F7 germandbls=DF Eth=D0 eth=F0 Thorn=DE thorn=FE AE=C6 ae=E6 Oslash=D8 oslash=F8 dotlessi=131 Lslash=141 lslash=142 OE=152 oe=153 "
-    "florin=192 circumflex=2C6 caron=2C7 breve=2D8 dotaccent=2D9 ring=2DA ogonek=2DB tilde=2DC hungarumlaut=2DD quotesinglbase=201A quotedblbase=201E dagger=2020 daggerdbl=2021 bullet=2022 "
-    "ellipsis=2026 perthousand=2030 guilsinglleft=2039 guilsinglright=203A fraction=2044 Euro=20AC trademark=2122 minus=2212 fi=FB01 fl=FB02 ff=FB00 ffi=FB03 ffl=FB04 endash=2013 emdash=2014 "
-    "quoteleft=2018 quoteright=2019 quotedblleft=201C quotedblright=201D nbspace=A0 nonbreakingspace=A0"
-)
-ACCENTS = {"GRAVE": "grave", "ACUTE": "acute", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CEDILLA": "cedilla", "CARON": "caron"}
-
-
-@lru_cache(1)
+#: Glyph names that no rule gives, and their texts. Single Latin letters stand for themselves.
+GLYPHS = {
+    "Agrave": "À", "Aacute": "Á", "Acircumflex": "Â", "Atilde": "Ã", "Adieresis": "Ä", "Aring": "Å", "Ccedilla": "Ç", "Egrave": "È", "Eacute": "É", "Ecircumflex": "Ê",
+    "Edieresis": "Ë", "Igrave": "Ì", "Iacute": "Í", "Icircumflex": "Î", "Idieresis": "Ï", "Ntilde": "Ñ", "Ograve": "Ò", "Oacute": "Ó", "Ocircumflex": "Ô", "Otilde": "Õ",
+    "Odieresis": "Ö", "Ugrave": "Ù", "Uacute": "Ú", "Ucircumflex": "Û", "Udieresis": "Ü", "Yacute": "Ý", "agrave": "à", "aacute": "á", "acircumflex": "â", "atilde": "ã",
+    "adieresis": "ä", "aring": "å", "ccedilla": "ç", "egrave": "è", "eacute": "é", "ecircumflex": "ê", "edieresis": "ë", "igrave": "ì", "iacute": "í", "icircumflex": "î",
+    "idieresis": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocircumflex": "ô", "otilde": "õ", "odieresis": "ö", "ugrave": "ù", "uacute": "ú", "ucircumflex": "û",
+    "udieresis": "ü", "yacute": "ý", "ydieresis": "ÿ", "Scaron": "Š", "scaron": "š", "Ydieresis": "Ÿ", "Zcaron": "Ž", "zcaron": "ž", "space": " ", "exclam": "!",
+    "quotedbl": "\"", "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*",
+    "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
+    "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[",
+    "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~",
+    "exclamdown": "¡", "cent": "¢", "sterling": "£", "currency": "¤", "yen": "¥", "brokenbar": "¦", "section": "§", "dieresis": "¨", "copyright": "©", "ordfeminine": "ª",
+    "guillemotleft": "«", "logicalnot": "¬", "sfthyphen": "\u00ad", "registered": "®", "macron": "¯", "degree": "°", "plusminus": "±", "twosuperior": "²",
+    "threesuperior": "³", "acute": "´", "mu": "µ", "paragraph": "¶", "periodcentered": "·", "cedilla": "¸", "onesuperior": "¹", "ordmasculine": "º",
+    "guillemotright": "»", "onequarter": "¼", "onehalf": "½", "threequarters": "¾", "questiondown": "¿", "multiply": "×", "divide": "÷", "germandbls": "ß", "Eth": "Ð",
+    "eth": "ð", "Thorn": "Þ", "thorn": "þ", "AE": "Æ", "ae": "æ", "Oslash": "Ø", "oslash": "ø", "dotlessi": "ı", "Lslash": "Ł", "lslash": "ł", "OE": "Œ", "oe": "œ",
+    "florin": "ƒ", "circumflex": "ˆ", "caron": "ˇ", "breve": "˘", "dotaccent": "˙", "ring": "˚", "ogonek": "˛", "tilde": "˜", "hungarumlaut": "˝", "quotesinglbase": "‚",
+    "quotedblbase": "„", "dagger": "†", "daggerdbl": "‡", "bullet": "•", "ellipsis": "…", "perthousand": "‰", "guilsinglleft": "‹", "guilsinglright": "›",
+    "fraction": "⁄", "Euro": "€", "trademark": "™", "minus": "−", "fi": "ﬁ", "fl": "ﬂ", "ff": "ﬀ", "ffi": "ﬃ", "ffl": "ﬄ", "endash": "–", "emdash": "—", "quoteleft": "‘",
+    "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "nbspace": "\u00a0", "nonbreakingspace": "\u00a0",
+}
+
+
 def glyphs() -> dict[str, str]:
-    """Glyph names and their texts: Latin letters, accented ones by the names of their characters, and the fixed list."""
-    out = {chr(c): chr(c) for k in (65, 97) for c in range(k, k + 26)}
-    for c in [*range(0xC0, 0x100), 0x160, 0x161, 0x178, 0x17D, 0x17E]:
-        words = unicodedata.name(chr(c)).split(" LETTER ")[-1].split(" WITH ")
-        if len(words) == 2 and words[1] in ACCENTS:
-            letter = words[0] if "CAPITAL" in unicodedata.name(chr(c)) else words[0].lower()
-            out[letter + ACCENTS[words[1]]] = chr(c)
-    return out | {k: chr(int(v, 16)) for k, v in (x.split("=") for x in GLYPH_NAMES.split())}
+    """Glyph names and their texts."""
+    return {chr(c): chr(c) for k in (65, 97) for c in range(k, k + 26)} | GLYPHS
 
 
 def glyph_table(spark: SparkSession, names: dict[str, str] | None = None) -> DataFrame:
@@ -62,7 +61,7 @@ def _even(hex_digits: Column) -> Column:
 
 def utf16(hex_digits: Column) -> Column:
     """Text of a target in hex."""
-    return F.decode(F.unhex(_even(hex_digits)), "UTF-16BE")
+    return utf16_text(_even(hex_digits))
 
 
 def _plus(hex_digits: Column, k: Column) -> Column:
@@ -103,7 +102,7 @@ def overlay_differences(base: DataFrame, diffs: DataFrame, names: dict[str, str]
     known = glyph_to_unicode(placed, "glyph", "uni", names).where("uni <> ''").groupBy("font_id", "code").agg(F.max_by("uni", "seq").alias("new"))
     codes = diffs.select("font_id").distinct().select("font_id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("code"))
     full = codes.join(F.broadcast(base.where("code BETWEEN 0 AND 255").select(F.col("code").cast("int").alias("code"), "uni")), "code")  # 256 rows at most
-    return full.join(known, ["font_id", "code"], "left").select("font_id", F.col("code").cast("long").alias("code"), F.coalesce("new", "uni").alias("uni"))
+    return full.join(known.hint("merge"), ["font_id", "code"], "left").select("font_id", F.col("code").cast("long").alias("code"), F.coalesce("new", "uni").alias("uni"))
 
 
 def decode_codes(strings: DataFrame, fonts: DataFrame, cmap: DataFrame, encoding: DataFrame) -> DataFrame:
@@ -116,8 +115,8 @@ def decode_codes(strings: DataFrame, fonts: DataFrame, cmap: DataFrame, encoding
     byte is Latin-1.
     """
     widths = cmap.groupBy("font_id").agg(F.min("code_len").alias("least"), F.max("code_len").alias("most"))
-    kind = fonts.join(widths, "font_id", "left").select("font_id", F.when(F.col("composite") & ~F.equal_null("most", F.lit(1)), 2).otherwise(1).alias("width"))
-    hexed = strings.join(kind, "font_id").select("id", "font_id", F.hex("raw").alias("h"), "width")
+    kind = fonts.join(widths.hint("merge"), "font_id", "left").select("font_id", F.when(F.col("composite") & ~F.equal_null("most", F.lit(1)), 2).otherwise(1).alias("width"))
+    hexed = strings.join(kind.hint("merge"), "font_id").select("id", "font_id", F.hex("raw").alias("h"), "width")
     pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length("h") / (2 * F.col("width"))).cast("int") - 1), lambda k: F.substring("h", k * 2 * F.col("width") + 1, 2 * F.col("width")))
     codes = hexed.where("h <> ''").select("id", "font_id", F.posexplode(pieces).alias("pos", "piece"))
     codes = codes.select("id", "font_id", "pos", (F.length("piece") / 2).cast("int").alias("len"), _number(F.col("piece")).alias("code")).withColumn("low", F.col("code") % 256)
@@ -125,7 +124,7 @@ def decode_codes(strings: DataFrame, fonts: DataFrame, cmap: DataFrame, encoding
 
     def look(df: DataFrame, dim: DataFrame, on: Column, name: str) -> DataFrame:
         d = dim.select(F.col("font_id").alias("_f"), F.col("code").alias("_c"), F.col("uni").alias(name))
-        return df.join(d, (F.col("font_id") == F.col("_f")) & on, "left").drop("_f", "_c")
+        return df.join(d.hint("merge"), (F.col("font_id") == F.col("_f")) & on, "left").drop("_f", "_c")
 
     codes = look(codes, two, F.col("code") == F.col("_c"), "by_two")
     codes = look(codes, one, F.col("low") == F.col("_c"), "by_one")
@@ -134,7 +133,7 @@ def decode_codes(strings: DataFrame, fonts: DataFrame, cmap: DataFrame, encoding
     latin = F.decode(F.unhex(F.lpad(F.hex("low"), 2, "0")), "ISO-8859-1")
     char = F.coalesce(mapped, F.col("by_encoding"), F.when((F.col("len") == 2) & (F.col("code") > 255), "").otherwise(latin))
     text = codes.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", char.alias("c")))), lambda x: x["c"]), "").alias("text"))
-    return strings.select("id").join(text, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+    return strings.select("id").join(text.hint("merge"), "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 #: Python's names of the charsets.

@@ -11,7 +11,7 @@ def doc_stats(chapters: DataFrame, paragraphs: DataFrame) -> DataFrame:
     doc_id, text."""
     c = chapters.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum("pages").alias("pages"))
     p = paragraphs.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
-    return c.join(p, "doc_id", "full").select("doc_id", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("chapters", "pages", "chars")))
+    return c.join(p.hint("merge"), "doc_id", "full").select("doc_id", *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("chapters", "pages", "chars")))
 
 
 def keywords(docs: DataFrame, k: int = 10, least: int = 4) -> DataFrame:
@@ -42,7 +42,7 @@ def largest_image(images: DataFrame, pages: DataFrame) -> DataFrame:
     """The largest image of every page, the first of equals: doc_id, page_no, img_seq, kind (``none`` without one)."""
     sized = images.where("width > 0 AND height > 0")
     best = sized.groupBy("doc_id", "page_no").agg(F.max_by(F.struct("img_seq", "kind"), F.struct(F.col("width") * F.col("height"), -F.col("img_seq"))).alias("b"))
-    return pages.select("doc_id", "page_no").join(best, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "b.img_seq", F.coalesce("b.kind", F.lit("none")).alias("kind"))
+    return pages.select("doc_id", "page_no").join(best.hint("merge"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", "b.img_seq", F.coalesce("b.kind", F.lit("none")).alias("kind"))
 
 
 def doc_info(info: DataFrame, pages: DataFrame) -> DataFrame:

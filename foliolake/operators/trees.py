@@ -10,21 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolake.sources.shared import cut
+
 #: How deep page trees, name trees and outlines are followed, and the wrapping of destinations.
 PAGE_DEPTH, NAME_DEPTH, OUTLINE_DEPTH = 64, 16, 3
 NO_NAME = ("W", "Index")
 
 
-def _level(df: DataFrame) -> DataFrame:
-    """A level of a walk, cut from what it was made of if the session has a checkpoint folder."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.persist()
-
-
 def flatten_page_tree(nodes: DataFrame, depth: int = PAGE_DEPTH) -> DataFrame:
     """Leaves in order with inherited attributes: doc_id, node, page_no, resources.
 
@@ -36,7 +28,7 @@ def flatten_page_tree(nodes: DataFrame, depth: int = PAGE_DEPTH) -> DataFrame:
     level = nodes.where("parent IS NULL").select("doc_id", "node", "type", "resources", F.array("ord").alias("path"), F.array("node").alias("seen"))
     found = None
     for _ in range(depth):
-        level = _level(level)
+        level = cut(level)
         if level.isEmpty():
             break
         marked = level.join(branch, ["doc_id", "node"], "left")
@@ -97,7 +89,7 @@ def flatten_name_tree(nodes: DataFrame, depth: int = NAME_DEPTH) -> DataFrame:
     kids = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent").alias("_up"), F.col("node").alias("_kid"), F.col("ord").alias("_ord"), F.col("name").alias("_name"), F.col("page_ref").alias("_ref"))
     found = None
     for _ in range(depth):
-        level = _level(level)
+        level = cut(level)
         if level.isEmpty():
             break
         leaf = level.where("name IS NOT NULL").select("doc_id", F.regexp_replace("name", "^/", "").alias("name"), "page_ref", "path")

@@ -11,12 +11,19 @@ from foliolake.plans import views as V
 from foliolake.plans.registry import query, table
 
 
-@query("SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents")
+@query(
+    """WITH t AS (SELECT doc_id, CASE doc_id % 9 WHEN 4 THEN text || chr(65533) WHEN 5 THEN text || chr(65533) || 'z' WHEN 6 THEN text || chr(65533) || '😀' WHEN 7 THEN regexp_replace(text, '[^\x01-\x7F]', '', 'g') || 'é' WHEN 8 THEN '' ELSE text END AS t FROM documents)
+SELECT doc_id, md5(t) AS digest, length(t) AS n FROM t"""
+)
 def p1_decode_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents encoded in four ways by turns, and decoded without knowing which."""
-    k, t = F.col("doc_id") % 4, F.col("text")
-    bom = lambda x: F.lit(bytearray(bytes.fromhex(x)))
-    raw = F.when(k == 0, F.concat(bom("feff"), F.encode(t, "UTF-16BE"))).when(k == 1, F.concat(bom("fffe"), F.encode(t, "UTF-16LE"))).when(k == 2, F.concat(bom("efbbbf"), F.encode(t, "UTF-8"))).otherwise(F.encode(t, "UTF-8"))
+    """Documents encoded in nine ways by turns, and decoded without knowing which: UTF-16 of both kinds with an odd byte
+    too many, UTF-8 with and without a mark, with a bad byte, with halves of pairs, Latin-1, and no bytes."""
+    k, t = F.col("doc_id") % 9, F.col("text")
+    data = lambda x: F.lit(bytearray(bytes.fromhex(x)))
+    big, utf8 = F.encode(t, "UTF-16BE"), F.encode(t, "UTF-8")
+    raw = F.when(k == 0, F.concat(data("feff"), big, data("00"))).when(k == 1, F.concat(data("fffe"), F.encode(t, "UTF-16LE"), data("d8"))).when(k == 2, F.concat(data("efbbbf"), utf8)).when(k == 3, utf8)
+    raw = raw.when(k == 4, F.concat(data("efbbbf"), utf8, data("ff"))).when(k == 5, F.concat(data("feff"), big, data("d800007a"))).when(k == 6, F.concat(data("fffe"), F.encode(t, "UTF-16LE"), data("00de3dd800de")))
+    raw = raw.when(k == 7, F.concat(F.encode(F.regexp_replace(t, "[^\x01-\x7F]", ""), "UTF-8"), data("e9"))).otherwise(data(""))
     got = table(spark, sf, "documents").select("doc_id", P.decode_text(raw).alias("t"))
     return got.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
@@ -34,8 +41,8 @@ def p2_legacy_charset(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", name.alias("name"), F.coalesce(P.legacy_charset(name), F.lit("")).alias("charset"))
 
 
-GLYPHS = ["space", "eacute", "uni4E2D", "u1F600", "cid12", "A", "germandbls", "uni00e9.alt", "u12", "Scaron", "endash", "glyph7", "uni12", "OE"]
-GLYPH_TEXT = [" ", "é", "中", "😀", "", "A", "ß", "é", "", "Š", "–", "", "", "Œ"]
+GLYPHS = ["space", "eacute", "uni4E2D", "u1F600", "cid12", "A", "germandbls", "uni00e9.alt", "u12", "Scaron", "endash", "glyph7", "uni12", "OE", "uniD800"]
+GLYPH_TEXT = [" ", "é", "中", "😀", "", "A", "ß", "é", "", "Š", "–", "", "", "Œ", "\ufffd"]
 
 
 @query(f"SELECT doc_id, ({GLYPHS})[(doc_id % {len(GLYPHS)}) + 1] AS name, ({GLYPH_TEXT})[(doc_id % {len(GLYPHS)}) + 1] AS uni FROM documents")

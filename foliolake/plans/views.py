@@ -19,35 +19,52 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 FILES = f"files_v AS (SELECT doc_id, 'doc_' || doc_id || '.' || ([{', '.join(repr(e) for e in EXTENSIONS)}])[(doc_id % {len(EXTENSIONS)}) + 1] AS path, text, lang, source FROM documents)"
 
 
-def spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Every word of a document as a span: 40 lines a page, every fourth line indented, drifting baselines."""
+def drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of a document as a span: 40 lines a page, every fourth line indented, every third monospaced, drifting
+    baselines. After each tenth word of a line stands a blank without a place, after each fiftieth of a page an image.
+    Documents are dealt by their key before they are taken apart, which moves less than dealing their words."""
     return spark.sql(
         """
-        SELECT doc_id, CAST(l DIV 40 AS INT) page_no, 0 stream_id, CAST(l AS INT) line_src, CAST(w AS INT) w,
-               CAST(row_number() OVER (PARTITION BY doc_id, l DIV 40 ORDER BY l, w) - 1 AS INT) seq,
-               72D + IF(l % 4 = 3, 10D, 0D) + 60D * w AS x, 760D - 14D * (l % 40) - 1.25D * (w % 5) AS y, 10D AS fs, false AS mono, word AS text
-        FROM (SELECT doc_id, l, posexplode(filter(split(line, ' '), x -> x <> '')) AS (w, word)
-              FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (l, line) FROM {documents}))
+        SELECT doc_id, page_no, 0 stream_id, line_src, w, n, part, 3 * n + part seq,
+               IF(part = 0, 72D + IF(line_src % 4 = 3, 10D, 0D) + 60D * w, NULL) x, IF(part = 0, 760D - 14D * (line_src % 40) - 1.25D * (w % 5), NULL) y,
+               IF(part = 0, 10D, 0D) fs, part < 2 AND line_src % 3 = 1 mono, CASE part WHEN 0 THEN word WHEN 1 THEN ' ' END text, IF(part = 2, concat('im', n DIV 50 % 3), NULL) image
+        FROM (SELECT *, explode(filter(array(0, 1, 2), p -> p = 0 OR p = 1 AND w % 10 = 8 OR p = 2 AND n % 50 = 49)) AS part
+              FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_src, w) - 1 AS INT) n
+                    FROM (SELECT doc_id, CAST(line_src DIV 40 AS INT) page_no, line_src, posexplode(filter(split(line, ' '), x -> x <> '')) AS (w, word)
+                          FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (line_src, line) FROM {documents}))))
         """,
-        documents=table(spark, sf, "documents"),
+        documents=table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"),
     )
 
 
-SPANS = """spans_v AS (
-SELECT doc_id, CAST(l // 40 AS INTEGER) AS page_no, 0 AS stream_id, CAST(l AS INTEGER) AS line_src, CAST(w AS INTEGER) AS w,
-    CAST(row_number() OVER (PARTITION BY doc_id, l // 40 ORDER BY l, w) - 1 AS INTEGER) AS seq,
-    CAST(72 + CASE WHEN l % 4 = 3 THEN 10 ELSE 0 END + 60 * w AS DOUBLE) AS x, CAST(760 - 14 * (l % 40) AS DOUBLE) - 1.25::DOUBLE * (w % 5) AS y,
-    10::DOUBLE AS fs, false AS mono, word AS text
-FROM (SELECT doc_id, l, unnest(ws) AS word, unnest(range(len(ws))) AS w
+def spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The drawn words and blanks without the images."""
+    return drawn(spark, sf).where("image IS NULL").drop("image")
+
+
+SPANS = """words_v AS (
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_src, w) - 1 AS INTEGER) AS n
+FROM (SELECT doc_id, CAST(l // 40 AS INTEGER) AS page_no, CAST(l AS INTEGER) AS line_src, unnest(ws) AS word, CAST(unnest(range(len(ws))) AS INTEGER) AS w
       FROM (SELECT doc_id, l, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws
-            FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))))"""
-#: The closed form of the line rule on these spans.
-LINED = "lined_v AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_src, 2 * (w // 5) + (CASE WHEN w % 5 >= 3 THEN 1 ELSE 0 END)) - 1 AS INTEGER) AS line_no FROM spans_v)"
+            FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))))),
+drawn_v AS (SELECT doc_id, page_no, 0 AS stream_id, line_src, w, n, part, 3 * n + part AS seq,
+    CASE WHEN part = 0 THEN CAST(72 + CASE WHEN line_src % 4 = 3 THEN 10 ELSE 0 END + 60 * w AS DOUBLE) END AS x, CASE WHEN part = 0 THEN CAST(760 - 14 * (line_src % 40) AS DOUBLE) - 1.25::DOUBLE * (w % 5) END AS y,
+    CASE WHEN part = 0 THEN 10 ELSE 0 END::DOUBLE AS fs, part < 2 AND line_src % 3 = 1 AS mono, CASE part WHEN 0 THEN word WHEN 1 THEN ' ' END AS text, CASE WHEN part = 2 THEN 'im' || (n // 50 % 3) END AS image
+FROM words_v, (VALUES (0), (1), (2)) t(part) WHERE part = 0 OR (part = 1 AND w % 10 = 8) OR (part = 2 AND n % 50 = 49)),
+spans_v AS (SELECT * EXCLUDE (image) FROM drawn_v WHERE image IS NULL)"""
+
+
+def lined_sql(of: str = "spans_v") -> str:
+    """The closed form of the line rule on these spans."""
+    return f"lined_v AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_src, 2 * (w // 5) + (CASE WHEN w % 5 >= 3 THEN 1 ELSE 0 END)) - 1 AS INTEGER) AS line_no FROM {of})"
+
+
+LINED = lined_sql()
 SPACED = """spaced_v AS (SELECT *, CASE WHEN gap IS NULL THEN 0 WHEN gap < 25 THEN 0 WHEN gap < 200 THEN 1 WHEN gap < 300 THEN 2 ELSE 3 END AS n_spaces
-FROM (SELECT *, (x - lag(x + length(text) * 4.5::DOUBLE) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY seq)) * 10 AS gap FROM lined_v))"""
+FROM (SELECT *, (x - last_value(x + length(text) * (CASE WHEN mono THEN 5.5 ELSE 4.5 END)::DOUBLE IGNORE NULLS) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * 10 AS gap FROM lined_v))"""
 #: A line's text; words here have no white space, and no wide characters.
-LINES = """lines_v AS (SELECT doc_id, page_no, line_no, min_by(x, seq) AS x, min_by(fs, seq) AS fs, string_agg(repeat(' ', n_spaces) || text, '' ORDER BY seq) AS text
-FROM spaced_v GROUP BY doc_id, page_no, line_no)"""
+LINES = """lines_v AS (SELECT doc_id, page_no, line_no, min_by(x, seq) AS x, min_by(fs, seq) AS fs, rtrim(string_agg(repeat(' ', n_spaces) || text, '' ORDER BY seq)) AS text
+FROM spaced_v WHERE text IS NOT NULL GROUP BY doc_id, page_no, line_no)"""
 
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:

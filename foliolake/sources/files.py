@@ -53,9 +53,12 @@ def reject_encrypted(files: DataFrame, trailers: DataFrame) -> tuple[DataFrame,
 
 
 def natural_key(name: Column) -> Column:
-    """A key that sorts names by their numbers' values and without case."""
+    """A key that sorts names by their numbers' values and without case. A number is led by how many digits it has, so that
+    its length has no bound."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "\u0001")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    number = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "\u0001")
 
 
 def archive_pages(entries: DataFrame) -> DataFrame:
