@@ -8,8 +8,9 @@ Features are selected words and word beginnings, present or not, and three share
 beginnings more than whole forms. Selection is by the likelihood ratio against each category, so that what remains is a
 few hundred strings and a long text doesn't gather noise.
 
-The models are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, chosen by a hash of the key) and broadcast;
-their size is bounded by ``MOST_FEATURES``. Scoring is one pass over the rows where they lie.
+The models are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, chosen by a hash of the key). Strings are
+counted and chosen on the executors, and the driver gets a 0/1 matrix of that many rows and ``MOST_FEATURES``
+columns at most, no text. The models are broadcast. Scoring is one pass over the rows where they lie.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows to fit on at most (in expectation, by hash).
+from foliolake.llm.common import drop, stored
+
+#: Labelled rows to fit on at most; those whose keys hash lowest.
 SAMPLE_ROWS = 6_000
 MOST_FEATURES = 2_000
 #: Rows that a feature must be in, and its least likelihood ratio.
@@ -60,104 +64,147 @@ def _shares(text: str, n: int, distinct: int) -> list[float]:
 
 @dataclass
 class Chain:
-    """categories in order; features: string to column; weights: for each category the weights of the features, the
-    shares, the earlier probabilities and the constant."""
+    """categories in order; features: string to row of ``held``; held: a weight for each feature and category; rest: for
+    each category the weights of the shares, the earlier probabilities and the constant."""
 
     categories: list[str]
     features: dict[str, int]
-    weights: list[np.ndarray]
-
-    def probabilities(self, x: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), 0))
-        for w in self.weights:
-            out = np.column_stack([out, _sigmoid(np.column_stack([x, shares, out, np.ones(len(x))]) @ w)])
+    held: np.ndarray
+    rest: list[np.ndarray]
+
+    def probabilities(self, of_features: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """of_features: for each row and category the sum of the weights of the row's features."""
+        out = np.zeros((len(shares), 0))
+        for k, w in enumerate(self.rest):
+            out = np.column_stack([out, _sigmoid(of_features[:, k] + _dense(shares, out) @ w)])
         return out
 
 
+def _dense(shares: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    return np.column_stack([shares, earlier, np.ones(len(shares))])
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by accelerated gradient steps; the last column is the constant."""
-    x = x.astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    if not len(y) or y.min() == y.max():
-        w[-1] = 6 if len(y) and y[0] else -6
-        return w.astype(float)
-    v = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
+def _fit(x: np.ndarray, more: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression on the rows to use, by accelerated gradient steps; the last weight is the constant. x has
+    one copy for all models: rows that aren't used have no weight."""
+    d, n, use = x.shape[1], int(use.sum()), use.astype(float)
+    w = np.zeros(d + more.shape[1])
+    if not n or y[use > 0].min() == y[use > 0].max():
+        w[-1] = 6 if n and y[use > 0][0] else -6
+        return w
+
+    def ahead(w: np.ndarray) -> np.ndarray:
+        return x @ w[:d].astype(np.float32) + more @ w[d:]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        g = g * use
+        return np.concatenate([x.T @ g.astype(np.float32), more.T @ g])
+
+    v = np.random.default_rng(0).normal(size=len(w))
     for _ in range(8):  # the largest eigenvalue of x'x, for the step
-        v = x.T @ (x @ (v / np.linalg.norm(v)))
-    step, seen, t = 1 / (0.25 * float(np.linalg.norm(v)) * 1.05 / len(y) + RIDGE), w, 1.0
+        v = back(ahead(v / np.linalg.norm(v)))
+    step, seen, t = 1 / (0.25 * float(np.linalg.norm(v)) * 1.05 / n + RIDGE), w, 1.0
     for _ in range(STEPS):
-        grad = x.T @ (_sigmoid(x @ seen) - y).astype(np.float32) / len(y) + np.float32(RIDGE) * seen
-        new, later = seen - np.float32(step) * grad, (1 + (1 + 4 * t * t) ** 0.5) / 2
-        seen, w, t = new + np.float32((t - 1) / later) * (new - w), new, later
-    return w.astype(float)
-
-
-def _ratio(inside: np.ndarray, positive: np.ndarray, n: int, n_positive: int) -> np.ndarray:
-    """Likelihood-ratio statistic of features in so many rows, of which so many positive."""
-    def term(a, e):  # noqa: ANN001, ANN202
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0)
-
-    cells = [(positive, n_positive), (inside - positive, n - n_positive)]
-    return 2 * sum(term(a, inside * m / n) + term(m - a, (n - inside) * m / n) for a, m in cells)
-
-
-def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
-    """A chain from texts and a 0/1 matrix with one column a category. Without rows every probability is near 0."""
-    ids: dict[str, int] = {}
-    of_word: dict[str, np.ndarray] = {}
-    rows, shares = [], []
-    for t in texts:
-        n_words, distinct = _words(t)
-        for x in distinct:
-            if x not in of_word:
-                of_word[x] = np.array([ids.setdefault(s, len(ids)) for s in _strings(x)])
-        rows.append(np.unique(np.concatenate([of_word[x] for x in distinct])) if distinct else np.zeros(0, int))
-        shares.append(_shares(t, n_words, len(distinct)))
-    n, names = len(texts), list(ids)
-    inside = np.bincount(np.concatenate(rows), minlength=len(ids)) if rows else np.zeros(0, int)
-    score = np.zeros(len(ids))
-    for k in range(len(categories) * bool(n)):
-        positive = np.bincount(np.concatenate([r for r, y in zip(rows, labels[:, k], strict=True) if y] or [np.zeros(0, int)]), minlength=len(ids))
-        score = np.maximum(score, _ratio(inside, positive, n, int(labels[:, k].sum())))
-    good = np.flatnonzero((inside >= SUPPORT) & (score >= RATIO))
-    good = good[np.argsort(-score[good], kind="stable")][:MOST_FEATURES]
-    place = np.full(len(ids), -1)
-    place[good] = np.arange(len(good))
-    x = np.zeros((n, len(good)), np.float32)
-    for i, r in enumerate(rows):
-        p = place[r]
-        x[i, p[p >= 0]] = 1
-    s, fold = np.array(shares, float).reshape(n, SHARES), np.arange(n) % FOLDS
-    earlier, weights = np.zeros((n, 0)), []
+        new, later = seen - step * (back(_sigmoid(ahead(seen)) - y) / n + RIDGE * seen), (1 + (1 + 4 * t * t) ** 0.5) / 2
+        seen, w, t = new + (t - 1) / later * (new - w), new, later
+    return w
+
+
+def fit_chain(x: np.ndarray, shares: np.ndarray, labels: np.ndarray, categories: list[str], features: dict[str, int]) -> Chain:
+    """A chain from a 0/1 matrix of features and a 0/1 matrix with one column a category. A category's earlier
+    probabilities come from models that have not seen the row. Without rows every probability is near 0."""
+    n, d = x.shape
+    fold, every, earlier, weights = np.arange(n) % FOLDS, np.ones(n, bool), np.zeros((n, 0)), []
     for k in range(len(categories)):
-        full, y = np.column_stack([x, s, earlier, np.ones(n)]), labels[:, k] if n else np.zeros(0)
-        weights.append(_fit(full, y))
-        out = np.zeros(n)
+        more, y, out = _dense(shares, earlier), labels[:, k], np.zeros(n)
+        weights.append(_fit(x, more, y, every))
         for f in range(FOLDS if k + 1 < len(categories) else 0):
-            held = fold == f
-            out[held] = _sigmoid(full[held] @ _fit(full[~held], y[~held]))
+            w = _fit(x, more, y, fold != f)
+            out[fold == f] = _sigmoid(x @ w[:d].astype(np.float32) + more @ w[d:])[fold == f]
         earlier = np.column_stack([earlier, out])
-    return Chain(categories, {names[j]: i for i, j in enumerate(good)}, weights)
+    return Chain(categories, features, np.column_stack([w[:d] for w in weights]), [w[d:] for w in weights])
+
+
+def _ratio(positive: str, n: int, n_positive: int) -> Column:
+    """Likelihood-ratio statistic of a feature in ``inside`` of n rows and in so many of the positive ones."""
+    def term(a: Column, e: Column) -> Column:
+        return F.when(a > 0, a * F.log(F.greatest(a, F.lit(1e-9)) / F.greatest(e, F.lit(1e-9)))).otherwise(0.0)
+
+    inside, p = F.col("inside").cast("double"), F.col(positive).cast("double")
+    cells = [(p, n_positive), (inside - p, n - n_positive)]
+    return F.lit(2.0) * sum((term(a, inside * m / n) + term(m - a, (n - inside) * m / n) for a, m in cells), F.lit(0.0))
+
+
+def select_features(sample: DataFrame, n_targets: int) -> list[str]:
+    """The strings that tell a category best, ``MOST_FEATURES`` at most: each batch counts its rows with a string by label,
+    Spark adds the counts up."""
+    positives = [f"_p{k}" for k in range(n_targets)]
+
+    def count(it):
+        for batch in it:
+            seen: dict[str, list[int]] = {}
+            for t, *y in zip(*(batch.column(c).to_pylist() for c in ["_text", *(f"_y{k}" for k in range(n_targets))]), strict=True):
+                for s in {s for w in _words(t)[1] for s in _strings(w)}:
+                    got = seen.setdefault(s, [0] * (n_targets + 1))
+                    got[0] += 1
+                    for k in range(n_targets):
+                        got[k + 1] += y[k]
+            counts = np.array(list(seen.values()), np.int64).reshape(len(seen), n_targets + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(counts[:, k]) for k in range(n_targets + 1))], ["feature", "inside", *positives])
+
+    rows = sample.agg(F.count(F.lit(1)), *(F.sum(f"_y{k}") for k in range(n_targets))).first()
+    counts = sample.mapInArrow(count, f"feature string, inside long, {', '.join(f'{p} long' for p in positives)}")
+    summed = counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ["inside", *positives])).where(F.col("inside") >= SUPPORT)
+    best = F.greatest(F.lit(0.0), *(_ratio(p, rows[0], rows[k + 1] or 0) for k, p in enumerate(positives)))
+    return [r[0] for r in summed.select("feature", best.alias("score")).where(F.col("score") >= RATIO).orderBy(F.desc("score"), "feature").limit(MOST_FEATURES).collect()]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, tuple[str, int]], id_col: str, text_col: str, sample_rows: int) -> DataFrame:
+    """The labelled rows to fit on: _id, _text, and _y0, _y1, ... (0 or 1) for each target."""
+    known = labels.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in [id_col, *(c for c, _ in targets.values())])))
+    slim = known.select(F.col(f"`{id_col}`").alias("_id"), *((F.col(f"`{c}`") == v).cast("int").alias(f"_y{k}") for k, (c, v) in enumerate(targets.values())))
+    slim = slim.groupBy("_id").agg(*(F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(targets))))
+    some = slim.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL")
+    return texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), *(F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(targets))))
 
 
 def train(docs: DataFrame, labels: DataFrame, targets: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Chain:
     """Fits a chain. targets: category to (label column, value that counts as positive), in the chain's order.
 
-    Labels with a null key or value are left out; of several labels of a document one is used. The sample's keys are
-    broadcast: their number is bounded by ``sample_rows``.
+    It is fitted on ``sample_rows`` labelled rows at most, those whose keys hash lowest. Labels with a null key or value
+    are left out; a document with several labels has a category if one of them says so; of several texts of a labelled
+    id the least is used, and null texts are not. Texts stay on the executors: they count strings by label and then send
+    the chosen ones that a text has, as numbers. Without labelled rows every probability is near 0.
     """
-    known = labels.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in [id_col, *(c for c, _ in targets.values())])))
-    slim = known.select(F.col(f"`{id_col}`").alias("_id"), *(F.col(f"`{c}`").alias(f"_y{i}") for i, (c, _) in enumerate(targets.values())))
-    slim = slim.groupBy("_id").agg(*(F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(targets))))
-    share = min(1.0, sample_rows / max(1, slim.count()))
-    some = slim.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * sample_rows)
-    got = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(some), "_id").where("_text IS NOT NULL").orderBy("_id").limit(2 * sample_rows).collect()
-    y = np.array([[r[f"_y{i}"] == v for i, (_, v) in enumerate(targets.values())] for r in got], float).reshape(len(got), len(targets))
-    return fit_chain([r["_text"] for r in got], y, list(targets))
+    sample = stored(sampled(docs, labels, targets, id_col, text_col, sample_rows), "toxicity-sample")
+    features = {s: j for j, s in enumerate(select_features(sample, len(targets)))}
+    held, ys = sample.sparkSession.sparkContext.broadcast(features), [f"_y{k}" for k in range(len(targets))]
+
+    def read(it):
+        find = held.value.get
+        for batch in it:
+            found, shares = [], []
+            for t in batch.column("_text").to_pylist():
+                n_words, distinct = _words(t)
+                found.append(sorted({c for w in distinct for s in _strings(w) if (c := find(s)) is not None}))
+                shares.append(_shares(t, n_words, len(distinct)))
+            made = [pa.array(found, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["_id", *ys]), *made], ["_id", *ys, "columns", "shares"])
+
+    schema = T.StructType([sample.schema["_id"], *(sample.schema[c] for c in ys), T.StructField("columns", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
+    got = sample.mapInArrow(read, schema).orderBy("_id").toArrow().combine_chunks()
+    drop(sample)
+    n, columns = got.num_rows, got.column("columns").combine_chunks()
+    x = np.zeros((n, len(features)), np.float32)
+    x[np.repeat(np.arange(n), pa.compute.list_value_length(columns).to_numpy(zero_copy_only=False)), columns.flatten().to_numpy(zero_copy_only=False)] = 1
+    shares = got.column("shares").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, SHARES)
+    y = np.column_stack([got.column(c).to_numpy().astype(float) for c in ys]).reshape(n, len(targets))
+    return fit_chain(x, shares, y, list(targets), features)
 
 
 def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -180,15 +227,14 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
         for batch in it:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                x = np.zeros((part.num_rows, len(chain.features)), np.float32)
+                of_features = np.zeros((part.num_rows, len(made)))
                 shares = np.zeros((part.num_rows, SHARES))
                 for i, t in enumerate(part.column(text_col).to_pylist()):
                     n_words, distinct = _words(t or "")
                     shares[i] = _shares(t or "", n_words, len(distinct))
-                    for c in {find(s) for w in distinct if w[:GATE] in starts for s in _strings(w)}:
-                        if c is not None:
-                            x[i, c] = 1
-                p = chain.probabilities(x, shares)
+                    has = {find(s) for w in distinct if w[:GATE] in starts for s in _strings(w)} - {None}
+                    of_features[i] = chain.held[sorted(has)].sum(axis=0)
+                p = chain.probabilities(of_features, shares)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(p[:, k]) for k in range(len(made)))], [*kept, *made])
 
     return given.mapInArrow(run, schema)
