@@ -93,7 +93,7 @@ def split_md_chapters(lines: DataFrame, depth: int = 3) -> DataFrame:
     first = F.array_join("lines", " ")
     book = rows.groupBy("doc_id").agg(F.min_by(F.when(F.col("level") == 1, first), F.when((F.col("type") == "heading") & (F.col("level") == 1), F.col("block_no"))).alias("book"))
     out = rows.groupBy("doc_id", "chap_no").agg(F.max(F.when(F.col("is_heading"), first)).alias("title"), F.count("*").alias("n_blocks"))
-    return out.join(book, "doc_id").select("doc_id", "chap_no", normalize_title(F.col("title"), F.lit("正文")).alias("title"), "n_blocks", "book")
+    return out.join(book.hint("merge"), "doc_id").select("doc_id", "chap_no", normalize_title(F.col("title"), F.lit("正文")).alias("title"), "n_blocks", "book")
 
 
 def split_html_chapters(pages: DataFrame) -> DataFrame:
@@ -148,12 +148,23 @@ def blocks_to_paragraphs(blocks: DataFrame) -> DataFrame:
     return blocks.where("type <> 'img'").select("doc_id", "block_no", F.posexplode(parts).alias("pos", "text"))
 
 
+#: Elements that a fold gathers before it puts them aside: to append to an array copies it, so a long one is built of parts.
+PART = 256
+
+
+def _gathered(a: Column, x: Column, kind: str) -> tuple[Column, Column]:
+    """``part`` and ``out`` of a fold's state after one more element."""
+    full = F.size(a["part"]) >= PART
+    return F.array_append(F.when(full, F.array().cast(f"array<{kind}>")).otherwise(a["part"]), x), F.when(full, F.array_append(a["out"], a["part"])).otherwise(a["out"])
+
+
 def wrap_lines(blocks: DataFrame, budget: int, pad: int = 2) -> DataFrame:
-    """Lines of blocks (doc_id, block_no, type, marker, text) within a width: doc_id, block_no, pos, text, width (in
-    hundredths of a wide character).
+    """Lines of blocks (doc_id, block_no, type, marker, text, and level for headings) within a width: doc_id, block_no, pos,
+    text, width (in hundredths of a wide character, indents included), pad, marker, style, bold, mono.
 
     Lines are filled greedily with words and wide characters; a word longer than a line is cut. A paragraph's first line
-    is indented by ``pad``; the lines of a list item all have its marker's width. The fold holds one block.
+    is indented by ``pad``; the lines of a list item all have its marker's width, and the first one has the marker. Lines
+    of headings are bold and have their level's style, those of code are monospaced. The fold holds one block.
     """
     mono = F.col("type") == "code"
     wide = "[⺀-鿿＀-｠　-〿]"
@@ -163,37 +174,53 @@ def wrap_lines(blocks: DataFrame, budget: int, pad: int = 2) -> DataFrame:
     cut = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / F.col("longest")).cast("int")), lambda k: F.substring(t, k * F.col("longest") + 1, F.col("longest")))))
     indent = F.when(F.col("type") == "para", 100 * pad).otherwise(0)
     hang = F.when(F.col("marker") != "", 100 * pad).otherwise(0)
-    start = F.struct(F.lit("").alias("cur"), (indent + hang).cast("int").alias("w"), F.array().cast("array<struct<text:string,width:int>>").alias("out"))
+    line = "struct<text:string,width:int>"
+    start = F.struct(F.lit("").alias("cur"), (indent + hang).cast("int").alias("w"), F.array().cast(f"array<{line}>").alias("part"), F.array().cast(f"array<array<{line}>>").alias("out"))
+
+    def closed(a: Column) -> tuple[Column, Column]:
+        return _gathered(a, F.struct(F.rtrim(a["cur"]).alias("text"), a["w"].alias("width")), line)
 
     def step(a: Column, t: Column) -> Column:
         w = F.when(t.rlike(f"^{wide}$"), 100).otherwise(F.col("unit") * F.length(t)).cast("int")
         blank = t.rlike(r"^\s")
         over = a["w"] + w > 100 * budget
-        done = F.array_append(a["out"], F.struct(F.rtrim(a["cur"]).alias("text"), a["w"].alias("width")))
         cur = F.when(blank & (over | (a["cur"] == "")), F.when(over, "").otherwise(a["cur"])).when(over, t).otherwise(F.concat(a["cur"], t))
         width = F.when(blank & over, F.col("hang")).when(blank & (a["cur"] == ""), a["w"]).when(over, F.col("hang") + w).otherwise(a["w"] + w).cast("int")
-        return F.struct(cur.alias("cur"), width.alias("w"), F.when(over & (a["cur"] != ""), done).otherwise(a["out"]).alias("out"))
+        part, out = closed(a)
+        ends = over & (a["cur"] != "")
+        return F.struct(cur.alias("cur"), width.alias("w"), F.when(ends, part).otherwise(a["part"]).alias("part"), F.when(ends, out).otherwise(a["out"]).alias("out"))
 
     def end(a: Column) -> Column:
-        return F.when(F.rtrim(a["cur"]) != "", F.array_append(a["out"], F.struct(F.rtrim(a["cur"]).alias("text"), a["w"].alias("width")))).otherwise(a["out"])
+        part, out = closed(a)
+        more = F.rtrim(a["cur"]) != ""
+        return F.flatten(F.array_append(F.when(more, out).otherwise(a["out"]), F.when(more, part).otherwise(a["part"])))
 
-    rows = blocks.withColumns({"unit": unit, "longest": longest, "hang": hang}).withColumn("t", cut)
-    return rows.select("doc_id", "block_no", F.posexplode(F.aggregate("t", start, step, end)).alias("pos", "l")).select("doc_id", "block_no", "pos", "l.text", "l.width")
+    level = F.concat(F.lit("h"), F.coalesce(F.col("level"), F.lit(1)).cast("string")) if "level" in blocks.columns else F.lit("h1")
+    style = F.when(F.col("type") == "heading", level).otherwise(F.col("type"))
+    rows = blocks.withColumns({"unit": unit, "longest": longest, "hang": hang, "style": style}).withColumn("t", cut)
+    rows = rows.select("doc_id", "block_no", "type", "hang", "marker", "style", F.posexplode(F.aggregate("t", start, step, end)).alias("pos", "l"))
+    first = F.col("pos") == 0
+    padded = (F.col("hang") / 100 + F.when(first & (F.col("type") == "para"), pad).otherwise(0)).cast("int")
+    return rows.select("doc_id", "block_no", "pos", "l.text", "l.width", padded.alias("pad"), F.when(first & (F.col("marker") != ""), F.col("marker")).alias("marker"), "style", (F.col("type") == "heading").alias("bold"), (F.col("type") == "code").alias("mono"))
 
 
 def place_figures(items: DataFrame, fig_lines: int, page_lines: int = PAGE_LINES) -> DataFrame:
     """Adds line_pos to items (doc_id, chap_no, seq, n_lines, figure): where each begins in its chapter; a figure takes
-    ``fig_lines`` and moves to the next page rather than straddle one."""
-    row = F.struct("seq", "n_lines", "figure")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<seq:int,line_pos:int>>").alias("out"))
+    ``fig_lines`` and moves to the next page rather than straddle one. The fold holds one chapter's items and lays them
+    out again with their places."""
+    rest = [c for c in items.columns if c not in ("doc_id", "chap_no", "seq", "line_pos")]
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("part"), F.array().cast("array<array<int>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         left = page_lines - a["at"] % page_lines
-        at = F.when(x["figure"] & (left < fig_lines), a["at"] + left).otherwise(a["at"])
-        return F.struct((at + F.when(x["figure"], fig_lines).otherwise(x["n_lines"])).cast("int").alias("at"), F.array_append(a["out"], F.struct(x["seq"].cast("int").alias("seq"), at.cast("int").alias("line_pos"))).alias("out"))
-
-    placed = items.groupBy("doc_id", "chap_no").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["out"].alias("z"))
-    return items.join(placed.select("doc_id", "chap_no", F.explode("z").alias("z")).select("doc_id", "chap_no", F.col("z.seq").alias("seq"), F.col("z.line_pos").alias("line_pos")), ["doc_id", "chap_no", "seq"])
+        at = F.when(x["figure"] & (left < fig_lines), a["at"] + left).otherwise(a["at"]).cast("int")
+        part, out = _gathered(a, at, "int")
+        return F.struct((at + F.when(x["figure"], fig_lines).otherwise(x["n_lines"])).cast("int").alias("at"), part.alias("part"), out.alias("out"))
+
+    rows = items.groupBy("doc_id", "chap_no").agg(F.sort_array(F.collect_list(F.struct("seq", *rest))).alias("s"))
+    places = F.aggregate("s", start, step, lambda a: F.flatten(F.array_append(a["out"], a["part"])))
+    placed = rows.select("doc_id", "chap_no", F.inline(F.zip_with("s", places, lambda x, p: F.struct(x.alias("item"), p.alias("line_pos")))))
+    return placed.select("doc_id", "chap_no", "item.*", "line_pos")
 
 
 def paginate(line_counts: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:

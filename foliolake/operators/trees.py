@@ -1,54 +1,67 @@
 """Trees, keyed lookups and generations, as joins.
 
 Trees are walked level by level: one equi join a level, bounded by a depth that the formats fix, each level written to
-the checkpoint folder where one is set so that the plan stays short. Paths are arrays of places, whose order is that of
-the walk.
+the checkpoint folder so that the plan stays short. Paths are arrays of places, whose order is that of the walk. A level
+has each node once, with its first path, so that shared parts of a tree are no more work than others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.sources.shared import cut
 
 #: How deep page trees, name trees and outlines are followed, and the wrapping of destinations.
-PAGE_DEPTH, NAME_DEPTH, OUTLINE_DEPTH = 64, 16, 3
+PAGE_DEPTH, NAME_DEPTH, OUTLINE_DEPTH, WRAPS = 64, 16, 3, 8
 NO_NAME = ("W", "Index")
+#: What pages have from the nearest node above them that has it.
+INHERITED = ("resources", "media_box", "rotate")
+
+
+def _firsts(level: DataFrame) -> DataFrame:
+    """Each node of a level by its first path. A later path of the same length can only lead to later places."""
+    rest = [c for c in level.columns if c not in ("doc_id", "node", "path")]
+    return level.groupBy("doc_id", "node").agg(F.min_by(F.struct("path", *rest), "path").alias("r")).select("doc_id", "node", "r.*")
 
 
 def flatten_page_tree(nodes: DataFrame, depth: int = PAGE_DEPTH) -> DataFrame:
-    """Leaves in order with inherited attributes: doc_id, node, page_no, resources.
+    """Leaves in order with inherited attributes: doc_id, node, page_no, and of ``INHERITED`` the columns that nodes have.
 
-    nodes: doc_id, node, parent (null for a root), ord (place among siblings), type, resources. A node that its own
-    path has already is not followed again. A leaf is what is a page, or has no children and isn't a branch.
+    nodes: doc_id, node, parent (null for a root), ord (place among siblings), type, attributes. A node with several
+    parents counts where the walk meets it first, and a node that its own path has already is not followed again. A leaf
+    is what is a page, or has no children and isn't a branch. A document's pages are numbered together, so it bounds a
+    group.
     """
-    kids = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent").alias("_up"), F.col("node").alias("_kid"), F.col("ord").alias("_ord"), F.col("type").alias("_type"), F.col("resources").alias("_own"))
+    own = [c for c in INHERITED if c in nodes.columns]
+    kids = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent").alias("_up"), F.col("node").alias("_kid"), F.col("ord").alias("_ord"), F.col("type").alias("_type"), *(F.col(c).alias(f"_{c}") for c in own))
     branch = nodes.select("doc_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct().withColumn("has_kids", F.lit(True))
-    level = nodes.where("parent IS NULL").select("doc_id", "node", "type", "resources", F.array("ord").alias("path"), F.array("node").alias("seen"))
-    found = None
+    level = nodes.where("parent IS NULL").select("doc_id", "node", "type", *own, F.array("ord").alias("path"), F.array("node").alias("seen"))
+    leaves = []
     for _ in range(depth):
-        level = cut(level)
+        level = cut(_firsts(level))
         if level.isEmpty():
             break
-        marked = level.join(branch, ["doc_id", "node"], "left")
-        leaf = marked.where("type = 'Page' OR (type <> 'Pages' AND has_kids IS NULL)").select("doc_id", "node", "resources", "path")
-        found = leaf if found is None else found.unionByName(leaf)
+        marked = level.join(branch.hint("merge"), ["doc_id", "node"], "left")
+        leaves.append(marked.where("type = 'Page' OR (type <> 'Pages' AND has_kids IS NULL)").select("doc_id", "node", *own, "path"))
         inner = marked.where("type = 'Pages' OR (has_kids AND type <> 'Page')")
-        step = inner.join(kids, (F.col("_doc") == F.col("doc_id")) & (F.col("_up") == F.col("node"))).where(~F.array_contains("seen", F.col("_kid")))
-        level = step.select("doc_id", F.col("_kid").alias("node"), F.col("_type").alias("type"), F.coalesce("_own", "resources").alias("resources"), F.array_append("path", F.col("_ord")).alias("path"), F.array_append("seen", F.col("_kid")).alias("seen"))
-    if found is None:
-        found = nodes.where("false").select("doc_id", "node", "resources", F.array("ord").alias("path"))
-    first = found.groupBy("doc_id", "node").agg(F.min_by("resources", "path").alias("resources"), F.min("path").alias("path"))
+        step = inner.join(kids.hint("merge"), (F.col("_doc") == F.col("doc_id")) & (F.col("_up") == F.col("node"))).where(~F.array_contains("seen", F.col("_kid")))
+        inherited = (F.coalesce(f"_{c}", c).alias(c) for c in own)
+        level = step.select("doc_id", F.col("_kid").alias("node"), F.col("_type").alias("type"), *inherited, F.array_append("path", F.col("_ord")).alias("path"), F.array_append("seen", F.col("_kid")).alias("seen"))
+    found = reduce(DataFrame.unionByName, leaves) if leaves else nodes.where("false").select("doc_id", "node", *own, F.array("ord").alias("path"))
     order = Window.partitionBy("doc_id").orderBy("path")
-    return first.select("doc_id", "node", (F.row_number().over(order) - 1).alias("page_no"), "resources")
+    return _firsts(found).select("doc_id", "node", (F.row_number().over(order) - 1).alias("page_no"), *own)
 
 
-def page_tree_fallback(pages: DataFrame, objects: DataFrame) -> DataFrame:
-    """Pages, and for documents without any all objects of type Page in the order of their numbers. objects: doc_id, num,
-    type; pages: doc_id, num, page_no."""
+def page_tree_fallback(pages: DataFrame, objects: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """Pages, and for documents without any that were scanned byte by byte all objects of type Page in the order of their
+    numbers. objects: doc_id, num, type; pages: doc_id, num, page_no; scanned: doc_id (all documents if not given)."""
     order = Window.partitionBy("doc_id").orderBy("num")
-    more = objects.where("type = 'Page'").join(pages.select("doc_id").distinct(), "doc_id", "left_anti")
+    more = objects.where("type = 'Page'").join(pages.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+    if scanned is not None:
+        more = more.join(scanned.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     return pages.select("doc_id", "num", "page_no").unionByName(more.select("doc_id", "num", (F.row_number().over(order) - 1).alias("page_no")))
 
 
@@ -87,27 +100,56 @@ def flatten_name_tree(nodes: DataFrame, depth: int = NAME_DEPTH) -> DataFrame:
     leading slash. nodes: doc_id, node, parent, ord, name, page_ref (both null for a branch)."""
     level = nodes.where("parent IS NULL").select("doc_id", "node", "name", "page_ref", F.array("ord").alias("path"))
     kids = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent").alias("_up"), F.col("node").alias("_kid"), F.col("ord").alias("_ord"), F.col("name").alias("_name"), F.col("page_ref").alias("_ref"))
-    found = None
+    leaves = []
     for _ in range(depth):
-        level = cut(level)
+        level = cut(_firsts(level))
         if level.isEmpty():
             break
-        leaf = level.where("name IS NOT NULL").select("doc_id", F.regexp_replace("name", "^/", "").alias("name"), "page_ref", "path")
-        found = leaf if found is None else found.unionByName(leaf)
-        step = level.join(kids, (F.col("_doc") == F.col("doc_id")) & (F.col("_up") == F.col("node")))
+        leaves.append(level.where("name IS NOT NULL").select("doc_id", F.regexp_replace("name", "^/", "").alias("name"), "page_ref", "path"))
+        step = level.join(kids.hint("merge"), (F.col("_doc") == F.col("doc_id")) & (F.col("_up") == F.col("node")))
         level = step.select("doc_id", F.col("_kid").alias("node"), F.col("_name").alias("name"), F.col("_ref").alias("page_ref"), F.array_append("path", F.col("_ord")).alias("path"))
-    found = nodes.where("false").select("doc_id", "name", "page_ref", F.array("ord").alias("path")) if found is None else found
+    found = reduce(DataFrame.unionByName, leaves) if leaves else nodes.where("false").select("doc_id", "name", "page_ref", F.array("ord").alias("path"))
     return found.groupBy("doc_id", "name").agg(F.min_by("page_ref", "path").alias("page_ref"), F.min("path").alias("path"))
 
 
+def unwrap_dests(dests: DataFrame, objects: DataFrame, wraps: int = WRAPS) -> DataFrame:
+    """Destinations with what they lead to: doc_id, origin, name, page_ref.
+
+    dests: doc_id, origin, name, num (the object that the name stands for); objects: doc_id, num, kind, page_ref (of an
+    ``array``), inner (number of the object that the key D of a ``dict`` refers to, or null). At most so many objects are
+    looked at; whatever isn't an array by then, or isn't there, leads nowhere, and its page_ref is null.
+    """
+    o = objects.select("doc_id", "num", F.col("kind").alias("_kind"), F.col("page_ref").alias("_ref"), F.col("inner").alias("_inner")).hint("merge")
+    open_, done = dests.select("doc_id", "origin", "name", "num"), []
+    for _ in range(wraps):
+        met = cut(open_.join(o, ["doc_id", "num"], "left"))
+        ends = (F.col("_kind") == "dict") & F.col("_inner").isNotNull()
+        done.append(met.where(~F.coalesce(ends, F.lit(False))).select("doc_id", "origin", "name", F.when(F.col("_kind") == "array", F.col("_ref")).alias("page_ref")))
+        open_ = met.where(ends).select("doc_id", "origin", "name", F.col("_inner").alias("num"))
+        if open_.isEmpty():
+            break
+    else:
+        done.append(open_.select("doc_id", "origin", "name", F.lit(None).cast(objects.schema["page_ref"].dataType).alias("page_ref")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def dest_names(entries: DataFrame) -> DataFrame:
+    """Adds dest_name to entries: their own named destination (dest_name), else the name that leads an array of theirs
+    (array_name), else, for entries without a destination, the name that a GoTo action has (action, action_name). Entries
+    may lack some of these columns."""
+    has = lambda c: F.col(c) if c in entries.columns else F.lit(None).cast("string")
+    return entries.withColumn("dest_name", F.coalesce(has("dest_name"), has("array_name"), F.when(has("action") == "GoTo", has("action_name"))))
+
+
 def resolve_named_dest(entries: DataFrame, dests: DataFrame) -> DataFrame:
     """Adds page_ref to entries (doc_id, dest_name): the old dictionary by name, then by the name with a slash, then the
-    name tree. dests: doc_id, origin ('dict' or 'tree'), name, page_ref."""
-    d = dests.groupBy("doc_id", "origin", "name").agg(F.min("page_ref").alias("page_ref"))
-    side = lambda origin, out: d.where(F.col("origin") == origin).select("doc_id", F.col("name").alias("dest_name"), F.col("page_ref").alias(out))
-    by_slash = d.where("origin = 'dict' AND name LIKE '/%'").select("doc_id", F.substring("name", F.lit(2), F.length("name")).alias("dest_name"), F.col("page_ref").alias("b"))
+    name tree. The first that has the name counts, even if it leads nowhere. dests: doc_id, origin ('dict' or 'tree'),
+    name, page_ref."""
+    d = dests.groupBy("doc_id", "origin", "name").agg(F.struct(F.min("page_ref").alias("page_ref")).alias("found"))
+    side = lambda origin, out: d.where(F.col("origin") == origin).select("doc_id", F.col("name").alias("dest_name"), F.col("found").alias(out)).hint("merge")
+    by_slash = d.where("origin = 'dict' AND name LIKE '/%'").select("doc_id", F.substring("name", F.lit(2), F.length("name")).alias("dest_name"), F.col("found").alias("b")).hint("merge")
     out = entries.join(side("dict", "a"), ["doc_id", "dest_name"], "left").join(by_slash, ["doc_id", "dest_name"], "left").join(side("tree", "c"), ["doc_id", "dest_name"], "left")
-    return out.withColumn("page_ref", F.coalesce("a", "b", "c")).drop("a", "b", "c")
+    return out.withColumn("page_ref", F.coalesce("a", "b", "c")["page_ref"]).drop("a", "b", "c")
 
 
 def dest_to_page(dests: DataFrame, pages: DataFrame) -> DataFrame:
@@ -142,17 +184,14 @@ def scan_markers(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, num, pos: the last place (in code points, of the number's first digit) of each object's mark."""
     found = F.regexp_extract_all(text_col, F.lit(MARKER), F.lit(0))
     pieces = F.split(F.col(text_col), MARKER, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<num:string,pos:int>>").alias("out"))
-
-    def step(a, x):  # noqa: ANN001, ANN202
-        end = a["at"] + F.length(x["p"]) + F.length(x["m"])
-        num = F.regexp_extract(x["m"], MARKER, 1)
-        lead = F.when(x["m"].rlike(r"^\d"), 0).otherwise(1)
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(num.alias("num"), (a["at"] + F.length(x["p"]) + lead).alias("pos"))).alias("out"))
-
-    placed = F.aggregate(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), zero, step)["out"]
-    rows = docs.where(F.contains(text_col, F.lit("obj"))).where(F.size(found) > 0).select("doc_id", F.explode(placed).alias("o"))
-    return rows.groupBy("doc_id", F.col("o.num").cast("long").alias("num")).agg(F.max("o.pos").alias("pos"))
+    lead = lambda m: F.when(m.rlike(r"^\d"), 0).otherwise(1)
+    mark = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct((F.length(p) + lead(m)).alias("before"), (F.length(m) - lead(m)).alias("size"), F.regexp_extract(m, MARKER, 1).cast("long").alias("num")))
+    given = docs.where(F.contains(text_col, F.lit("obj"))).select("doc_id", F.xxhash64(text_col).alias("text"), F.posexplode(mark).alias("k", "m"))
+    # Rows of one id and text have the same marks, which count once.
+    rows = given.groupBy("doc_id", "text", "k").agg(F.first("m").alias("m")).select("doc_id", "text", "k", "m.*")
+    before = Window.partitionBy("doc_id", "text").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.coalesce(F.sum(F.col("before") + F.col("size")).over(before), F.lit(0)) + F.col("before")
+    return rows.select("doc_id", "num", pos.cast("int").alias("pos")).groupBy("doc_id", "num").agg(F.max("pos").alias("pos"))
 
 
 def lookup_chain(refs: DataFrame, first: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
@@ -161,7 +200,7 @@ def lookup_chain(refs: DataFrame, first: DataFrame, second: DataFrame, third: Da
     one = lambda t, name: t.groupBy("doc_id", "num").agg(F.min_by("value", "seq").alias(name))
     out = refs
     for t, name in ((first, "_a"), (second, "_b"), (third, "_c")):
-        out = out.join(one(t, name), ["doc_id", "num"], "left")
+        out = out.join(one(t, name).hint("merge"), ["doc_id", "num"], "left")
     origin = F.when(F.col("_a").isNotNull(), "xref").when(F.col("_b").isNotNull(), "scan").when(F.col("_c").isNotNull(), "embedded")
     return out.withColumns({"value": F.coalesce("_a", "_b", "_c"), "origin": origin}).drop("_a", "_b", "_c")
 

@@ -167,15 +167,37 @@ def c13_blocks_to_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks_to_paragraphs(turns(spark, sf))
 
 
-@query(f"WITH {TYPED} SELECT doc_id, block_no, true AS fits, regexp_replace(text, '\\s+', '', 'g') AS letters FROM turns_v WHERE type <> 'img' AND trim(text) <> ''")
+#: The same greedy rule token by token: what a blank, a token beyond the width and any other one do to the open line.
+WRAPPED = rf"""WITH RECURSIVE {TYPED}, b AS (SELECT doc_id, block_no, type, text, CASE WHEN type = 'heading' THEN '' ELSE CASE WHEN block_no % 8 = 0 THEN '•' ELSE '' END END AS marker FROM turns_v WHERE type <> 'img'),
+u AS (SELECT *, CASE WHEN type = 'code' THEN 62 ELSE 55 END AS unit, CASE WHEN type = 'code' THEN 35 ELSE 40 END AS longest, CASE WHEN marker <> '' THEN 200 ELSE 0 END AS hang,
+    regexp_extract_all(text, '[⺀-鿿＀-｠　-〿]|[^\s⺀-鿿＀-｠　-〿]+|\s+') AS ts FROM b),
+c AS (SELECT doc_id, block_no, unit, hang, flatten(list_transform(ts, lambda t: list_transform(range(0, (length(t) - 1) // longest + 1), lambda k: substr(t, CAST(k * longest + 1 AS BIGINT), longest)))) AS ts FROM u),
+k AS (SELECT doc_id, block_no, hang, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i, unit FROM c),
+tok AS (SELECT *, CASE WHEN regexp_matches(t, '^[⺀-鿿＀-｠　-〿]$') THEN 100 ELSE unit * length(t) END AS tw, regexp_matches(t, '^\s') AS blank FROM k),
+r AS (SELECT doc_id, block_no, CAST(0 AS BIGINT) AS i, 0 AS line, CAST(hang + CASE WHEN type = 'para' THEN 200 ELSE 0 END AS BIGINT) AS w, true AS bare, false AS shown, '' AS t FROM u
+UNION ALL SELECT r.doc_id, r.block_no, x.i, CASE WHEN r.w + tw > 2400 AND NOT bare THEN line + 1 ELSE line END, CASE WHEN blank AND r.w + tw > 2400 THEN hang WHEN blank AND bare THEN r.w WHEN r.w + tw > 2400 THEN hang + tw ELSE r.w + tw END,
+    blank AND (r.w + tw > 2400 OR bare), NOT (blank AND (r.w + tw > 2400 OR bare)), x.t FROM r JOIN tok x ON x.doc_id = r.doc_id AND x.block_no = r.block_no AND x.i = r.i + 1),
+l AS (SELECT doc_id, block_no, line AS pos, rtrim(string_agg(t, '' ORDER BY i)) AS text, max(w) AS width FROM r WHERE shown GROUP BY doc_id, block_no, line)"""
+
+
+@query(
+    f"""{WRAPPED} SELECT l.doc_id, l.block_no, pos, l.text, CAST(width AS INTEGER) AS width, CAST(CASE WHEN marker <> '' THEN 2 ELSE 0 END + CASE WHEN pos = 0 AND type = 'para' THEN 2 ELSE 0 END AS INTEGER) AS pad,
+CASE WHEN pos = 0 AND marker <> '' THEN marker END AS marker, CASE type WHEN 'heading' THEN 'h' || (l.block_no % 3 + 1) ELSE type END AS style, type = 'heading' AS bold, type = 'code' AS mono FROM l JOIN b ON b.doc_id = l.doc_id AND b.block_no = l.block_no"""
+)
 def c14_wrap_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns wrapped to a width of 24: whether all lines fit, and their letters."""
-    b = turns(spark, sf).where("type <> 'img'").withColumn("marker", F.lit(""))
-    lines = C.wrap_lines(b, 24).groupBy("doc_id", "block_no").agg(F.bool_and(F.col("width") <= 2400).alias("fits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("t"))
-    return lines.select("doc_id", "block_no", "fits", F.regexp_replace("t", r"\s+", "").alias("letters"))
+    """Turns as blocks, wrapped to a width of 24."""
+    marker = F.when((F.col("type") != "heading") & (F.col("block_no") % 8 == 0), "•").otherwise("")
+    b = turns(spark, sf).where("type <> 'img'").withColumns({"marker": marker, "level": F.col("block_no") % 3 + 1})
+    return C.wrap_lines(b, 24)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V.IMAGES}, i AS (SELECT doc_id, page_no AS chap_no, img_seq AS seq, height % 4 + 1 AS n_lines, img_seq % 5 = 0 AS figure, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY img_seq) AS k FROM images_v),
+r AS (SELECT doc_id, chap_no, seq, n_lines, figure, k, 0 AS line_pos FROM i WHERE k = 1
+UNION ALL SELECT i.doc_id, i.chap_no, i.seq, i.n_lines, i.figure, i.k, r.line_pos + CASE WHEN r.figure THEN 6 ELSE r.n_lines END + CASE WHEN i.figure AND 15 - (r.line_pos + CASE WHEN r.figure THEN 6 ELSE r.n_lines END) % 15 < 6
+    THEN 15 - (r.line_pos + CASE WHEN r.figure THEN 6 ELSE r.n_lines END) % 15 ELSE 0 END FROM r JOIN i ON i.doc_id = r.doc_id AND i.chap_no = r.chap_no AND i.k = r.k + 1)
+SELECT doc_id, chap_no, seq, n_lines, figure, line_pos FROM r"""
+)
 def c15_place_figures(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as items of suppliers' chapters; each fifth is a figure."""
     items = V.images(spark, sf).selectExpr("doc_id", "page_no chap_no", "img_seq seq", "height % 4 + 1 n_lines", "img_seq % 5 = 0 figure")

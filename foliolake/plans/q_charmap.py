@@ -81,13 +81,19 @@ def d3_decode_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CJK = "中文发票测试"
+CHARSETS = {"gbk": CJK, "big5": "中文", "shift_jis": "日本", "euc-jp": "日本", "euc-kr": "한국", "unicode": CJK}
 
 
-@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'gbk' WHEN 1 THEN 'unicode' ELSE 'shift_jis' END AS charset, CASE WHEN doc_id % 3 = 2 THEN '日本' ELSE '{CJK}' END || (doc_id % 10) AS text FROM documents")
+@query(
+    rf"""WITH c AS (SELECT *, CASE WHEN regexp_matches(text, '[^\x20-\x5B\x5D-\x7D\n]') THEN 'unicode' ELSE ({list(CHARSETS)})[(doc_id % {len(CHARSETS)}) + 1] END AS charset FROM documents)
+SELECT doc_id, charset, md5((MAP {{{', '.join(f"'{k}': '{v}'" for k, v in CHARSETS.items())}}})[charset] || text) AS digest FROM c"""
+)
 def d4_decode_legacy_cjk(spark: SparkSession, sf: str) -> DataFrame:
-    """A Chinese or Japanese text with each document's last digit, in three charsets by turns."""
-    by = lambda name, text: F.lit(bytearray(text.encode(name)))
-    k, digit = F.col("doc_id") % 3, (F.col("doc_id") % 10).cast("string")
-    raw = F.when(k == 0, F.concat(by("gbk", CJK), F.encode(digit, "UTF-8"))).when(k == 1, F.concat(by("utf_16_be", CJK), F.encode(digit, "UTF-16BE"))).otherwise(F.concat(by("shift_jis", "日本"), F.encode(digit, "UTF-8")))
-    rows = table(spark, sf, "documents").select("doc_id", F.when(k == 0, "gbk").when(k == 1, "unicode").otherwise("shift_jis").alias("charset"), raw.alias("raw"))
-    return D.decode_legacy_cjk(rows, "raw", "charset", "text").select("doc_id", "charset", "text")
+    """Documents led by some East Asian characters in six charsets by turns; those with other letters in UTF-16."""
+    names = list(CHARSETS)
+    turn = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names)).cast("int") + 1)
+    charset = F.when(F.col("text").rlike(r"[^\x20-\x5B\x5D-\x7D\n]"), "unicode").otherwise(turn)
+    head = F.create_map(*(x for k, v in CHARSETS.items() for x in (F.lit(k), F.lit(bytearray(v.encode(D.CODECS[k]))))))
+    raw = F.concat(head[F.col("charset")], F.when(F.col("charset") == "unicode", F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8")))
+    rows = table(spark, sf, "documents").select("doc_id", "text", charset.alias("charset")).select("doc_id", "charset", raw.alias("raw"))
+    return D.decode_legacy_cjk(rows, "raw", "charset", "text").select("doc_id", "charset", F.md5("text").alias("digest"))

@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from foliolake.plans import views as V
 from foliolake.plans.registry import query, table
 from foliolake.sources import files as S
+from foliolake.sources.shared import shared_dir
 from foliolake.streaming import ingest
 
 
-@query(f"WITH {V.FILES} SELECT doc_id, path, regexp_extract(path, '[^.]*$') AS ext, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest FROM files_v")
+@query(f"WITH {V.FILES} SELECT doc_id, path, 'txt' AS ext, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest FROM files_v")
 def s1_scan_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as files, with their bytes' number and digest. (Extensions are read as they are stored.)"""
-    f = V.files(spark, sf).withColumn("content", F.encode("text", "UTF-8"))
-    return f.select("doc_id", "path", F.substring_index("path", ".", -1).alias("ext"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+    """Documents written as files of a few hundred lines each, scanned again, and their lines read."""
+    base = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
+    V.files(spark, sf).select(F.to_json(F.struct("doc_id", "path", "text")).alias("value")).write.option("maxRecordsPerFile", 500).text(f"{base}/out")
+    scanned = S.scan_files(spark, f"{base}/out", "*.txt")
+    lines = scanned.select("ext", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    row = lines.select("ext", F.from_json("line", "doc_id long, path string, text string").alias("r")).select("ext", "r.*")
+    return row.select("doc_id", "path", "ext", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("digest"))
 
 
 @query(
@@ -81,8 +86,7 @@ def s6_import_summary(spark: SparkSession, sf: str) -> DataFrame:
 def s7_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that arrive as files of a table, imported by a stream that ends when all are in. (A pattern, as a stream
     takes a path without one for a folder.)"""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     slim = lambda b: b.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
     ingest.ingest_table(spark, f"{sf}/documents.parque[t]", "doc_id long, text string", "doc_id", f"{base}/out", f"{base}/progress", slim).awaitTermination()
     return ingest.latest(spark, f"{base}/out").select("doc_id", "digest", "n")

@@ -10,24 +10,28 @@ from foliolake.plans import views as V
 from foliolake.plans.q_sources import TRAILERS, trailers
 from foliolake.plans.registry import query, table
 
-TREE = f"""WITH RECURSIVE {V.PAGE_NODES}, walk AS (SELECT doc_id, node, type, resources, [ord] AS path FROM page_nodes_v WHERE parent IS NULL
-UNION ALL SELECT k.doc_id, k.node, k.type, coalesce(k.resources, w.resources), list_append(w.path, k.ord) FROM walk w JOIN page_nodes_v k ON k.parent = w.node AND k.doc_id = w.doc_id)"""
+#: Every path of the walk that meets no node twice.
+TREE = f"""WITH RECURSIVE {V.PAGE_NODES}, walk AS (SELECT doc_id, node, type, resources, media_box, rotate, [ord] AS path, [node] AS seen FROM page_nodes_v WHERE parent IS NULL
+UNION ALL SELECT k.doc_id, k.node, k.type, coalesce(k.resources, w.resources), coalesce(k.media_box, w.media_box), coalesce(k.rotate, w.rotate), list_append(w.path, k.ord), list_append(w.seen, k.node)
+FROM walk w JOIN page_nodes_v k ON k.parent = w.node AND k.doc_id = w.doc_id WHERE NOT list_contains(w.seen, k.node)),
+first_v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, node ORDER BY path) AS r FROM walk WHERE type = 'Page') WHERE r = 1)"""
 
 
-@query(f"{TREE} SELECT doc_id, node, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS page_no, resources FROM walk WHERE type = 'Page'")
+@query(f"{TREE} SELECT doc_id, node, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS page_no, resources, media_box, rotate FROM first_v")
 def h1_flatten_page_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as pages below nations and regions."""
+    """Customers as pages of nations as documents."""
     return T.flatten_page_tree(V.page_nodes(spark, sf))
 
 
 @query(
     """WITH p AS (SELECT c_nationkey AS doc_id, c_custkey AS num, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page_no FROM customer WHERE c_nationkey % 3 = 0),
-o AS (SELECT c_nationkey AS doc_id, c_custkey AS num, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page_no FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 3 <> 0)
+o AS (SELECT c_nationkey AS doc_id, c_custkey AS num, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page_no FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 3 <> 0 AND c_nationkey % 2 = 1)
 SELECT doc_id, num, CAST(page_no AS INTEGER) AS page_no FROM (SELECT * FROM p UNION ALL SELECT * FROM o)"""
 )
 def h2_page_tree_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as documents; two of three have no page tree."""
-    return T.page_tree_fallback(_pages(spark, sf).where("doc_id % 3 = 0"), table(spark, sf, "customer").selectExpr("c_nationkey doc_id", "c_custkey num", "IF(c_custkey % 2 = 0, 'Page', 'Font') type"))
+    """Nations as documents; two of three have no page tree, and every second one was scanned."""
+    objects = table(spark, sf, "customer").selectExpr("c_nationkey doc_id", "c_custkey num", "IF(c_custkey % 2 = 0, 'Page', 'Font') type")
+    return T.page_tree_fallback(_pages(spark, sf).where("doc_id % 3 = 0"), objects, table(spark, sf, "nation").selectExpr("n_nationkey doc_id").where("doc_id % 2 = 1"))
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,26 +51,34 @@ def h3_flatten_outline(spark: SparkSession, sf: str) -> DataFrame:
     return T.flatten_outline(nodes, nodes.select("doc_id").distinct().withColumn("first", F.lit(0)))
 
 
-@query(f"{TREE} SELECT doc_id, name, min_by(page_ref, path) AS page_ref, len(min(path)) AS depth FROM (SELECT doc_id, path, 'k' || (CAST(substr(node, 2) AS INTEGER) % 700) AS name, CAST(substr(node, 2) AS INTEGER) AS page_ref FROM walk WHERE type = 'Page') GROUP BY doc_id, name")
+@query(f"{TREE} SELECT doc_id, name, min_by(page_ref, path) AS page_ref, len(min(path)) AS depth FROM (SELECT doc_id, path, 'k' || (CAST(substr(node, 2) AS INTEGER) % 70) AS name, CAST(substr(node, 2) AS INTEGER) AS page_ref FROM first_v) GROUP BY doc_id, name")
 def h4_flatten_name_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """The tree of customers as a name tree in which names come again."""
+    """The trees of customers as name trees in which names come again."""
     leaf = F.col("type") == "Page"
     num = F.expr("CAST(substr(node, 2) AS INT)")
-    nodes = V.page_nodes(spark, sf).select("doc_id", "node", "parent", "ord", F.when(leaf, F.concat(F.when(num % 2 == 0, "/").otherwise(""), F.lit("k"), (num % 700).cast("string"))).alias("name"), F.when(leaf, num).alias("page_ref"))
+    nodes = V.page_nodes(spark, sf).where("ord NOT IN (98, 99) OR type = 'Page'")
+    nodes = nodes.select("doc_id", "node", "parent", "ord", F.when(leaf, F.concat(F.when(num % 2 == 0, "/").otherwise(""), F.lit("k"), (num % 70).cast("string"))).alias("name"), F.when(leaf, num).alias("page_ref"))
     return T.flatten_name_tree(nodes).select("doc_id", "name", "page_ref", F.size("path").cast("long").alias("depth"))
 
 
-DESTS = """dests_v AS (SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'dict' ELSE 'tree' END AS origin, CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END || 'd' || (c_custkey // 4 % 50) AS name, c_custkey AS page_ref FROM customer),
+#: A name stands for a chain of as many wrappers as its customer's key says; longer ones, and some others, lead nowhere.
+DESTS = """dests_v AS (SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'dict' ELSE 'tree' END AS origin, CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END || 'd' || (c_custkey // 4 % 50) AS name, CASE WHEN c_custkey % 10 < 8 AND c_custkey % 23 <> 0 THEN c_custkey END AS page_ref FROM customer),
 d_v AS (SELECT doc_id, origin, name, min(page_ref) AS page_ref FROM dests_v GROUP BY ALL),
-entries_v AS (SELECT o_orderkey AS entry, o_custkey % 25 AS doc_id, 'd' || (o_orderkey % 60) AS dest_name FROM orders),
-resolved_v AS (SELECT e.*, coalesce(a.page_ref, b.page_ref, c.page_ref) AS page_ref FROM entries_v e LEFT JOIN d_v a ON a.doc_id = e.doc_id AND a.origin = 'dict' AND a.name = e.dest_name
+entries_v AS (SELECT o_orderkey AS entry, o_custkey % 25 AS doc_id, CASE WHEN o_orderkey % 4 <> 3 THEN 'd' || (o_orderkey % 60) END AS dest_name FROM orders),
+resolved_v AS (SELECT e.*, CASE WHEN a.doc_id IS NOT NULL THEN a.page_ref WHEN b.doc_id IS NOT NULL THEN b.page_ref ELSE c.page_ref END AS page_ref FROM entries_v e LEFT JOIN d_v a ON a.doc_id = e.doc_id AND a.origin = 'dict' AND a.name = e.dest_name
 LEFT JOIN d_v b ON b.doc_id = e.doc_id AND b.origin = 'dict' AND b.name = '/' || e.dest_name LEFT JOIN d_v c ON c.doc_id = e.doc_id AND c.origin = 'tree' AND c.name = e.dest_name)"""
 
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as outline entries with named destinations."""
-    d = table(spark, sf, "customer").selectExpr("c_nationkey doc_id", "IF(c_custkey % 2 = 0, 'dict', 'tree') origin", "concat(IF(c_custkey % 4 = 0, '/', ''), 'd', c_custkey DIV 4 % 50) name", "c_custkey page_ref")
-    return T.resolve_named_dest(table(spark, sf, "orders").selectExpr("o_orderkey entry", "o_custkey % 25 doc_id", "concat('d', o_orderkey % 60) dest_name"), d)
+    """Orders as outline entries that name their destinations in four ways."""
+    c = table(spark, sf, "customer")
+    d = c.selectExpr("c_nationkey doc_id", "IF(c_custkey % 2 = 0, 'dict', 'tree') origin", "concat(IF(c_custkey % 4 = 0, '/', ''), 'd', c_custkey DIV 4 % 50) name", "c_custkey * 100 num")
+    chain = c.selectExpr("c_nationkey doc_id", "c_custkey", "explode(sequence(0, CAST(c_custkey % 10 AS INT))) j")
+    last = "j = c_custkey % 10"
+    objects = chain.selectExpr("doc_id", "c_custkey * 100 + j num", f"CASE WHEN NOT {last} THEN 'dict' WHEN c_custkey % 23 = 0 THEN 'number' ELSE 'array' END kind", f"IF({last}, c_custkey, NULL) page_ref", f"IF({last}, NULL, c_custkey * 100 + j + 1) inner")
+    way = lambda k, name: f"IF(o_orderkey % 4 = {k}, concat('d', o_orderkey % 60), NULL) {name}"
+    entries = table(spark, sf, "orders").selectExpr("o_orderkey entry", "o_custkey % 25 doc_id", way(0, "dest_name"), way(1, "array_name"), "CASE o_orderkey % 4 WHEN 2 THEN 'GoTo' WHEN 3 THEN 'Launch' END action", "IF(o_orderkey % 4 >= 2, concat('d', o_orderkey % 60), NULL) action_name")
+    return T.resolve_named_dest(T.dest_names(entries), T.unwrap_dests(d, objects))
 
 
 @query(f"WITH {DESTS} SELECT entry, doc_id, dest_name, page_ref FROM resolved_v")

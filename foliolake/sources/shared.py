@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` or, where it is unset (tests on one machine), one in the warehouse."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that what follows reads files that outlive an executor and the plan
-    starts there. The folder is that of ``spark.checkpoint.dir`` or, where it is unset (tests on one machine), one in the
-    warehouse. Spark deletes the files once nothing refers to them, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    starts there. Spark deletes the files once nothing refers to them, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
     is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(given or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -49,6 +49,97 @@ def test_replay(spark):
     assert got[0]["mono"] and not got[4]["mono"]
 
 
+OPS = "doc_id long, page_no int, stream_id int, seq int, op string, nums array<double>, str string, font string"
+
+
+def replayed(spark, *streams):
+    """Spans and images of one page; each stream is (number, operations)."""
+    floats = lambda x: None if x is None else [float(v) for v in x]
+    rows = [(1, 0, s, i, o[0], floats(o[1]) if len(o) > 1 else None, o[2] if len(o) > 2 else None, o[3] if len(o) > 3 else None) for s, ops in streams for i, o in enumerate(ops)]
+    return L.replay_oplog(spark.createDataFrame(rows, OPS))
+
+
+def test_blank_of_a_text_array(spark):
+    ops = [("BT",), ("Tf", [12.0], None, "F1"), ("Td", [72, 660]), ("Tj", None, "Part"), ("TJn", [-300]), ("Tj", None, "A")]
+    assert L.reading_text(replayed(spark, (0, ops)).drop("image")).first()["text"] == "Part A"
+    # Before any text a blank hides where the line begins, so that the gap is from the page's edge.
+    ops = [("BT",), ("Tf", [10.0], None, "F1"), ("Td", [22, 0]), ("TJn", [-300]), ("Tj", None, "A")]
+    line = L.assemble_lines(L.infer_spaces(L.segment_lines(replayed(spark, (0, ops))))).first()
+    assert (line["text"], line["x"], line["fs"]) == ("   A", None, 0.0)
+
+
+def test_sizes_without_sign_and_mono_fonts(spark):
+    ops = [("Tf", [-10.0], None, "Source Code Pro"), ("Td", [0, 0]), ("Tj", None, "one"), ("Td", [30, 0]), ("Tj", None, "two"), ("Tf", [0.0], None, "Georgia"), ("Tj", None, "z")]
+    got = replayed(spark, (0, ops)).orderBy("seq").collect()
+    assert [(r["fs"], r["mono"]) for r in got] == [(10.0, True), (10.0, True), (1.0, False)]
+    signed = spark.createDataFrame([(1, 0, 0, i, 30.0 * i, 0.0, -10.0, False, t) for i, t in enumerate(("one", "two"))], SPAN)
+    assert L.reading_text(signed).first()["text"] == "one two"
+
+
+def test_lines_after_a_form(spark):
+    """A form has an anchor of its own, and the page goes on from its own last line."""
+    spans = [(0, 100.0, "a"), (7, 50.0, "f"), (7, 20.0, "g"), (0, 100.0, "b"), (0, 80.0, "c")]
+    rows = spark.createDataFrame([(1, 0, s, i, 0.0, y, 10.0, False, t) for i, (s, y, t) in enumerate(spans)], SPAN)
+    assert [r["line_no"] for r in L.segment_lines(rows).orderBy("seq").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_images_among_the_text(spark):
+    page = [("BT",), ("Tf", [10.0], None, "F"), ("Tm", [1, 0, 0, 1, 0, 100]), ("Tj", None, "Above it"), ("Do", None, "pic"), ("Do", None, "bad"), ("Tm", [1, 0, 0, 1, 0, 80]), ("Tj", None, "Below"), ("Do", [7])]
+    drawn = L.infer_spaces(L.segment_lines(replayed(spark, (0, page), (7, [("Do", None, "pic")]))))
+    images = spark.createDataFrame([(1, "pic", "jpeg"), (1, "bad", "unsupported")], "doc_id long, image string, kind string")
+    got = L.anchor_images(drawn, images).orderBy("img_seq")
+    assert [(r["img_seq"], r["image"], r["line"], r["char_in_line"]) for r in got.collect()] == [(0, "pic", 0, 8), (2, "pic", 1, 5)]
+    order = L.interleave_images(L.assemble_lines(drawn), got).orderBy("pos").collect()
+    assert [(r["kind"], r["text"], r["img_seq"]) for r in order] == [("line", "Above it", None), ("image", None, 0), ("line", "Below", None), ("image", None, 2)]
+
+
+def test_spans_of_many_pages_and_line_ends(spark):
+    spans = [(1, p, 0, i, 60.0 * (i % 5), 700.0 - 14 * (i // 5), 10.0, False, "w\u3000") for p in range(3) for i in range(1500)]
+    text = L.reading_text(spark.createDataFrame(spans, SPAN).repartition(4)).collect()
+    assert len(text) == 3 and all(len(r["text"].split("\n")) == 300 and not r["text"].endswith("\u3000") for r in text)
+
+
+def test_decoding_of_malformed_bytes(spark):
+    cases = {"FEFF004100": "A", "EFBBBFFF41": "\ufffdA", "FFFE4100D8": "A", "FEFFD8000041": "\ufffdA", "FEFFD83DDE00": "😀", "FEFFDE00D83D": "\ufffd\ufffd", "": "", "FEFF": "", "C3A9": "é", "E9": "é", "C3": "Ã"}
+    rows = spark.createDataFrame([(k, bytearray.fromhex(k)) for k in cases] + [("null", None)], "k string, raw binary")
+    got = {r["k"]: r["t"] for r in rows.select("k", P.decode_text(F.col("raw")).alias("t")).collect()}
+    assert got == cases | {"null": None}
+
+
+def test_long_numbers_in_natural_order(spark):
+    names = ["p" + "1" + "0" * 30 + ".png", "p9.png", "p" + "9" * 25 + ".png", "p010.png"]
+    entries = spark.createDataFrame([("z", n) for n in names], "archive_id string, entry_name string")
+    assert [r["entry_name"] for r in S.archive_pages(entries).orderBy("page_no").collect()] == [names[1], names[3], names[2], names[0]]
+
+
+def test_shared_parts_of_a_tree(spark):
+    """Sixteen diamonds in a row have 2 ** 16 paths; attributes come by the first."""
+    rows = []
+    for i in range(16):
+        for j, k in enumerate("ab"):
+            rows += [(1, f"{k}{i}", f"t{i}", j, "Pages", k, None, 90), (1, f"t{i + 1}", f"{k}{i}", 0, "Pages", None, None, None)]
+    rows += [(1, "t0", None, 0, "Pages", "R", "M", None), (1, "p", "t16", 0, "Page", None, None, None), (1, "q", "b0", 5, "Page", None, "own", None)]
+    got = H.flatten_page_tree(spark.createDataFrame(rows, "doc_id long, node string, parent string, ord int, type string, resources string, media_box string, rotate int")).orderBy("page_no").collect()
+    assert [tuple(r)[1:] for r in got] == [("p", 0, "a", "M", 90), ("q", 1, "b", "own", 90)]
+
+
+def test_wrapped_destinations(spark):
+    chain = lambda n, start: [(1, start + i, "dict", None, start + i + 1) for i in range(n)] + [(1, start + n, "array", n, None)]
+    objects = spark.createDataFrame([*chain(0, 100), *chain(7, 200), *chain(8, 300), (1, 400, "number", 5, None), (1, 500, "dict", None, None)], "doc_id long, num long, kind string, page_ref long, inner long")
+    dests = spark.createDataFrame([(1, "dict", "a", 100), (1, "dict", "/b", 200), (1, "dict", "c", 300), (1, "tree", "c", 100), (1, "tree", "d", 400), (1, "tree", "e", 500), (1, "tree", "f", 9)], "doc_id long, origin string, name string, num long")
+    entries = spark.createDataFrame([(1, "a", None, None, None), (1, None, "b", None, None), (1, None, None, "GoTo", "b"), (1, None, None, "Launch", "b"), (1, "c", None, None, None), (1, "d", None, None, None), (1, "e", None, None, None), (1, "f", None, None, None)], "doc_id long, dest_name string, array_name string, action string, action_name string")
+    got = H.resolve_named_dest(H.dest_names(entries), H.unwrap_dests(dests, objects))
+    assert sorted((r["dest_name"] or "", r["action"] or "", r["page_ref"]) for r in got.collect() if r["page_ref"] is not None) == [("a", "", 0), ("b", "", 7), ("b", "GoTo", 7)]
+    assert got.count() == 8  # c is wrapped too often, and the tree isn't asked again
+
+
+def test_page_tree_fallback_needs_a_scan(spark):
+    pages = spark.createDataFrame([(1, 5, 0)], "doc_id long, num int, page_no int")
+    objects = spark.createDataFrame([(d, n, "Page") for d in (1, 2, 3) for n in (9, 4)], "doc_id long, num int, type string")
+    got = H.page_tree_fallback(pages, objects, spark.createDataFrame([(1,), (2,)], "doc_id long")).collect()
+    assert sorted((r["doc_id"], r["num"], r["page_no"]) for r in got) == [(1, 5, 0), (2, 4, 0), (2, 9, 1)]
+
+
 def test_pages_without_lines(spark):
     pages = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, page_no int")
     assert {r["page_no"]: r["text"] for r in L.page_text(spark.createDataFrame([(1, 1, 0, 0.0, 10.0, "x")], LINE), pages).collect()} == {0: "", 1: "x"}
@@ -146,6 +237,16 @@ def test_inline(spark):
     assert all(r[2] == 0 for r in runs("snake_case_name"))
 
 
+def test_figures(spark):
+    items = spark.createDataFrame([(1, 1, i, 4, i % 3 == 2, f"n{i}") for i in range(2_000)], "doc_id long, chap_no int, seq int, n_lines int, figure boolean, name string")
+    at, want = 0, []
+    for i in range(2_000):
+        at += 15 - at % 15 if i % 3 == 2 and 15 - at % 15 < 6 else 0
+        want.append((i, f"n{i}", at))
+        at += 6 if i % 3 == 2 else 4
+    assert [(r["seq"], r["name"], r["line_pos"]) for r in C.place_figures(items, 6).orderBy("seq").collect()] == want
+
+
 def test_pagination(spark):
     pages = (28, 52, 36, 44, 30, 48, 40, 42)
     got = C.paginate(spark.createDataFrame([(1, i, 15 * p) for i, p in enumerate(pages)], "doc_id long, chap_no int, n_lines int")).orderBy("chap_no")
@@ -157,6 +258,13 @@ def test_wrapping(spark):
     blocks = spark.createDataFrame([(1, 0, "para", "", "word " * 30 + "x" * 100), (1, 1, "item", "•", "中" * 50), (1, 2, "code", "", "")], "doc_id long, block_no int, type string, marker string, text string")
     got = C.wrap_lines(blocks, 20).collect()
     assert got and all(r["width"] <= 2000 for r in got) and {r["block_no"] for r in got} == {0, 1}
+    item = sorted((r for r in got if r["block_no"] == 1), key=lambda r: r["pos"])
+    assert len(item) == 3 and [r["marker"] for r in item] == ["•", None, None] and {r["pad"] for r in item} == {2}
+    assert [r["pad"] for r in sorted(got, key=lambda r: r["pos"]) if r["block_no"] == 0][:2] == [2, 0]
+    more = spark.createDataFrame([(2, 0, "heading", "", "二级标题", 2), (2, 1, "code", "", "const a = 1;", None), (2, 2, "para", "", "w " * 20_000, None)], "doc_id long, block_no int, type string, marker string, text string, level int")
+    got = C.wrap_lines(more, 20).collect()
+    assert {(r["style"], r["bold"], r["mono"]) for r in got} == {("h2", True, False), ("code", False, True), ("para", False, False)}
+    assert sum(len(r["text"].split()) for r in got if r["block_no"] == 2) == 20_000  # many lines, none lost between the fold's parts
 
 
 def test_sources(spark, tmp_path):
