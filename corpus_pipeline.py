@@ -1,4 +1,8 @@
-"""The training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next one."""
+"""The training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next one.
+
+In every stage nulls may be in any column, ids may repeat, columns beyond those of ``documents`` are dropped whatever their
+names, and an empty table gives an empty table. What else a stage does with such rows is said there.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the labelled ones, doesn't call toxic."""
+    """Documents that the classifier chain, fitted on the labelled ones, doesn't call toxic. A null or empty text is
+    judged as one that is short and has no words; rows are judged one by one, so copies stay copies. With no labelled row
+    everything is kept."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.TARGETS)
     return toxicity.score(docs.select(COLUMNS), chain).where(F.col("p_toxic") < toxicity.THRESHOLD).select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document, that with the smallest id; of several rows with this id, or with none
-    where no row of the group has an id, the one with the smallest hash."""
+    where no row of the group has an id, the one with the smallest hash. Texts without words, null ones included, are one
+    group. Rows of one id with unrelated texts are in different groups, and each group keeps one."""
     # 128 bits of a whole row: rows that share them are copies, and ids may repeat or be null.
     row = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
     docs = docs.select(*COLUMNS, F.xxhash64(*row).alias("_row"), F.xxhash64(F.lit(1), *row).alias("_row2"))
@@ -30,19 +37,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a contaminating share of benchmark words."""
+    """Documents without a contaminating share of benchmark words. A text without words is kept; every row is judged by its
+    own text."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:]))
     return found.where(~F.col("contaminated")).select(COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced by its kind."""
+    """Every document, personal data replaced by its kind, and n_chars counted again. A null text stays null, with its
+    n_chars."""
     found = pii.find(docs.select(COLUMNS)).withColumn("text", pii.redacted(F.col("text"), F.col("pii")))
     return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids and their number; its text is what the ids decode to."""
+    """Every document's ids and their number; its text is what the ids decode to. A null text has no ids, and its decoded
+    text is empty."""
     ids = bpe_codec.encode(docs.select(COLUMNS))
     out = bpe_codec.decode(ids).withColumn("text", F.col("decoded").cast("string"))
     return out.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"))
