@@ -36,9 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from foliolake.llm.common import drop, stored
+
 SUPPORT, SHARE, CLASS = 3, 0.5, 3
-#: Hosts whose templates may be broadcast; beyond it they are joined by host.
-BROADCAST_HOSTS = 20_000
+#: Tokens (8 bytes each) of all templates up to which they may be broadcast; beyond it they are joined by host.
+BROADCAST_TOKENS = 2_000_000
 
 #: Fixed values of HTML: elements without content, those whose content isn't markup, and those that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +51,7 @@ BLOCKS = frozenset(
 )
 #: Open elements that the start of these ends.
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+INLINE = frozenset("b i em strong a span font".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CHROME = frozenset("nav aside form footer button dialog menu label input fieldset".split())
 #: Parts of a class, id or role that mark chrome.
@@ -73,10 +76,10 @@ _DIGITS = re.compile("[0-9]+")
 
 @dataclass
 class Element:
-    """An element of a page. path: names of the elements around it and its own; label: its class, id and role; up: place
-    of the element around it, -1 without."""
+    """An element of a page. path: a hash of the names of the elements around it and its own; label: its class, id and
+    role; up: place of the element around it, -1 without."""
 
-    path: str
+    path: int
     name: str
     label: str
     hidden: bool
@@ -85,15 +88,15 @@ class Element:
 
     @property
     def token(self) -> int:
-        return _hash(f"{self.path}.{_DIGITS.sub('0', self.label)}" if self.label else self.path)
+        return _hash(self.path, "." + _DIGITS.sub("0", self.label)) if self.label else self.path
 
 
 @dataclass
 class Block:
-    """A block of text. path: names of its open elements; up: place of the innermost one; at: elements begun before its
+    """A block of text. path: that of its innermost open element; up: place of the innermost one; at: elements begun before its
     end; links: characters in links."""
 
-    path: str
+    path: int
     text: str
     up: int
     at: int
@@ -114,7 +117,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 up = stack[-1][1] if stack else -1
-                blocks.append(Block(elements[up].path if stack else "", text, up, len(elements), link_chars))
+                blocks.append(Block(elements[up].path if stack else 0, text, up, len(elements), link_chars))
             held.clear()
         link_chars = 0
 
@@ -150,12 +153,17 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         elif name == "br":
             held.append(" ")
         ends = IMPLIED.get(name)
-        while ends and stack and stack[-1][0] in ends | {"b", "i", "em", "strong", "a", "span", "font"} and any(s[0] in ends for s in stack[-6:]):
-            close(len(stack) - 1)
+        if ends:  # the outermost one to end, through elements that don't stop it
+            k = len(stack)
+            last = k
+            while k and (stack[k - 1][0] in ends or stack[k - 1][0] in INLINE):
+                k -= 1
+                last = k if stack[k][0] in ends else last
+            close(last)
         up = stack[-1][1] if stack else -1
-        path, depth = (elements[up].path, elements[up].depth + 1) if stack else ("", 0)
+        path, depth = (elements[up].path, elements[up].depth + 1) if stack else (0, 0)
         label = " ".join(x.strip("\"'").lower() for x in _NAMED.findall(m[4])) if m[4] else ""
-        elements.append(Element(f"{path}/{name}"[-400:], name, label, bool(m[4] and _HIDDEN.search(m[4])), up, depth))
+        elements.append(Element(_hash(path, name), name, label, bool(m[4] and _HIDDEN.search(m[4])), up, depth))
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, len(elements) - 1))
             in_link += name == "a"
@@ -165,7 +173,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     return elements, blocks
 
 
-def _hash(path: str, text: str = "") -> int:
+def _hash(path: int, text: str = "") -> int:
     return xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
 
 
@@ -315,11 +323,10 @@ def _known(template: pa.Scalar, host: str | None, held: dict) -> frozenset:
     return held[host]
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host and template (array of token hashes) of every host that has valid classes. Pages without host or html have
     no part in this, and copies of a page on its host count once."""
     given = pages.select(host(url_col).alias("host"), F.xxhash64(F.col(f"`{html_col}`")).alias("page"), F.col(f"`{html_col}`").alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
-    names = given.select("host", "page").distinct()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -328,19 +335,22 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 counted = [tokens(x) for x in part.column("html").to_pylist()]
                 sizes = [len(c) for c in counted]
                 token = np.fromiter((t for c in counted for t in c), np.uint64, sum(sizes))
-                n = np.fromiter((v for c in counted for v, _ in c.values()), np.uint64, sum(sizes))
-                size = np.fromiter((v for c in counted for _, v in c.values()), np.int64, sum(sizes))
-                page = np.repeat(part.column("page").to_numpy().view(np.uint64), sizes)
-                mark = (page ^ (page >> np.uint64(31))) * (n * np.uint64(2) + np.uint64(0x9E3779B97F4A7C14 | 1))
-                hosts = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([part.column("host").take(hosts), pa.array(token.view(np.int64)), pa.array((mark ^ (mark >> np.uint64(29))).view(np.int64)), pa.array(size)], ["host", "token", "mark", "size"])
-
-    rows = given.dropDuplicates(["host", "page"]).mapInArrow(run, "host string, token bigint, mark bigint, size bigint")
-    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor("mark").alias("vector"), F.max("size").alias("size")).where(F.col("support") >= SUPPORT)
-    n_pages = names.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT)
+                n = np.fromiter((v for c in counted for v, _ in c.values()), np.int32, sum(sizes))
+                size = np.fromiter((v for c in counted for _, v in c.values()), np.int32, sum(sizes))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (token.view(np.int64), n, size)]
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), *lists], ["host", "page", "token", "n", "size"])
+
+    # Pages become short lists of numbers before copies of a page are dropped, so that no markup is shuffled.
+    once = stored(given.mapInArrow(run, "host string, page bigint, token array<bigint>, n array<int>, size array<int>").dropDuplicates(["host", "page"]), "page-tokens")
+    rows = once.select("host", "page", F.inline(F.arrays_zip("token", "n", "size")))
+    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("size").alias("size")).where(F.col("support") >= SUPPORT)
+    n_pages = once.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT)
     common = vectors.join(n_pages.hint("merge"), "host").where(F.col("support") >= SHARE * F.col("pages"))
     classes = common.groupBy("host", "support", "vector").agg(F.sum("size").alias("size"), F.collect_list("token").alias("tokens")).where(F.col("size") >= CLASS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    out = stored(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
+    drop(once)
+    return out
 
 
 def main_elements(rows: DataFrame) -> DataFrame:
@@ -373,11 +383,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hosts with too few pages. Repeated rows and null keys give a row each; an empty table gives an empty table. Only
     the three named columns are read. Whole pages are read and whole texts returned.
     """
-    from foliolake.llm.common import stored
-
-    found = stored(templates(pages, id_col, url_col, html_col), "templates")
+    found = templates(pages, url_col, html_col)
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), host(url_col).alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    small = found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    small = (found.agg(F.sum(F.size("template") + 16)).first()[0] or 0) <= BROADCAST_TOKENS
     sided = lambda df: F.broadcast(df) if small else df.hint("merge")
     mains = stored(main_elements(rows.join(sided(found), "host")), "main-elements")
     found = found.join(mains.hint("merge"), "host", "left")
