@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from foliolake.llm.common import drop, stored
 
-#: Rounds needed grow with the logarithm of the longest chain; this many would do for any graph that can be stored.
+#: Rounds needed grow with the logarithm of the longest chain; this many would do for any graph that can be stored. A
+#: graph that isn't done by then is an error.
 MOST_ROUNDS = 100
 
 
@@ -51,6 +52,8 @@ def components(links: DataFrame) -> DataFrame:
         before, mark = mark, _mark(now)
         if mark == before and _stars(now):
             break
+    else:
+        raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
@@ -60,4 +63,4 @@ def _mark(e: DataFrame) -> tuple:
 
 def _stars(e: DataFrame) -> bool:
     """True where no root is itself linked to a smaller node: the rewiring has ended."""
-    return e.select("b").distinct().join(e.select(F.col("a").alias("b")).hint("shuffle_hash"), "b", "left_semi").isEmpty()
+    return e.select("b").distinct().join(e.select(F.col("a").alias("b")).hint("merge"), "b", "left_semi").isEmpty()
