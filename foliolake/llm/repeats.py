@@ -21,7 +21,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliolake.llm.common import drop, stored
@@ -102,13 +102,15 @@ def runs(data: bytes):
     return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
 
 
-def _key(id_col: str):  # noqa: ANN202
-    return F.xxhash64(F.col(f"`{id_col}`")).alias("key")
+def _key(id_col: str, text_col: str) -> Column:
+    """A row's key: a hash of its id and text, so that rows without an id or with the same one share nothing unless they
+    are copies."""
+    return F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key")
 
 
 def _run_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a run of every text: key, small, whole, times."""
-    given = df.where(F.octet_length(F.col(f"`{text_col}`")) >= WINDOW).select(_key(id_col), F.col(f"`{text_col}`").cast("binary").alias("data"))
+    given = df.where(F.octet_length(F.col(f"`{text_col}`")) >= WINDOW).select(_key(id_col, text_col), F.col(f"`{text_col}`").cast("binary").alias("data"))
 
     def go(it):
         for batch in it:
@@ -188,7 +190,7 @@ def _compare_crowd(edges: DataFrame) -> DataFrame:
 
 def _with_texts(df: DataFrame, id_col: str, text_col: str, found: DataFrame, how: str) -> DataFrame:
     """key, id, data of the rows of ``df``, with the column ``found`` of a table by key."""
-    rows = df.select(_key(id_col), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"))
+    rows = df.select(_key(id_col, text_col), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"))
     return rows.join(found.hint("merge"), "key", how)
 
 
@@ -252,7 +254,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty; texts of fewer than 200 bytes lose nothing. Repeated rows are repeats of each other:
     both lose what they share. Keys may be null or repeated, as what is found is looked up by content. An empty table
-    gives an empty table. Only the two named columns are read.
+    gives an empty table. Only the two named columns are read. Windows count as equal by 128 bits of hashes of their bytes
+    (64 of the smallest string's and 64 of the whole's), not byte by byte: of n windows a wrong match has a chance of
+    about n * n / 2**129.
     """
     rows = stored(_run_rows(df, id_col, text_col), "runs")
     again = rows.groupBy("small").agg(F.sum("times").alias("times")).where("times >= 2").select("small")
@@ -272,9 +276,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if many.isEmpty():
         hits = _compare(edges)
     else:
-        hits = _compare(edges.join(many.hint("shuffle_hash"), "small", "left_anti")).unionByName(_compare_crowd(edges.join(many.hint("merge"), "small", "left_semi")))
+        hits = _compare(edges.join(many.hint("merge"), "small", "left_anti")).unionByName(_compare_crowd(edges.join(many.hint("merge"), "small", "left_semi")))
     full = status.where("n >= 2").select("small", "whole", F.lit(None).cast("array<bigint>").alias("hits"))
     verdict = stored(full.unionByName(hits), "verdicts")
     drop(status, edges, many)
-    found = shared.join(verdict.hint("merge"), ["small", "whole"]).groupBy("key").agg(F.collect_set(F.struct("small", "whole", "hits")).alias("found"))
+    found = stored(shared.join(verdict.hint("merge"), ["small", "whole"]).groupBy("key").agg(F.collect_set(F.struct("small", "whole", "hits")).alias("found")), "found")
+    drop(shared, verdict)
     return _kept(_with_texts(df, id_col, text_col, found, "left"))
