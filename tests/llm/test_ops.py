@@ -72,14 +72,37 @@ def test_quality(docs, none):
 
 
 def test_cascade_order_changes_no_verdict(spark):
-    df = spark.range(50).withColumn("n_words", F.col("id"))
-    a, b = quality_rules.Rule("a", F.col("id") > 40), quality_rules.Rule("b", F.col("id") % 2 == 0)
-    ordered = [r.name for r, _, _ in quality_rules.order_rules(df, [a, b])]
-    assert sorted(ordered) == ["a", "b"]
-    verdict = [df.where(quality_rules.cascade(x).isNull()).count() for x in ([a, b], [b, a])]
+    df = spark.range(50).select(F.col("id").alias("n_words"))
+    a, b = quality_rules.Rule("a", lambda m: m["n_words"] > 40), quality_rules.Rule("b", lambda m: m["n_words"] % 2 == 0)
+    m = {"n_words": F.col("n_words")}
+    verdict = [df.where(quality_rules.cascade(x, m).isNull()).count() for x in ([a, b], [b, a])]
     assert verdict[0] == verdict[1] == 20
 
 
+def test_cheap_selective_rules_come_first(spark):
+    df = spark.createDataFrame([(i, f"{'A' if i % 2 else 'b'} " + " ".join(f"w{k % 900}x{i}" for k in range(3_000))) for i in range(60)], "doc_id long, text string").repartition(1).persist()
+    costly = quality_rules.Rule("costly", lambda m: (m["n_repeat_words"] > 0) & (m["n_words"] > 0))  # rejects all, sorts windows
+    cheap = quality_rules.Rule("cheap", lambda m: m["n_upper"] > 0)  # rejects half
+    never = quality_rules.Rule("never", lambda m: m["n_upper"] < 0)
+    got = quality_rules.order_rules(df, [costly, never, cheap])
+    assert [r.name for r, _, _ in got] == ["cheap", "costly", "never"]
+    assert [round(x, 2) for _, _, x in got] == [0.5, 1.0, 0.0] and got[0][1] < got[1][1]
+
+
+def test_later_rules_are_not_evaluated(spark):
+    """A rule that would fail the job where an earlier one rejects."""
+    fails = quality_rules.Rule("fails", lambda m: F.when(m["n_words"] < 10, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False)))
+    short = quality_rules.Rule("short", lambda m: m["n_words"] < 10)
+    df = spark.range(20).select(F.col("id").alias("n_words"))
+    assert df.where(quality_rules.cascade([short, fails], {"n_words": F.col("n_words")}).isNull()).count() == 10
+
+
+def test_quality_sample_is_bounded(spark):
+    df = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")).repartition(8)
+    a, b = (sorted(r["doc_id"] for r in quality_rules.sampled(x, 100).collect()) for x in (df, df.repartition(3)))
+    assert a == b and len(a) == 100
+
+
 # 2 language
 
 
@@ -97,6 +120,43 @@ def test_language(docs, none, spark):
     assert {r["lang_pred"] for r in language.predict(docs, language.train(docs)).collect()} == {"und"}
 
 
+def test_language_by_plain_sets(spark):
+    """The kernel, its Nystroem features and the ridge weights from sets of n-grams and explicit sums."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices("abc adc bcd cab".split() if i % 2 else "xyz zyx yxx abz".split(), k=8)), "pq"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    seen = language.held_out()
+    learnt = [(r["text"], r["lang"]) for r in df.where(~seen).collect()]
+
+    def grams(t):
+        t = " ".join(t.split())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    def kernel(a, b):
+        return len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+
+    of = language.Grams(model.letters)
+    size = sorted({len(grams(t)) for t, _ in learnt})
+    assert sorted(model.landmarks.astype(bool).sum(0).tolist())[-1] == size[-1]  # the texts with the most n-grams are landmarks
+    texts = [t for t, _ in learnt[:10]]
+    marks = [t for t, _ in learnt if any(np.array_equal(of.present(t, model.grams).astype(bool), model.landmarks[:, k] > 0) for k in range(model.landmarks.shape[1]))]
+    got = {round(float(v), 4) for t in texts for v in (of.present(t, model.grams).astype(np.float32) @ model.landmarks) / len(grams(t)) ** 0.5}
+    want = {round(kernel(t, m), 4) for t in texts for m in marks}
+    assert got <= want and len(got) > 5
+
+
+def test_language_by_raw_scores(spark):
+    """The highest raw score wins, below 0 and above 1 too."""
+    df = spark.createDataFrame([(1, "abc"), (2, "")], "doc_id long, text string")
+    base = language.fit("abc", [np.unique(np.concatenate(language.Grams("abc").codes("abc cab")))] * 2, ["aa", "bb"])
+    for constants, score in (((-0.3, -0.1), 0.0), ((1.1, 1.4), 1.0), ((0.2, 0.2), 0.2)):
+        base.weights = np.zeros_like(base.weights)
+        base.weights[-1] = constants
+        got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in language.predict(df, base).collect()}
+        assert got == {1: ("aa" if constants[0] == constants[1] else "bb", score), 2: ("und", 0.0)}
+
+
 def test_language_held_out_accuracy(spark, sf):
     got = queries.QUERIES["op2_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
     share = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -143,8 +203,29 @@ def brute_components(texts):
     return sorted(((d, least[find(i)]) for i, (d, _) in enumerate(texts)), key=repr)
 
 
-@pytest.mark.parametrize("dense", [1, 2_000])
-def test_simhash(spark, docs, none, dense):
+def plain_fingerprint(text):
+    """The contract's fingerprint from its words, one shingle and one bit at a time."""
+    import re
+
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints(spark, sf):
+    got = {r["doc_id"]: r["fingerprint"] for r in queries.QUERIES["op4_simhash"](spark, sf).collect()}
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert {r["doc_id"]: f"{plain_fingerprint(r['text']):016x}" for r in texts} == got
+    more = [(i, t) for i, (_, t) in enumerate(TEXTS)] + [(100, "\u00c9T\u00c9 Ab\x0bc\x1cd \u00a0x\u2003y"), (101, "a b c d a b c d a b c d"), (102, "ONE two")]
+    out = simhash.near_duplicates(spark.createDataFrame(more, "doc_id long, text string")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f")).collect()
+    assert {r["doc_id"]: r["f"] for r in out} == {i: f"{plain_fingerprint(t):016x}" for i, t in more}
+
+
+@pytest.mark.parametrize(("dense", "many"), [(1, 10**9), (2_000, 10**9), (1, 0), (2_000, 0)])
+def test_simhash(spark, docs, none, dense, many):
     rng = random.Random(3)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     near = []
@@ -155,7 +236,7 @@ def test_simhash(spark, docs, none, dense):
         near.append((100 + i, " ".join(w)))
     texts = TEXTS + near
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = simhash.near_duplicates(df, dense=dense).collect()
+    got = simhash.near_duplicates(df, dense=dense, many=many).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == brute_components(texts)
     assert simhash.near_duplicates(none).count() == 0 and simhash.near_duplicates(docs).count() == len(TEXTS)
 
@@ -243,6 +324,59 @@ def test_toxicity(spark, docs, none):
     assert all(r["p_toxic"] < 0.1 for r in toxicity.score(df, blank).collect())
 
 
+def test_toxicity_by_plain_loops(spark):
+    """The chain from dictionaries and dense loops: selection by likelihood ratio, out-of-fold probabilities, ridge steps."""
+    import math
+
+    rng = random.Random(17)
+    good, bad = [f"word{i}" for i in range(40)], ["vile", "scumbag", "nasty"]
+    rows = [(i, " ".join(rng.choices(good, k=20) + (rng.choices(bad, k=3) if i % 4 == 0 else []))) for i in range(120)]
+    labels = [(i, int(i % 3 != 0), int(i % 4 == 0)) for i, _ in rows]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(df, lab, toxicity.TARGETS)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(df, chain).collect()}
+
+    has = [{s for w in t.split() for s in [w, *(w[:n] + "\n" for n in (3, 4, 5, 6, 7) if len(w) > n)]} for _, t in rows]
+    ys = [[1 - q for _, q, _ in labels], [t for _, _, t in labels]]
+
+    def ratio(s, y):
+        total = 0.0
+        for label in (0, 1):
+            n = sum(v == label for v in y)
+            k, inside = sum(v == label and s in h for v, h in zip(y, has)), sum(s in h for h in has)
+            for seen, expected in ((k, inside * n / len(y)), (n - k, (len(y) - inside) * n / len(y))):
+                total += 2 * seen * math.log(seen / expected) if seen else 0
+        return total
+
+    every = {s for h in has for s in h}
+    chosen = sorted(s for s in every if sum(s in h for h in has) >= toxicity.SUPPORT and max(ratio(s, y) for y in ys) >= toxicity.RATIO)
+    assert sorted(chain.features) == chosen and chosen
+
+    def fit(x, y):
+        w, seen, t = [0.0] * len(x[0]), [0.0] * len(x[0]), 1.0
+        a = np.array(x)
+        v = np.random.default_rng(1).normal(size=a.shape[1])
+        for _ in range(60):
+            v = a.T @ (a @ (v / np.linalg.norm(v)))
+        step = 1 / (0.25 * np.linalg.norm(v) / len(y) + toxicity.RIDGE)
+        w = np.zeros(a.shape[1])
+        for _ in range(3_000):  # plain steps, to the optimum nearly
+            w -= step * (a.T @ (1 / (1 + np.exp(-a @ w)) - y) / len(y) + toxicity.RIDGE * w)
+        return w
+
+    sure = lambda w, x: 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+    shares = [[0.0, 1 - len(set(t.split())) / len(t.split()), 0.0] for _, t in rows]
+    base = [[float(s in h) for s in chosen] + sh for h, sh in zip(has, shares)]
+    first = [b + [1.0] for b in base]
+    w1 = fit(first, np.array(ys[0], float))
+    folds = [fit([x for i, x in enumerate(first) if i % 5 != f], np.array([y for i, y in enumerate(ys[0]) if i % 5 != f], float)) for f in range(5)]
+    second = [b + [sure(folds[i % 5], first[i]), 1.0] for i, b in enumerate(base)]
+    w2 = fit(second, np.array(ys[1], float))
+    for i, b in enumerate(base):
+        p = sure(w1, first[i])
+        assert abs(got[i][0] - p) < 0.05 and abs(got[i][1] - sure(w2, b + [p, 1.0])) < 0.05
+
+
 # 8 repeats
 
 
@@ -274,8 +408,9 @@ def test_repeats(spark, none, crowd):
     for i in range(80):
         parts = [letters(rng.randrange(0, 300)), rng.choice(shared), letters(rng.randrange(0, 300)), rng.choice(shared)[: rng.randrange(100, 1500)], "ab" * rng.choice([0, 0, 150])]
         texts.append((i, "".join(parts)))
-    texts += [t for t in TEXTS if t[0] not in (5, 9, 10)] + [(200, "x" * 3000), (201, "é" * 120), (202, shared[4]), (202, shared[4])]
-    got = repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), crowd=crowd).collect()
+    texts += [*TEXTS, (None, shared[3] + letters(300)), (None, letters(250)), (None, shared[3]), (200, "x" * 3000), (201, "é" * 120), (202, shared[4]), (202, shared[4])]
+    df = spark.createDataFrame([(*t, 1, "k", 2) for t in texts], "doc_id long, text string, small long, key string, found int")
+    got = repeats.remove_repeats(df.repartition(3), crowd=crowd).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got), key=repr) == brute_repeats(texts)
     assert repeats.remove_repeats(none).count() == 0
 
@@ -390,3 +525,43 @@ def test_html_names_are_hints(spark):
     assert html_text.main_text("<div class='content has-sidebar'><h2 id=search>A</h2><p>Text of some length</p></div><div class=sidebar>x</div>") == "A\n\nText of some length"
     assert html_text.main_text("<article class='post tag-search'><p>Text</p></article><p>after") == "Text"
     assert html_text.main_text("<article><p>Text</p><div id=comments><article class=comment><p>first</p></article></div></article>") == "Text"
+
+
+def plain_template(pages):
+    """Tokens of the valid equivalence classes of one host's pages, from whole occurrence vectors."""
+    counted = [html_text.tokens(p) for p in dict.fromkeys(pages)]
+    classes = {}
+    for t in {t for c in counted for t in c}:
+        vector = tuple(c.get(t, (0, 0))[0] for c in counted)
+        if sum(map(bool, vector)) >= max(html_text.SUPPORT, html_text.SHARE * len(counted)):
+            classes.setdefault(vector, []).append(t)
+    size = lambda t: max(c[t][1] for c in counted if t in c)
+    return {t for ts in classes.values() if sum(map(size, ts)) >= html_text.CLASS for t in ts}
+
+
+def test_html_template_by_whole_vectors(spark, monkeypatch):
+    rng = random.Random(31)
+    rows, by_host = [], {}
+    for h in ("a.example", "b.example", "c.example"):  # the second host has the first one's pages: equal vectors there stay apart
+        rng.seed(h != "b.example" and h or "a.example")
+        for i in range(rng.randrange(4, 12)):
+            ads = "".join(f"<div class=ad><p>Buy {rng.choice(['one now', 'two of them'])}</p></div>" for _ in range(rng.randrange(3)))
+            items = "".join(f"<li>{rng.choice(['red', 'blue'])} {rng.randrange(3)}</li>" for _ in range(rng.randrange(4)))
+            p = f"<html><body><div class=top>Welcome to us</div>{ads}<article><h1>T{rng.randrange(99)}</h1><p>Own {rng.randrange(999)}</p><ul>{items}</ul></article><footer>All rights are ours</footer></body></html>"
+            rows += [(len(rows), f"http://{h}/{i}", p)] * rng.choice([1, 1, 2])
+            by_host.setdefault(h, []).append(p)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["host"]: {t % 2**64 for t in r["template"]} for r in html_text.templates(df).collect()}
+    assert got == {h: plain_template(p) for h, p in by_host.items()} and len(got["a.example"]) > 8
+    texts = lambda: sorted((r["page_id"], r["text"]) for r in html_text.extract(df).collect())
+    small = texts()
+    monkeypatch.setattr(html_text, "BROADCAST_TOKENS", -1)
+    assert texts() == small
+
+
+def test_html_very_long_and_deep_pages(spark):
+    deep = "<div>" * 3_000 + "<p>first<b><i><b><i><b><i><b><i>bold<p>second" + "</div>" * 3_000
+    long = "<article>" + "".join(f"<p>Sentence {i} of many.</p>" for i in range(20_000)) + "</article>"
+    got = pages_of(spark, [deep, long])
+    assert got[0] == "firstbold\n\nsecond"
+    assert got[1].count("\n\n") == 19_999 and got[1].endswith("Sentence 19999 of many.")
