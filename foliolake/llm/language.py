@@ -6,9 +6,10 @@ texts, so that a text's kernel values against all landmarks are one product of i
 presence matrix. Nystroem's method turns them into features whose inner products approximate the kernel, and one-versus-
 rest kernel ridge regression is linear in these. Batches of texts are scored by matrix products alone.
 
-The models are fitted on a bounded sample of labelled rows (``SAMPLE_PER_LANGUAGE`` of each language in expectation,
-chosen by a hash of the key) and broadcast; ``LANDMARKS``, ``ALPHABET`` and ``MOST_GRAMS`` bound their size. Scoring is one
-pass over the rows where they lie, over whole texts.
+The models are fitted on a bounded sample of labelled rows (``SAMPLE_PER_LANGUAGE`` of each language and ``SAMPLE_ROWS`` in
+all at most, those whose keys hash lowest) and broadcast; ``LANDMARKS``, ``ALPHABET`` and ``MOST_GRAMS`` bound their size.
+Executors turn the sample's whole texts into sets of n-grams, which the alphabet bounds; the driver gets these alone.
+Scoring is one pass over the rows where they lie, over whole texts.
 """
 
 from __future__ import annotations
@@ -17,18 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_LANGUAGE = 300
-#: Languages beyond this number are an error rather than a model that outgrows its bound.
-MOST_LANGUAGES = 400
+from foliolake.llm.common import drop, stored
+
+#: Labelled rows to fit on, of a language and in all; one of each language where there are more languages than rows.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 300, 6_000
 LANDMARKS = 96
 #: Distinct letters that are told apart (the most frequent in the sample); others are one class.
 ALPHABET = 120
 MOST_GRAMS = 12_000
-#: Characters of a text that the model is fitted on; predictions read whole texts.
-FIT_CHARS = 20_000
 RIDGE = 1e-2
 UNDETERMINED = "und"
 _POINTS = 0x110000
@@ -101,25 +101,18 @@ class Kernel:
         return k @ self.weights[:-1] + self.weights[-1]
 
 
-def fit(texts: list[str], langs: list[str]) -> Kernel:
-    """A model from labelled texts; without any, one that knows no language."""
+def fit(letters: str, texts: list[np.ndarray], langs: list[str]) -> Kernel:
+    """A model from the sorted codes of labelled texts' n-grams; without any, one that knows no language."""
     names = sorted(set(langs))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is bounded at {MOST_LANGUAGES}")
-    counts: dict[str, int] = {}
-    for t in texts:
-        for c in set(t[:FIT_CHARS].lower()):
-            if c.isalpha() and len(c) == 1:
-                counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET]))
-    grams = Grams(letters)
-    rows = [(grams.codes(t[:FIT_CHARS]), names.index(x)) for t, x in zip(texts, langs, strict=True)]
-    rows = [(np.unique(np.concatenate(c)), y) for c, y in rows if c is not None]
+    rows = [(c, names.index(x)) for c, x in zip(texts, langs, strict=True)]
     if not rows:
         return Kernel([], letters, np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros((1, 0), np.float32))
     # Landmarks: as many of each language, the texts with the most n-grams first.
     each = -(-LANDMARKS // max(1, len(names)))
-    marks = [c for y in range(len(names)) for c in sorted((c for c, k in rows if k == y), key=len, reverse=True)[: 2 * each : 2][:each]]
+    own: list[list[np.ndarray]] = [[] for _ in names]
+    for c, k in rows:
+        own[k].append(c)
+    marks = [c for o in own for c in sorted(o, key=len, reverse=True)[: 2 * each : 2]]
     codes, n = np.unique(np.concatenate(marks), return_counts=True)
     codes = np.sort(codes[np.argsort(-n, kind="stable")][:MOST_GRAMS])
 
@@ -136,8 +129,8 @@ def fit(texts: list[str], langs: list[str]) -> Kernel:
     value, vector = np.linalg.eigh((m @ m.T).astype(float))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # Nystroem: kernel values times this are the features
-    x = matrix([c for c, _ in rows])
-    x = ((x @ m.T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))) @ root
+    parts = (matrix([c for c, _ in rows[k : k + 256]]) for k in range(0, len(rows), 256))
+    x = np.concatenate([(p @ m.T) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)) for p in parts]) @ root
     y = np.array([k for _, k in rows])
     target, mean = np.eye(len(names))[y], x.mean(0)
     weigh = np.sqrt(len(y) / (len(names) * np.bincount(y, minlength=len(names))[y]))[:, None]  # languages count alike
@@ -152,26 +145,54 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Kernel:
-    """Fits the kernel on a sample of the rows that have a language, a text and a key and aren't held out. Rows with a
-    null in one of these are not learnt from. The languages are counted over all rows first, from narrow columns."""
-    i, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
-    known = df.where(lang.isNotNull() & i.isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(id_col))
-    counts = {r["l"]: r["n"] for r in known.groupBy(lang.alias("l")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+def sampled(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, sample_rows: int) -> DataFrame | None:
+    """The rows to learn from, mark, text and lang, with a share by hash taken first; None without any."""
+    i, lang, text = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    known = df.where(lang.isNotNull() & i.isNotNull() & text.isNotNull() & ~held_out(id_col))
+    counts = {r["l"]: r["n"] for r in known.groupBy(lang.cast("string").alias("l")).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return fit([], [])
+        return None
+    each = max(1, min(per_language, sample_rows // len(counts)))
     mark = F.pmod(F.xxhash64(i), F.lit(1_000_000))
-    share = F.create_map(*(x for l, n in sorted(counts.items()) for x in (F.lit(l), F.lit(int(min(1.0, per_language / n) * 1_000_000)))))  # noqa: E741
-    some = known.where(mark < share[lang]).select(mark.alias("_mark"), F.substring(F.col(f"`{text_col}`"), 1, FIT_CHARS).alias("_text"), lang.alias("_lang"))
-    rows = sorted(some.limit(4 * per_language * len(counts)).collect(), key=lambda r: (r["_mark"], r["_lang"], r["_text"]))
-    return fit([r["_text"] for r in rows], [r["_lang"] for r in rows])
+    share = F.create_map(*(x for l, n in sorted(counts.items()) for x in (F.lit(l), F.lit(int(min(1.0, 2 * each / n) * 1_000_000) + 1))))  # noqa: E741
+    some = known.where(mark < share[lang.cast("string")]).select(mark.alias("mark"), text.alias("text"), lang.cast("string").alias("lang"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
+    return some.withColumn("n", first).where(F.col("n") <= each).drop("n")
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Kernel:
+    """Fits the kernel on a sample of the rows that have a language, a text and a key and aren't held out. Rows with a
+    null in one of these are not learnt from. The languages are counted over all rows first, from narrow columns."""
+    some = sampled(df, id_col, text_col, lang_col, per_language, sample_rows)
+    if some is None:
+        return fit("", [], [])
+    some = stored(some, "language-sample")
+
+    def letters_of(it):
+        for batch in it:
+            seen = [c for t in batch.column("text").to_pylist() for c in set(t.lower()) if c.isalpha() and len(c) == 1]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["letter"])
+
+    found = some.mapInArrow(letters_of, "letter string").groupBy("letter").agg(F.count("*").alias("n"))
+    letters = "".join(sorted(r["letter"] for r in found.orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()))
+
+    def grams_of(it):
+        grams = Grams(letters)
+        for batch in it:
+            codes = [grams.codes(t) for t in batch.column("text").to_pylist()]
+            made = pa.array([None if c is None else np.unique(np.concatenate(c)).tolist() for c in codes], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("lang"), made], ["mark", "lang", "codes"])
+
+    rows = some.mapInArrow(grams_of, "mark bigint, lang string, codes array<int>").where("codes IS NOT NULL").orderBy("mark", "lang", "codes").toArrow()
+    drop(some)
+    return fit(letters, [x.values.to_numpy() for x in rows.column("codes")], rows.column("lang").to_pylist())
 
 
 def predict(df: DataFrame, model: Kernel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted language and its score, 0 to 1, from the text alone.
 
-    A null text, or one without letters, is ``und`` with score 0; so is every text where the model knows no language.
-    Ties go to the first language in the alphabet. Other columns stay as they are, but those with the two names are
+    The language is that of the highest score, which is then cut to 0 to 1. A null text, or one without letters, is ``und``
+    with score 0; so is every text where the model knows no language. Ties go to the first language in the alphabet. Other columns stay as they are, but those with the two names are
     replaced. An empty table gives an empty table.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -191,9 +212,8 @@ def predict(df: DataFrame, model: Kernel, text_col: str = "text", lang_out: str
                 lang, score = [UNDETERMINED] * len(found), np.zeros(len(found))
                 rows = [i for i, x in enumerate(found) if x is not None]
                 if rows and model.languages:
-                    s = np.clip(model.scores(np.stack([found[i] for i in rows])), 0, 1)
-                    best = s.argmax(1)
-                    for i, b, x in zip(rows, best.tolist(), s.max(1).tolist(), strict=True):
+                    s = model.scores(np.stack([found[i] for i in rows]))
+                    for i, b, x in zip(rows, s.argmax(1).tolist(), np.clip(s.max(1), 0, 1).tolist(), strict=True):
                         lang[i], score[i] = model.languages[b], x
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score)], [*kept, lang_out, score_out])
 
