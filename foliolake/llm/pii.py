@@ -61,6 +61,9 @@ KINDS = [
     Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{EXACT_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", "", 0.4, 0.5, "iban|account|konto|compte|cuenta", 0.1),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.5, 0.0, "ssn|social|security|passport|identity|ausweis", 0.4),
     Kind("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])", "", 0.5, 0.0, "token|secret|password|api.?key|passwort|clave", 0.4),
+    # Identifiers of cloud access keys, by their public form, and values with a digit that a text gives to a secret's name.
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", "IA"),
+    Kind("credential", r"""(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?["']?(?=[A-Za-z+/_.~-]*[0-9])[A-Za-z0-9+/_.~-]{8,}+"""),
 ]
 BASE = 4
 #: A span is kept from this score on.

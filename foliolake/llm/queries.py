@@ -75,12 +75,12 @@ def _is(i: int) -> Callable[[Column], Column]:
 
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and places of personal data in every document."""
+    """Counts and places of personal data in every document; n_spans counts all of them, those of the method included."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("pii", lambda s: s["kind"])
     n = [F.size(F.filter(kinds, _is(i))) for i in range(pii.BASE)]
     base = F.filter("pii", lambda s: s["kind"] < pii.BASE)
-    return found.select("doc_id", *(x.cast("long").alias(f"n_{k.name}") for x, k in zip(n, pii.KINDS)), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *(x.cast("long").alias(f"n_{k.name}") for x, k in zip(n, pii.KINDS)), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 @query
@@ -132,7 +132,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the 200-byte strings that come again."""
+    """What is left of every document without the 200-byte strings that come again; 128 bits of hashes tell strings apart."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
