@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import bpe_codec, decontaminate, html_text, language, pii, quality_rules, repeats, simhash, token_store, toxicity
+from foliolake.llm import alignment, bpe_codec, decontaminate, html_text, language, pii, quality_rules, repeats, simhash, token_store, toxicity
 from foliolake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,11 @@ def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of a byte-level and a sentencepiece vocabulary over every document, with its score by corpus-wide counts."""
+    found = alignment.scored(alignment.align(table(spark, sf_dir, "documents")))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
