@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import alignment, bpe_codec, decontaminate, html_text, language, pii, quality_rules, repeats, simhash, token_store, toxicity
+from foliolake.llm import alignment, bpe_codec, decontaminate, html_text, language, pii, quality_rules, repeats, simhash, token_store, toxicity, vector_codes
 from foliolake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,31 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.scored(alignment.align(table(spark, sf_dir, "documents")))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks of 256 entries for each of four parts, fitted in four rounds over all of them."""
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS, entries: int = vector_codes.ENTRIES) -> str:
+    """Exact in doubles, as all integers stay far below 2**53."""
+    near = "SELECT p, vec_id, x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS m FROM v JOIN c{0} USING (p) GROUP BY p, vec_id, x"
+    steps = "".join(
+        f""", a{i} AS MATERIALIZED ({near.format(i)}),
+s{i} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS c FROM (SELECT p, m.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, w + 1)) AS j FROM size_v) GROUP BY p, m.e, j) GROUP BY p, e),
+c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (p, e))"""
+        for i in range(rounds)
+    )
+    return f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size_v AS (SELECT max(len(q)) // 4 AS w FROM k),
+v AS MATERIALIZED (SELECT vec_id, p, q[p * w + 1:p * w + w] AS x FROM k, size_v, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})){steps},
+a AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM ({near.format(rounds)}) GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(CAST(i AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(c) AS i, unnest(range(len(c))) AS j FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM a JOIN k USING (vec_id), h"""
+
+
+SQL["op12_vector_codes"] = _codes_sql()
