@@ -34,8 +34,8 @@ from foliolake.llm.pretokens import BYTE_CHARS, Encoder, mapped, packed
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text that is tokenised between two Arrow batches, but for a single longer one.
 BATCH_CHARS = 1_000_000
-#: Windows that a memo's generation holds, and the bytes of ids (four an id) of the longest that it keeps.
-MEMO, LONGEST = 300_000, 160
+#: Pieces of text or windows that a memo's generation holds, and the bytes of ids (four an id) of the longest that it keeps.
+MEMO, LONGEST = 120_000, 160
 #: What stands between A's ids and B's in a window's tuple; no id has a byte of ones at its end.
 BETWEEN = b"\xff\xff\xff\xff"
 MARK = "▁"
@@ -50,7 +50,7 @@ def coder_a(path: str, pattern: str) -> Encoder:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path).model  # the BPE itself: texts are cut by the pattern before
-    return Encoder(regex.compile(pattern).findall, lambda tokens: packed([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))]))
+    return Encoder(regex.compile(pattern).findall, lambda tokens: packed([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))]), MEMO)
 
 
 @functools.lru_cache(2)
@@ -70,7 +70,7 @@ def coder_b(path: str) -> Encoder:
         # The library adds a blank: what isn't led by one is encoded after a line end, which stays a token of its own.
         return model.encode("\n" + segment)[2:]
 
-    return Encoder(_SEGMENT.findall, lambda segments: packed([i for s in segments for i in ids_of(s)]))
+    return Encoder(_SEGMENT.findall, lambda segments: packed([i for s in segments for i in ids_of(s)]), MEMO)
 
 
 @dataclass(frozen=True)

@@ -57,14 +57,15 @@ class Memo(dict):
 
 
 class Encoder:
-    """Ids of whole texts. findall: cuts a text into pre-tokens; encode: ids of a list of pre-tokens."""
+    """Ids of whole texts. findall: cuts a text into pre-tokens; encode: ids of a list of pre-tokens; size: of
+    the memos."""
 
-    def __init__(self, findall: Callable[[str], list[str]], encode: Callable[[list[str]], bytes]):
+    def __init__(self, findall: Callable[[str], list[str]], encode: Callable[[list[str]], bytes], size: int = 400_000):
         self.findall = findall
-        self.pre = Memo(lambda p: encode([p]))
+        self.pre = Memo(lambda p: encode([p]), size)
         # A piece of letters alone is one pre-token, with or without a blank before it.
-        self.first = Memo(lambda p: encode([p] if p.isalpha() else findall(p)) if p else b"")
-        self.rest = Memo(lambda p: encode([" " + p] if p.isalpha() else findall(" " + p)))
+        self.first = Memo(lambda p: encode([p] if p.isalpha() else findall(p)) if p else b"", size)
+        self.rest = Memo(lambda p: encode([" " + p] if p.isalpha() else findall(" " + p)), size)
         self.line_end = encode(["\n"])
 
     def __call__(self, text: str) -> bytes:
