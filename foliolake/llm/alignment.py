@@ -16,9 +16,9 @@ No text is shuffled: texts become rows of ids where they lie, which are written
 from __future__ import annotations
 
 import functools
-import re
+import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,48 +29,48 @@ from pyspark.sql import functions as F
 
 from foliolake.llm.bpe_codec import chunks, list_array
 from foliolake.llm.common import stored
-from foliolake.llm.pretokens import BYTE_CHARS, Encoder, mapped, packed
+from foliolake.llm.pretokens import BYTE_CHARS, packed
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text that is tokenised between two Arrow batches, but for a single longer one.
 BATCH_CHARS = 1_000_000
-#: Pieces of text or windows that a memo's generation holds, and the bytes of ids (four an id) of the longest that it keeps.
-MEMO, LONGEST = 120_000, 160
+#: Windows that a memo's generation holds, and the bytes of ids (four an id) of the longest that it keeps.
+MEMO, LONGEST = 300_000, 160
 #: What stands between A's ids and B's in a window's tuple; no id has a byte of ones at its end.
 BETWEEN = b"\xff\xff\xff\xff"
 MARK = "▁"
-#: Where no piece of B can begin and end on both sides: at a line end, and before blanks after anything else.
-_SEGMENT = re.compile(r" *[^ \n]+| +|\n")
+#: Bytes of the characters that stand for them in A's vocabulary.
+_BYTES = {chr(c): b for b, c in BYTE_CHARS.items()}
 
 
 @functools.lru_cache(2)
-def coder_a(path: str, pattern: str) -> Encoder:
-    """Ids of A. The strings of special tokens are plain text."""
-    import regex
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path).model  # the BPE itself: texts are cut by the pattern before
-    return Encoder(regex.compile(pattern).findall, lambda tokens: packed([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))]), MEMO)
+def coder_a(path: str, pattern: str) -> Callable[[str], bytes]:
+    """Ids of A by its file's vocabulary; the strings of special tokens are plain text. Its merges are in the order of their
+    tokens' ids, so the ids are ranks."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    vocab, merges = given["model"]["vocab"], given["model"]["merges"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        raise ValueError("a vocabulary whose merges aren't in the order of its ids can't be used by rank")
+    special = {t["content"] for t in given.get("added_tokens", [])}
+    coder = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={_bytes_of(t): i for t, i in vocab.items() if t not in special}, special_tokens={})
+    return lambda text: packed(coder.encode_ordinary(text))
 
 
 @functools.lru_cache(2)
-def coder_b(path: str) -> Encoder:
-    """Ids of B for a text that begins with the blank which the library adds. No piece has a line end, or a blank after
-    something else, so merges never cross those and what stands between them may be looked up."""
+def coder_b(path: str) -> Callable[[str], bytes]:
+    """Ids of B, whose library adds the blank before the text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
-        raise ValueError("a vocabulary with blanks inside its pieces can't be encoded in segments")
+    return lambda text: packed(model.encode(text))
 
-    def ids_of(segment: str) -> list[int]:
-        if segment[0] == " " and segment.strip(" "):
-            return model.encode(segment[1:])
-        # The library adds a blank: what isn't led by one is encoded after a line end, which stays a token of its own.
-        return model.encode("\n" + segment)[2:]
 
-    return Encoder(_SEGMENT.findall, lambda segments: packed([i for s in segments for i in ids_of(s)]), MEMO)
+def _bytes_of(token: str) -> bytes:
+    return bytes(_BYTES[c] for c in token)
 
 
 @dataclass(frozen=True)
@@ -113,11 +113,10 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
     import sentencepiece
     from tokenizers import Tokenizer
 
-    of = {chr(c): b for b, c in BYTE_CHARS.items()}
     vocab = Tokenizer.from_file(path_a).get_vocab(with_added_tokens=True)
     a = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
-        a[i] = bytes(of[c] for c in token)
+        a[i] = _bytes_of(token)
     model = sentencepiece.SentencePieceProcessor(model_file=path_b)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     b = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
@@ -177,6 +176,12 @@ class WindowMemo(dict):
         return found
 
 
+@functools.lru_cache(1)
+def _memo(path_a: str, path_b: str) -> WindowMemo:
+    """The memo of a Python worker, which tasks after one another share."""
+    return WindowMemo(vocabularies(path_a, path_b))
+
+
 def align_ids(data: bytes, a: bytes, b: bytes, v: Vocabularies, memo: WindowMemo) -> tuple[str, np.ndarray] | None:
     """Groups as text, and the places of all links in the table of pairs; None if the tokens of either don't join to the
     data. a, b: ids as little-endian 32-bit integers."""
@@ -224,7 +229,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_of, b_of, v = coder_a(path_a, pattern), coder_b(path_b), vocabularies(path_a, path_b)
-        memo = WindowMemo(v)
+        memo = _memo(path_a, path_b)
         for batch in it:
             for part in chunks(batch, "text", BATCH_CHARS):
                 rows, pairs, times = [], [], []
@@ -232,7 +237,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a:
                     found = None
                     if text:
                         led = " " + text
-                        a, b = a_of(led), b_of(led)
+                        a, b = a_of(led), b_of(text)
                         found = align_ids(led.encode(), a, b, v, memo)
                     if found is None:
                         rows.append((0, 0, 0, "", 0))
