@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.llm import alignment, bpe_codec, decontaminate, html_text, language, pii, quality_rules, repeats, simhash, token_store, toxicity, vector_codes
+from foliolake.llm import alignment, bpe_codec, decontaminate, html_text, language, phrases, pii, quality_rules, repeats, simhash, token_store, toxicity, vector_codes
 from foliolake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,10 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 SQL["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 35 words that come again."""
+    found = phrases.remove_phrases(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
