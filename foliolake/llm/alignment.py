@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import functools
 import json
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -33,11 +33,9 @@ from foliolake.llm.pretokens import BYTE_CHARS, packed
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text that is tokenised between two Arrow batches, but for a single longer one.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: Windows that a memo's generation holds, and the bytes of ids (four an id) of the longest that it keeps.
-MEMO, LONGEST = 300_000, 160
-#: What stands between A's ids and B's in a window's tuple; no id has a byte of ones at its end.
-BETWEEN = b"\xff\xff\xff\xff"
+MEMO, LONGEST = 120_000, 160
 MARK = "▁"
 #: Bytes of the characters that stand for them in A's vocabulary.
 _BYTES = {chr(c): b for b, c in BYTE_CHARS.items()}
@@ -79,16 +77,15 @@ class Vocabularies:
 
     a: list[bytes]
     b: list[bytes]
-    length_a: list[int]
-    length_b: list[int]
     names: list[str]
+    #: Ids of A as text before a comma and before a bar, then those of B before a comma and before a semicolon.
+    parts: list[str]
     size_a: np.ndarray
     size_b: np.ndarray
     space_a: np.ndarray
     space_b: np.ndarray
-    #: a * len(b) + b of every pair that can be linked, ascending, and the place of each.
+    #: a * len(b) + b of every pair that can be linked, ascending.
     pairs: np.ndarray
-    place: dict[int, int]
 
 
 def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -123,56 +120,68 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
     if not all(a) or not all(b):
         raise ValueError("a token without bytes has no place in a text")
     marked = [np.array([t[:1] == b" " for t in x]) for x in (a, b)]
-    pairs = linkable(a, b)
-    lengths = [[len(t) for t in x] for x in (a, b)]
     names = [str(i) for i in range(max(len(a), len(b)))]
-    return Vocabularies(a, b, *lengths, names, *map(np.array, lengths), *marked, pairs, {p: i for i, p in enumerate(pairs.tolist())})
-
-
-def align_window(a: list[int], b: list[int], v: Vocabularies) -> tuple[list[str], list[int]]:
-    """Groups of ids between the bytes where a token of A and one of B end, as text, and the places of the pairs of ids that
-    end there. Both lists have the same bytes, and no token is empty, so one token of each ends at such a byte."""
-    groups, links, place, n_b, name, size_a, size_b = [], [], v.place, len(v.b), v.names, v.length_a, v.length_b
-    ours = theirs = ""
-    at_a = at_b = i = 0
-    for y in b:
-        at_b += size_b[y]
-        theirs += "," + name[y]
-        while at_a < at_b:
-            x = a[i]
-            i += 1
-            at_a += size_a[x]
-            ours += "," + name[x]
-        if at_a == at_b:
-            groups.append(f"{ours[1:]}|{theirs[1:]}")
-            links.append(place[x * n_b + y])
-            ours = theirs = ""
-    return groups, links
-
-
-class WindowMemo(dict):
-    """From a window's tuple of ids, those of A, -1, and those of B, as 32-bit integers, to its groups as text, its links as places in the table of pairs, and its bytes; None if A's and B's bytes differ. There
-    are two generations of at most ``size`` windows; long ones are never kept."""
+    parts = [n + c for ends in (",|", ",;") for n in names for c in ends]
+    return Vocabularies(a, b, names, parts, *(np.array([len(t) for t in x]) for x in (a, b)), *marked, linkable(a, b))
+
+
+def align_windows(keys: list[bytes], v: Vocabularies) -> list[tuple[str, bytes] | None]:
+    """For each window's tuple of ids (A's, -1, B's, as 32-bit integers) its groups of ids between the bytes where a token of A
+    and one of B end, as text, and the places of the pairs of ids that end there; None if A's and B's bytes differ. The
+    windows are aligned together: their tokens are laid end to end, and as no token is empty, one token of each ends at a
+    byte where both do."""
+    both = np.frombuffer(b"".join(keys), np.int32)
+    length = np.array([len(k) // 4 for k in keys])
+    between = np.flatnonzero(both == -1)
+    side, n_a = np.arange(len(both)) - np.repeat(between, length), between - (np.cumsum(length) - length)
+    ids_a, ids_b = both[side < 0], both[side > 0]
+    bytes_a, bytes_b = ([t[i] for i in ids.tolist()] for t, ids in ((v.a, ids_a), (v.b, ids_b)))
+    bound_a, bound_b = ([0, *np.cumsum(n).tolist()] for n in (n_a, length - n_a - 1))
+    if b"".join(bytes_a) != b"".join(bytes_b) or len(keys) > 1 and not np.array_equal(*(np.concatenate([[0], np.cumsum(size[ids])])[b] for size, ids, b in ((v.size_a, ids_a, bound_a), (v.size_b, ids_b, bound_b)))):
+        return [None] if len(keys) == 1 else [x for k in keys for x in align_windows([k], v)]
+    end_a, end_b = np.cumsum(v.size_a[ids_a]), np.cumsum(v.size_b[ids_b])
+    ends = np.zeros(end_a[-1] + 1, np.uint8)
+    ends[end_a] = 1
+    ends[end_b] += 1
+    last_a, last_b = ends[end_a] == 2, ends[end_b] == 2
+    group_a, group_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+    links = np.searchsorted(v.pairs, ids_a[group_a].astype(np.int64) * len(v.b) + ids_b[group_b]).astype("<i4").tobytes()
+    # Tokens of a group in order, A's before B's, each with what stands after it.
+    n = 2 * len(v.names)
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    sizes_a, sizes_b = (np.diff(np.concatenate([[-1], g])) for g in (group_a, group_b))
+    order[np.arange(len(ids_a)) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)] = 2 * ids_a + last_a
+    order[np.arange(len(ids_b)) + np.repeat(np.cumsum(sizes_a), sizes_b)] = n + 2 * ids_b + last_b
+    text = list(map(v.parts.__getitem__, order.tolist()))
+    cut = (np.array(bound_a) + bound_b).tolist()
+    of = (4 * np.searchsorted(group_a, bound_a)).tolist()
+    return [("".join(text[p:q])[:-1], links[r:s]) for p, q, r, s in zip(cut, cut[1:], of, of[1:], strict=False)]
+
+
+class WindowMemo:
+    """Alignments by the windows' tuples of ids. There are two generations of at most ``size`` windows; when the young one
+    is full it becomes the old one. Long windows are never kept."""
 
     def __init__(self, v: Vocabularies, size: int = MEMO):
-        super().__init__()
-        self.v, self.size, self.old = v, size, {}
-
-    def __missing__(self, key: bytes) -> tuple[str, bytes, bytes] | None:
-        found = self.old.get(key, 0)
-        if found == 0:
-            a, b = (array("i", k).tolist() for k in key.split(BETWEEN))
-            data = b"".join(map(self.v.a.__getitem__, a))
-            if data == b"".join(map(self.v.b.__getitem__, b)):
-                groups, links = align_window(a, b, self.v)
-                found = ";".join(groups), array("i", links).tobytes(), data
-            else:
-                found = None
-        if len(key) <= LONGEST:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
+        self.v, self.size, self.young, self.old = v, size, {}, {}
+
+    def look_up(self, keys: list[bytes]) -> list[tuple[str, bytes] | None]:
+        """The alignment of every window; those that aren't known are aligned together."""
+        young, found = self.young, list(map(self.young.get, keys, repeat(0)))
+        unknown: dict[bytes, list[int]] = {}
+        for i, f in enumerate(found):
+            if f == 0:
+                unknown.setdefault(keys[i], []).append(i)
+        new = [k for k in unknown if k not in self.old]
+        made = dict(zip(new, align_windows(new, self.v) if new else [], strict=True))
+        for key, places in unknown.items():
+            value = made[key] if key in made else self.old[key]
+            for i in places:
+                found[i] = value
+            if len(key) <= LONGEST:
+                young[key] = value
+        if len(young) >= self.size:
+            self.old, self.young = young, {}
         return found
 
 
@@ -182,13 +191,13 @@ def _memo(path_a: str, path_b: str) -> WindowMemo:
     return WindowMemo(vocabularies(path_a, path_b))
 
 
-def align_ids(data: bytes, a: bytes, b: bytes, v: Vocabularies, memo: WindowMemo) -> tuple[str, np.ndarray] | None:
-    """Groups as text, and the places of all links in the table of pairs; None if the tokens of either don't join to the
-    data. a, b: ids as little-endian 32-bit integers."""
+def windows(data: bytes, a: bytes, b: bytes, v: Vocabularies) -> list[bytes] | None:
+    """The windows of a text as tuples of ids: A's, -1, B's; None if A's tokens don't join to the data or B's are of another
+    length. a, b: ids as little-endian 32-bit integers."""
     ids_a, ids_b = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
     size_a, size_b = v.size_a[ids_a], v.size_b[ids_b]
     end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    if not len(a) or not len(b) or end_a[-1] != len(data) or end_b[-1] != len(data):
+    if not len(a) or not len(b) or end_b[-1] != len(data) or b"".join(map(v.a.__getitem__, ids_a.tolist())) != data:
         return None
     at_a, at_b = np.flatnonzero(v.space_a[ids_a]), np.flatnonzero(v.space_b[ids_b])
     start_a, start_b = (end_a - size_a)[at_a], (end_b - size_b)[at_b]
@@ -198,17 +207,34 @@ def align_ids(data: bytes, a: bytes, b: bytes, v: Vocabularies, memo: WindowMemo
     cut_a, cut_b = at_a[begins[start_a] == 2], at_b[begins[start_b] == 2]
     first = [] if len(cut_a) and cut_a[0] == 0 else [0]
     i, k = (np.concatenate([first, c, [len(ids)]]).astype(np.int64) for c, ids in ((cut_a, ids_a), (cut_b, ids_b)))
-    # The ids of each window, A's, -1, B's, one window after another.
     n = np.arange(len(i))
     both = np.full(len(ids_a) + len(ids_b) + len(i) - 1, -1, np.int32)
     both[np.arange(len(ids_a)) + np.repeat((k + n)[:-1], np.diff(i))] = ids_a
     both[np.arange(len(ids_b)) + np.repeat((i + n)[1:], np.diff(k))] = ids_b
     bounds, keys = (4 * (i + k + n)).tolist(), both.tobytes()
-    found = [memo[keys[p:q]] for p, q in zip(bounds, bounds[1:], strict=False)]
-    if None in found:
-        return None
-    groups, links, window = zip(*found, strict=True)
-    return (";".join(groups), np.frombuffer(b"".join(links), np.int32)) if b"".join(window) == data else None
+    return [keys[p:q] for p, q in zip(bounds, bounds[1:], strict=False)]
+
+
+def align_texts(texts: list[str], a_of: Callable[[str], bytes], b_of: Callable[[str], bytes], v: Vocabularies, memo: WindowMemo) -> list[tuple[int, int, str, np.ndarray] | None]:
+    """For each text the numbers of A's and B's tokens, the groups as text, and the places of all links in the table of
+    pairs; None where there are no tokens."""
+    keys: list[bytes] = []
+    held = []
+    for text in texts:
+        led = " " + text
+        a, b = (a_of(led), b_of(text)) if text else (b"", b"")
+        own = windows(led.encode(), a, b, v)
+        held.append((len(a) // 4, len(b) // 4, len(keys), 0 if own is None else len(own)))
+        keys += own or []
+    found, out = memo.look_up(keys), []
+    for n_a, n_b, at, n in held:
+        own = found[at : at + n]
+        if not n or None in own:
+            out.append(None)
+            continue
+        groups, links = zip(*own, strict=True)
+        out.append((n_a, n_b, ";".join(groups), np.frombuffer(b"".join(links), "<i4")))
+    return out
 
 
 def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -233,19 +259,10 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a:
         for batch in it:
             for part in chunks(batch, "text", BATCH_CHARS):
                 rows, pairs, times = [], [], []
-                for text in part.column(1).to_pylist():
-                    found = None
-                    if text:
-                        led = " " + text
-                        a, b = a_of(led), b_of(text)
-                        found = align_ids(led.encode(), a, b, v, memo)
-                    if found is None:
-                        rows.append((0, 0, 0, "", 0))
-                        pairs.append(b"")
-                        times.append(b"")
-                        continue
-                    which, n = np.unique(found[1], return_counts=True)
-                    rows.append((len(a) // 4, len(b) // 4, len(found[1]), found[0], len(found[1])))
+                for found in align_texts(part.column(1).to_pylist(), a_of, b_of, v, memo):
+                    n_a, n_b, groups, links = found or (0, 0, "", np.zeros(0, "<i4"))
+                    which, n = np.unique(links, return_counts=True)
+                    rows.append((n_a, n_b, len(links), groups, len(links)))
                     pairs.append(which.astype("<i4").tobytes())
                     times.append(n.astype("<i4").tobytes())
                 n_a, n_b, n_groups, groups, n_links = zip(*rows, strict=True)

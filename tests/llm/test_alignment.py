@@ -76,19 +76,29 @@ def test_null_and_repeated_keys_and_empty_table(spark, tmp_path):
     assert by_query(spark, tmp_path, [], "doc_id long, text string").collect() == []
 
 
+def parts():
+    paths = [public_tokenizers.path(p) for p in (alignment.VOCABULARY_A, alignment.VOCABULARY_B)]
+    return alignment.coder_a(paths[0], public_tokenizers.PATTERN), alignment.coder_b(paths[1]), alignment.vocabularies(*paths)
+
+
 @pytest.mark.parametrize("size", [1, 3])
 def test_memo_of_few_windows(size):
-    """What falls out of the memo is aligned again."""
-    v = alignment.vocabularies(*(public_tokenizers.path(p) for p in (alignment.VOCABULARY_A, alignment.VOCABULARY_B)))
-    a, b = alignment.coder_a(public_tokenizers.path(alignment.VOCABULARY_A), public_tokenizers.PATTERN), alignment.coder_b(public_tokenizers.path(alignment.VOCABULARY_B))
+    """What falls out of the memo is aligned again; what is in it isn't."""
+    a, b, v = parts()
     small, large = alignment.WindowMemo(v, size), alignment.WindowMemo(v)
-    for text in (" one two three four five", " two three one", " unbelievable five"):
-        x, y = (alignment.align_ids(text.encode(), a(text), b(text[1:]), v, m) for m in (small, large))
-        assert x[0] == y[0] and x[1].tolist() == y[1].tolist()
-        assert len(small) <= size
-
-
-def test_window_with_other_bytes():
-    v = alignment.vocabularies(*(public_tokenizers.path(p) for p in (alignment.VOCABULARY_A, alignment.VOCABULARY_B)))
-    key = alignment.packed([v.a.index(b" the")]) + alignment.BETWEEN + alignment.packed([v.b.index(b" a")])
-    assert alignment.WindowMemo(v)[key] is None
+    for texts in (["one two three four five", "two one"], ["two three one"], ["unbelievable five", "", "▁"]):
+        x, y = (alignment.align_texts(texts, a, b, v, m) for m in (small, large))
+        assert [t and (t[:3], t[3].tolist()) for t in x] == [t and (t[:3], t[3].tolist()) for t in y]
+    known = dict(large.young)
+    large.look_up(list(known))
+    assert large.young == known and len(known) > size
+
+
+def test_windows_with_other_bytes():
+    """Only the windows whose bytes differ have no alignment."""
+    _, _, v = parts()
+    between = b"\xff\xff\xff\xff"
+    ids = lambda *t: alignment.packed(list(t))
+    good = ids(v.a.index(b" the")) + between + ids(v.b.index(b" the"))
+    bad = ids(v.a.index(b" the")) + between + ids(v.b.index(b" a"))
+    assert [x is None for x in alignment.align_windows([good, bad, good], v)] == [False, True, False]
