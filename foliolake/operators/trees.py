@@ -7,9 +7,10 @@ has each node once, with its first path, so that shared parts of a tree are no m
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.sources.shared import cut
@@ -65,34 +66,116 @@ def page_tree_fallback(pages: DataFrame, objects: DataFrame, scanned: DataFrame
     return pages.select("doc_id", "num", "page_no").unionByName(more.select("doc_id", "num", (F.row_number().over(order) - 1).alias("page_no")))
 
 
+def _doubled(state: Column, n: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` as often as pointers have to be doubled to lead over n places."""
+    rounds = F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), rounds), state, lambda s, _: step(s))
+
+
+def _outline_arrays(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row a document: doc_id, root, firsts, nexts (places of the nodes that a node leads to, -1 for none), entries
+    (title, page_no), all in the order of the nodes' numbers, and whether two pointers lead to one node.
+
+    Nodes and pointers are dealt by document and sorted by the number that they have or lead to, so that a running value
+    turns numbers into places."""
+    one = nodes.groupBy("doc_id", "num").agg(F.min(F.struct("first", "next", "title", "page_no")).alias("r")).select("doc_id", "num", "r.*")
+    kinds = [("num", 0), ("first", 1), ("next", 2)]
+    rows = one.select("doc_id", "num", "title", "page_no", F.inline(F.array(*(F.struct(F.col(c).cast("long").alias("to"), F.lit(k).alias("kind")) for c, k in kinds))))
+    missing = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("num", "title", "page_no")}
+    rows = rows.unionByName(roots.groupBy("doc_id").agg(F.min("first").cast("long").alias("to")).withColumns({**missing, "kind": F.lit(3)}))
+    until = Window.partitionBy("doc_id").orderBy("to", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    is_node = F.col("kind") == 0
+    seen = F.last(F.when(is_node, F.struct("to", F.lit(0))), True).over(until)
+    place = F.when(F.col("to").eqNullSafe(seen["to"]) & F.col("to").isNotNull(), F.count(F.when(is_node, 1)).over(until).cast("int") - 1).otherwise(-1)
+    placed = rows.repartition("doc_id").withColumn("place", place)
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("num", "place")))), lambda r: r["place"])
+    arrays = placed.groupBy("doc_id").agg(
+        F.max(F.when(F.col("kind") == 3, F.col("place"))).alias("root"), of(1).alias("firsts"), of(2).alias("nexts"),
+        F.transform(F.sort_array(F.collect_list(F.when(is_node, F.struct("num", "title", "page_no")))), lambda r: F.struct(r["title"].alias("title"), r["page_no"].cast("int").alias("page_no"))).alias("entries"),
+    ).where("root >= 0")
+    led = F.filter(F.concat("firsts", "nexts", F.array("root")), lambda p: p >= 0)
+    return arrays.withColumn("twice", F.size(F.array_distinct(led)) < F.size(led))
+
+
+def _ranked(arrays: DataFrame, depth: int) -> DataFrame:
+    """Entries of outlines in which one pointer at most leads to a node.
+
+    first and next make a binary tree. Pointers to the node above are doubled until they reach the top: that gives a node's
+    level, and whether it hangs on the root. Then the walk is a list: a node is entered, left for what follows it, and left
+    for good, and each of these events has one that comes next. Doubling these pointers counts the entries from an event to
+    the end of the walk, which orders them.
+    """
+    n = F.size("entries")
+    # (to, from, 1 for a child and 0 for a sibling), and for each node one that leads from itself.
+    links = F.concat(
+        F.transform("firsts", lambda t, i: F.struct(t.alias("to"), i.alias("of"), F.lit(1).alias("w"))), F.transform("nexts", lambda t, i: F.struct(t.alias("to"), i.alias("of"), F.lit(0).alias("w"))),
+        F.transform("nexts", lambda t, i: F.struct(i.alias("to"), F.lit(-1).alias("of"), F.lit(0).alias("w"))),
+    )
+    a = arrays.withColumn("links", F.sort_array(F.filter(links, lambda x: x["to"] >= 0)))
+    last = lambda x, k: (k + 1 == F.size("links")) | (F.get("links", k + 1)["to"] != x["to"])
+    a = a.withColumn("above", F.filter("links", last)).drop("links")
+    up = F.struct(F.transform("above", lambda x: F.when(x["of"] < 0, x["to"]).otherwise(x["of"])).alias("p"), F.transform("above", lambda x: x["w"]).alias("d"))
+    double = lambda s: F.struct(F.transform(s["p"], lambda q: F.get(s["p"], q)).alias("p"), F.transform(s["d"], lambda d, i: d + F.get(s["d"], F.get(s["p"], i))).alias("d"))
+    a = a.withColumn("top", _doubled(up, n, double))
+    level = lambda i: F.get(F.col("top.d"), i) + 1
+    good = F.transform("entries", lambda e, i: (F.coalesce(e["title"], F.lit("")) != "") & e["page_no"].isNotNull() & (F.get(F.col("top.p"), i) == F.col("root")) & (level(i) <= depth))
+    a = a.withColumn("good", good)
+
+    def events(x: Column, i: Column) -> Column:
+        child, sibling, above = F.get("firsts", i), F.get("nexts", i), x["of"]
+        enter = F.when((child >= 0) & (level(i) < depth), 3 * child).otherwise(3 * i + 1)
+        left = F.when(sibling >= 0, 3 * sibling).otherwise(3 * i + 2)
+        gone = F.when(above < 0, 3 * i + 2).when(x["w"] == 1, 3 * above + 1).otherwise(3 * above + 2)
+        return F.array(enter, left, gone)
+
+    walk = F.struct(F.flatten(F.transform("above", events)).alias("p"), F.flatten(F.transform("good", lambda g: F.array(g.cast("int"), F.lit(0), F.lit(0)))).alias("d"))
+    a = a.withColumn("rank", _doubled(walk, 3 * n, double)["d"])
+    entry = F.transform("entries", lambda e, i: F.when(F.get("good", i), F.struct((F.get("rank", 3 * F.col("root")) - F.get("rank", 3 * i)).alias("seq"), e["title"].alias("title"), e["page_no"].alias("page_no"), level(i).alias("depth"))))
+    return a.select("doc_id", F.inline(F.filter(entry, lambda e: e.isNotNull())))
+
+
+def _walked(arrays: DataFrame, depth: int) -> DataFrame:
+    """As _ranked, for outlines with nodes that two pointers lead to: which of them counts depends on the whole walk before,
+    so a document is walked in sequence."""
+    import pandas as pd
+
+    def go(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            out = []
+            for doc, root, firsts, nexts, entries in zip(*(batch[c] for c in ("doc_id", "root", "firsts", "nexts", "entries")), strict=True):
+                seen, todo, n = set(), [(root, 1)], 0
+                while todo:
+                    i, level = todo.pop()
+                    if i < 0 or i in seen or level > depth:
+                        continue
+                    seen.add(i)
+                    e = entries[i]
+                    if e["title"] and e["page_no"] is not None:
+                        out.append((doc, n, e["title"], int(e["page_no"]), level))
+                        n += 1
+                    todo += [(int(nexts[i]), level), (int(firsts[i]), level + 1)]  # the child is taken first
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "title", "page_no", "depth"])
+
+    kind = arrays.schema["doc_id"].dataType.simpleString()
+    return arrays.select("doc_id", "root", "firsts", "nexts", "entries").mapInPandas(go, f"doc_id {kind}, seq int, title string, page_no int, depth int")
+
+
 def flatten_outline(nodes: DataFrame, roots: DataFrame, depth: int = OUTLINE_DEPTH) -> DataFrame:
     """Outline entries in order: doc_id, seq, title, page_no, depth.
 
-    nodes: doc_id, num, first, next, title, page_no; roots: doc_id, first. Sibling chains are walked in sequence and end
-    at a node already visited; entries without title or page are left out, and what is below them is not. A document's
-    outline is one group, as it is one document's own.
-    """
-    import pandas as pd
+    nodes: doc_id, num, first, next, title, page_no; roots: doc_id, first. A node already visited ends its chain of
+    siblings; entries without title or page are left out, and what is below them is not; nothing is deeper than ``depth``.
+    Of several nodes with one number the smallest row counts, pointers to numbers that aren't there lead nowhere, and a
+    document without its root's node has no entries.
 
-    schema = "doc_id long, seq int, title string, page_no int, depth int"
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by = {r["num"]: r for r in left.to_dict("records")}
-        out, seen = [], set()
-        whole = lambda x: None if pd.isna(x) else int(x)
-        todo = [(whole(right["first"].iloc[0]), 1)] if len(right) and len(left) else []
-        while todo:
-            num, level = todo.pop()
-            if num is None or num in seen or num not in by or level > depth:
-                continue
-            seen.add(num)
-            r = by[num]
-            if r["title"] and not pd.isna(r["page_no"]):
-                out.append((int(r["doc_id"]), len(out), r["title"], int(r["page_no"]), level))
-            todo += [(whole(r["next"]), level), (whole(r["first"]), level + 1)]  # the child is taken first
-        return pd.DataFrame(out, columns=["doc_id", "seq", "title", "page_no", "depth"])
-
-    return nodes.groupBy("doc_id").cogroup(roots.groupBy("doc_id")).applyInPandas(walk, schema)
+    Nodes are dealt by document once. Outlines without a node that two pointers lead to are put in order by doubling
+    pointers, in the JVM and in a number of rounds that is the logarithm of a document's length; if there are others, those
+    alone are walked node by node. A document's outline is one row of arrays, as it is one document's own.
+    """
+    arrays = cut(_outline_arrays(nodes, roots))
+    out = _ranked(arrays.where("NOT twice"), depth)
+    others = arrays.where("twice")
+    return out if others.isEmpty() else out.unionByName(_walked(others, depth))
 
 
 def flatten_name_tree(nodes: DataFrame, depth: int = NAME_DEPTH) -> DataFrame:
