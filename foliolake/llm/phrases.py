@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,11 @@ def _digests() -> Memo:
     return Memo(xxhash.xxh3_128_digest, 200_000)
 
 
-def digests(data: bytes) -> np.ndarray:
-    """Two 64-bit hashes of each word, n × 2."""
+def digests(*texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word of some texts, one after another (n × 2), and how many words each text has."""
     of = _digests().__getitem__
-    return np.frombuffer(b"".join([b"".join(map(of, words)) for words in pieces(data)]), np.uint64).reshape(-1, 2)
+    hashes = [b"".join([b"".join(map(of, words)) for words in pieces(data)]) for data in texts]
+    return np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2), np.array([len(h) // 16 for h in hashes], np.int64)
 
 
 def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -104,21 +106,25 @@ def _spans(block: np.ndarray, size: int, start: np.ndarray, end: np.ndarray) ->
     return _joined(_joined(h, block[last]), (end - start).astype(np.uint64))
 
 
-def runs(h: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """Of every run of a text with word hashes h: its first window, the number of its windows, its anchor (all in words),
-    the hash of the anchor's prefix, and two hashes of all its words."""
+def runs(h: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """Of every run of some texts with word hashes h, of which each has so many: the text, the first window, the number of
+    windows, the anchor (places in the text), the hash of the anchor's prefix, and two hashes of all words."""
     gram, size = gram_of(window), 1 << (window.bit_length() - 1)
-    found: list[list[np.ndarray]] = [[] for _ in range(6)]
+    begins, text = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    found: list[list[np.ndarray]] = [[] for _ in range(7)]
     for at in range(0, len(h) - window + 1, PART):
         part = h[at : at + PART + window - 1]
         one, two = np.ascontiguousarray(part[:, 0]), np.ascontiguousarray(part[:, 1])
         prefix = _doubled(one, gram)
         anchors = _least((prefix & ~_PLACE) | np.arange(len(prefix), dtype=np.uint64), window - gram + 1) & _PLACE
-        start = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-        stop = np.concatenate([start[1:], [len(anchors)]])
-        anchor, end = anchors[start].astype(np.int64), stop - 1 + window
+        owner = text[at : at + len(part)]
+        inside = owner[: len(anchors)] == owner[window - 1 :]  # not across the end of a text
+        change = (anchors[1:] != anchors[:-1]) | ~inside[1:] | ~inside[:-1]
+        start = np.flatnonzero(inside & np.concatenate([[True], change]))
+        stop = np.flatnonzero(inside & np.concatenate([change, [True]])) + 1
+        anchor, end, which = anchors[start].astype(np.int64), stop - 1 + window, owner[start]
         whole = [_spans(_doubled(x, size), size, start, end) for x in (one, two)]
-        for column, x in zip(found, (start + at, stop - start, anchor + at, prefix[anchor], *whole), strict=True):
+        for column, x in zip(found, (which, start + at - begins[which], stop - start, anchor + at - begins[which], prefix[anchor], *whole), strict=True):
             column.append(x)
     return [np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64) for c in found]
 
@@ -134,25 +140,30 @@ def _run_rows(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in chunks(batch, "data", BATCH_BYTES):
-                out: list[list] = [[] for _ in range(6)]
-                for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    start, n, _, small, whole, whole2 = runs(digests(data), window)
-                    if not len(start):
-                        continue
-                    lengths = np.concatenate([[0], np.cumsum([len(w) + 1 for words in pieces(data) for w in words])])
-                    size = lengths[start + n - 1 + window] - lengths[start]
-                    order = np.lexsort((whole2, whole))
-                    a, b = whole[order], whole2[order]
-                    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    times, one = np.diff(np.concatenate([first, [len(order)]])), order[first]
-                    for column, x in zip(out, (np.full(len(one), key), small[one], whole[one], whole2[one], times, size[one]), strict=True):
-                        column.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["key", *RUN_KEY, "times", "size"])
+                texts = part.column(1).to_pylist()
+                h, counts = digests(*texts)
+                text, start, n, _, small, whole, whole2 = runs(h, counts, window)
+                if not len(text):
+                    continue
+                ends = np.concatenate([[0], np.cumsum([len(w) + 1 for data in texts for words in pieces(data) for w in words])])
+                first = start + (np.cumsum(counts) - counts)[text]
+                order = np.lexsort((whole2, whole, text))
+                t, a, b = text[order], whole[order], whole2[order]
+                other = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                times, one = np.diff(np.concatenate([other, [len(order)]])), order[other]
+                columns = (part.column(0).to_numpy()[text[one]], small[one], whole[one], whole2[one], times, (ends[first + n - 1 + window] - ends[first])[one])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", *RUN_KEY, "times", "size"])
 
     return given.mapInArrow(go, f"key bigint, {RUN}, times bigint, size bigint")
 
 
+def _known_runs(texts: list[bytes], whole: list[int], window: int) -> Iterator[tuple[int, ...]]:
+    """The runs of some texts whose first hash is one of those given, as ``runs`` has them, text by text."""
+    columns = runs(*digests(*texts), window)
+    known = np.flatnonzero(np.isin(columns[5], np.array(whole, np.int64)))
+    return zip(*(c[known].tolist() for c in columns), strict=True)
+
+
 def _wanted_words(texts: DataFrame, window: int) -> DataFrame:
     """The words of the wanted runs of texts: small, whole, whole2, n, crowded, lead (words before the anchor), data (words
     joined by blanks). texts: data, found (array of whole, whole2, n, crowded)."""
@@ -161,15 +172,17 @@ def _wanted_words(texts: DataFrame, window: int) -> DataFrame:
         for batch in it:
             for part in chunks(batch, "data", BATCH_BYTES):
                 out: list[list] = [[] for _ in range(7)]
-                for data, found in zip(part.column("data").to_pylist(), part.column("found").to_pylist(), strict=True):
-                    want = {(f["whole"], f["whole2"]): f for f in found}
-                    words = [w for p in pieces(data) for w in p]
-                    for start, n, anchor, small, whole, whole2 in zip(*(c.tolist() for c in runs(digests(data), window)), strict=True):
-                        f = want.pop((whole, whole2), None)
-                        if f is not None:
-                            row = (small, whole, whole2, f["n"], f["crowded"], anchor - start, b" ".join(words[start : start + n - 1 + window]))
-                            for column, x in zip(out, row, strict=True):
-                                column.append(x)
+                texts = part.column("data").to_pylist()
+                want = {(t, f["whole"], f["whole2"]): f for t, found in enumerate(part.column("found").to_pylist()) for f in found}
+                of_text, words = -1, []
+                for text, start, n, anchor, small, whole, whole2 in _known_runs(texts, [w[1] for w in want], window):
+                    f = want.pop((text, whole, whole2), None)
+                    if f is not None:
+                        if of_text != text:
+                            of_text, words = text, [w for p in pieces(texts[text]) for w in p]
+                        row = (small, whole, whole2, f["n"], f["crowded"], anchor - start, b" ".join(words[start : start + n - 1 + window]))
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
                 kinds = [*[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [*RUN_KEY, "n", "crowded", "lead", "data"])
 
@@ -259,7 +272,7 @@ def _compare_crowd(edges: DataFrame, window: int) -> DataFrame:
             for part in chunks(batch, "data", BATCH_BYTES // 8):
                 out: list[list] = [[] for _ in range(7)]
                 for small, whole, whole2, n, data in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
-                    h = digests(data)
+                    h = digests(data)[0]
                     at = np.arange(len(h) - window + 1)
                     hashes = [_spans(_doubled(np.ascontiguousarray(h[:, f]), size), size, at, at + window).view(np.int64) for f in (0, 1)]
                     for column, x in zip(out, (*(np.full(len(at), v) for v in (small, whole, whole2, min(n, 2))), at, *hashes), strict=True):
@@ -273,19 +286,26 @@ def _compare_crowd(edges: DataFrame, window: int) -> DataFrame:
     return hit.select(*RUN_KEY, F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("hits"))
 
 
-def marked(data: bytes, found: list, window: int = WINDOW) -> np.ndarray:
-    """For every word whether it is in a repeated window. found: dicts of whole, whole2 and hits (None: all windows)."""
-    h = digests(data)
-    out = np.zeros(len(h) + 1, np.int64)
-    hits = {(f["whole"], f["whole2"]): f["hits"] for f in found}
-    for start, n, _, _, whole, whole2 in zip(*(c.tolist() for c in runs(h, window)), strict=True):
-        if (whole, whole2) in hits:
-            own = hits[whole, whole2]
-            own = [0, n] if own is None else own
-            for x, y in zip(own[::2], own[1::2], strict=True):
-                out[start + x] += 1
-                out[start + y - 1 + window] -= 1
-    return np.cumsum(out[:-1]) > 0
+def marked(texts: list[bytes], found: list[list], window: int = WINDOW) -> list[np.ndarray | None]:
+    """For each text, for every word whether it is in a repeated window; None if none is. found: for each text dicts of
+    whole, whole2 and hits (None: all windows)."""
+    hits = {(t, f["whole"], f["whole2"]): f["hits"] for t, own in enumerate(found) for f in own or ()}
+    out: list[np.ndarray | None] = [None] * len(texts)
+    some = [t for t, own in enumerate(found) if own]
+    if not some:
+        return out
+    sums = {}
+    for k, start, n, _, _, whole, whole2 in _known_runs([texts[t] for t in some], [w[1] for w in hits], window):
+        key = some[k], whole, whole2
+        if key in hits:
+            own = [0, n] if hits[key] is None else hits[key]
+            begins, ends = sums.setdefault(some[k], ([], []))
+            begins += [start + x for x in own[::2]]
+            ends += [start + y - 1 + window for y in own[1::2]]
+    for t, (begins, ends) in sums.items():
+        n = max(ends)
+        out[t] = np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:-1] > 0
+    return out
 
 
 def _kept(texts: DataFrame, window: int) -> DataFrame:
@@ -294,12 +314,12 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
     def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in chunks(batch, "data", BATCH_BYTES):
-                rows = []
-                for data, found in zip(part.column("data").to_pylist(), part.column("found").to_pylist(), strict=True):
-                    gone = marked(data, found, window) if found else None
+                rows, texts = [], part.column("data").to_pylist()
+                for data, gone in zip(texts, marked(texts, part.column("found").to_pylist(), window), strict=True):
                     left, n = [], 0
                     for words in pieces(data):
-                        own = words if gone is None else [w for w, g in zip(words, gone[n : n + len(words)].tolist(), strict=True) if not g]
+                        # No word is removed beyond the last window that is.
+                        own = words if gone is None or n >= len(gone) else [w for w, g in zip_longest(words, gone[n : n + len(words)].tolist()) if not g]
                         n += len(words)
                         if own:
                             left.append(b" ".join(own))

@@ -70,8 +70,10 @@ def test_runs_hold_every_window_once(monkeypatch):
     r = random.Random(2)
     data = " ".join(r.choice(["a", "b", "cc", "ddd"]) for _ in range(3000)).encode()
     assert [w for p in phrases.pieces(data) for w in p] == data.split()
-    start, n, anchor, *_ = phrases.runs(phrases.digests(data))
+    _, start, n, anchor, *_ = phrases.runs(*phrases.digests(data))
     assert np.array_equal(np.concatenate([np.arange(s, s + k) for s, k in zip(start, n)]), np.arange(3000 - 34))
+    text, *rest = phrases.runs(*phrases.digests(b"a b", data[:900], b"", data[:900], data[:50]))
+    assert set(text.tolist()) == {1, 3} and all(np.array_equal(c[text == 1], c[text == 3]) for c in rest[:2])
     assert ((anchor >= start + n - 1) & (anchor <= start + 27)).all()
 
 
