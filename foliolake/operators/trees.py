@@ -1,8 +1,8 @@
 """Trees, keyed lookups and generations, as joins.
 
-Trees are walked level by level: one equi join a level, bounded by a depth that the formats fix, each level written to
-the checkpoint folder so that the plan stays short. Paths are arrays of places, whose order is that of the walk. A level
-has each node once, with its first path, so that shared parts of a tree are no more work than others.
+A document's tree or outline is one row of arrays, dealt once by its key; a document bounds every group. Trees are walked
+level by level within that row, to a depth that the formats fix. Paths are arrays of places, whose order is that of the
+walk. A level has each node once, with its first path, so that shared parts of a tree are no more work than others.
 """
 
 from __future__ import annotations
@@ -22,10 +22,58 @@ NO_NAME = ("W", "Index")
 INHERITED = ("resources", "media_box", "rotate")
 
 
-def _firsts(level: DataFrame) -> DataFrame:
-    """Each node of a level by its first path. A later path of the same length can only lead to later places."""
-    rest = [c for c in level.columns if c not in ("doc_id", "node", "path")]
-    return level.groupBy("doc_id", "node").agg(F.min_by(F.struct("path", *rest), "path").alias("r")).select("doc_id", "node", "r.*")
+def _family(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a document: doc_id, rows (the document's nodes by parent and place, roots first: node, ord, the given columns,
+    and where the rows of a node's own children begin and how many there are) and the number of roots.
+
+    Nodes are dealt by document, once. Every row is met under its own key and under its parent's, which tells where a
+    node's children stand."""
+    given = nodes.where("node IS NOT NULL").repartition("doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.col("parent").asc_nulls_first(), "ord", "node", *columns)
+    numbered = given.select("doc_id", "node", "parent", "ord", *columns, (F.row_number().over(order) - 1).alias("at"))
+    both = numbered.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("self")).withColumn("key", F.when(F.col("self"), F.col("node")).otherwise(F.col("parent")))
+    same = Window.partitionBy("doc_id", "key")
+    child = F.when(~F.col("self"), F.col("at"))
+    met = both.withColumns({"begin": F.coalesce(F.min(child).over(same), F.lit(0)), "n": F.count(child).over(same).cast("int")})
+    row = F.when(F.col("self"), F.struct("at", "node", "ord", "begin", "n", *columns))
+    return met.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.count_if(F.col("self") & F.col("parent").isNull()).cast("int").alias("roots"))
+
+
+def _firsts(found: Column) -> Column:
+    """Of each node the row with the first path. A later path of the same length can only lead to later places."""
+    by_node = F.array_sort(found)  # node, path, ...
+    return F.flatten(F.transform(F.array(by_node), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["node"] != x["node"]))))
+
+
+def _walk(family: DataFrame, depth: int, kept: Callable[[Column, Column | None], dict[str, Column]], leaf: Callable[[Column], Column], inner: Callable[[Column], Column]) -> DataFrame:
+    """Adds found to documents: node, path and kept columns of all leaves by their first paths, in the order of nodes.
+
+    A level is a list of nodes, each once; the next one is made of their children, which are slices of the document's rows.
+    kept: columns of a node, by its row and its parent's. A node that its own path has already is not followed again."""
+    kinds = {f.name: f.dataType.simpleString() for f in family.schema["rows"].dataType.elementType.fields}
+    names = list(kept(F.lit(None), None))
+
+    def made(k: Column, above: Column | None) -> Column:
+        none = lambda t: F.array().cast(f"array<{t}>")
+        path, seen = (none(kinds["ord"]), none(kinds["node"])) if above is None else (above["path"], above["seen"])
+        own = kept(k, above)
+        ends = [F.coalesce(f(k), F.lit(False)).alias(n) for f, n in ((leaf, "leaf"), (inner, "inner"))]
+        return F.struct(k["node"].alias("node"), F.array_append(path, k["ord"]).alias("path"), *(own[c].alias(c) for c in names), F.array_append(seen, k["node"]).alias("seen"), k["begin"].alias("begin"), k["n"].alias("n"), *ends)
+
+    def leaves(level: Column) -> Column:
+        return F.transform(F.filter(level, lambda x: x["leaf"]), lambda x: F.struct(*(x[c].alias(c) for c in ("node", "path", *names))))
+
+    def step(s: Column, _: Column) -> Column:
+        def children(x: Column) -> Column:
+            return F.transform(F.filter(F.slice("rows", x["begin"] + 1, x["n"]), lambda k: ~F.array_contains(x["seen"], k["node"])), lambda k: made(k, x))
+
+        level = _firsts(F.flatten(F.transform(F.filter(s["level"], lambda x: x["inner"]), children)))
+        return F.transform(F.array(level), lambda a: F.struct(a.alias("level"), F.concat(s["found"], leaves(a)).alias("found")))[0]
+
+    roots = family.withColumn("level", _firsts(F.transform(F.slice("rows", 1, F.col("roots")), lambda k: made(k, None))))
+    start = F.struct("level", leaves(F.col("level")).alias("found"))
+    steps = F.sequence(F.lit(2), F.lit(depth)) if depth > 1 else F.array().cast("array<int>")
+    return roots.select("doc_id", _firsts(F.aggregate(steps, start, step, lambda s: s["found"])).alias("found"))
 
 
 def flatten_page_tree(nodes: DataFrame, depth: int = PAGE_DEPTH) -> DataFrame:
@@ -33,27 +81,16 @@ def flatten_page_tree(nodes: DataFrame, depth: int = PAGE_DEPTH) -> DataFrame:
 
     nodes: doc_id, node, parent (null for a root), ord (place among siblings), type, attributes. A node with several
     parents counts where the walk meets it first, and a node that its own path has already is not followed again. A leaf
-    is what is a page, or has no children and isn't a branch. A document's pages are numbered together, so it bounds a
-    group.
+    is what is a page, or has no children and isn't a branch. Nodes are dealt by document once, and a document is a row of
+    arrays in which the levels are found one after another; nothing is joined or shuffled for a level.
     """
     own = [c for c in INHERITED if c in nodes.columns]
-    kids = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent").alias("_up"), F.col("node").alias("_kid"), F.col("ord").alias("_ord"), F.col("type").alias("_type"), *(F.col(c).alias(f"_{c}") for c in own))
-    branch = nodes.select("doc_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct().withColumn("has_kids", F.lit(True))
-    level = nodes.where("parent IS NULL").select("doc_id", "node", "type", *own, F.array("ord").alias("path"), F.array("node").alias("seen"))
-    leaves = []
-    for _ in range(depth):
-        level = cut(_firsts(level))
-        if level.isEmpty():
-            break
-        marked = level.join(branch.hint("merge"), ["doc_id", "node"], "left")
-        leaves.append(marked.where("type = 'Page' OR (type <> 'Pages' AND has_kids IS NULL)").select("doc_id", "node", *own, "path"))
-        inner = marked.where("type = 'Pages' OR (has_kids AND type <> 'Page')")
-        step = inner.join(kids.hint("merge"), (F.col("_doc") == F.col("doc_id")) & (F.col("_up") == F.col("node"))).where(~F.array_contains("seen", F.col("_kid")))
-        inherited = (F.coalesce(f"_{c}", c).alias(c) for c in own)
-        level = step.select("doc_id", F.col("_kid").alias("node"), F.col("_type").alias("type"), *inherited, F.array_append("path", F.col("_ord")).alias("path"), F.array_append("seen", F.col("_kid")).alias("seen"))
-    found = reduce(DataFrame.unionByName, leaves) if leaves else nodes.where("false").select("doc_id", "node", *own, F.array("ord").alias("path"))
-    order = Window.partitionBy("doc_id").orderBy("path")
-    return _firsts(found).select("doc_id", "node", (F.row_number().over(order) - 1).alias("page_no"), *own)
+    kept = lambda k, above: {c: k[c] if above is None else F.coalesce(k[c], above[c]) for c in own}
+    leaf = lambda k: (k["type"] == "Page") | ((k["type"] != "Pages") & (k["n"] == 0))
+    inner = lambda k: (k["type"] == "Pages") | ((k["n"] > 0) & (k["type"] != "Page"))
+    walked = _walk(_family(nodes, ["type", *own]), depth, kept, leaf, inner)
+    in_order = F.array_sort(F.transform("found", lambda x: F.struct(x["path"].alias("path"), x["node"].alias("node"), *(x[c].alias(c) for c in own))))
+    return walked.select("doc_id", F.posexplode(in_order).alias("page_no", "r")).select("doc_id", "r.node", "page_no", *(f"r.{c}" for c in own))
 
 
 def page_tree_fallback(pages: DataFrame, objects: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
@@ -180,18 +217,11 @@ def flatten_outline(nodes: DataFrame, roots: DataFrame, depth: int = OUTLINE_DEP
 
 def flatten_name_tree(nodes: DataFrame, depth: int = NAME_DEPTH) -> DataFrame:
     """Names and targets of a tree: doc_id, name, page_ref, path; of equal names the first counts, with or without a
-    leading slash. nodes: doc_id, node, parent, ord, name, page_ref (both null for a branch)."""
-    level = nodes.where("parent IS NULL").select("doc_id", "node", "name", "page_ref", F.array("ord").alias("path"))
-    kids = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent").alias("_up"), F.col("node").alias("_kid"), F.col("ord").alias("_ord"), F.col("name").alias("_name"), F.col("page_ref").alias("_ref"))
-    leaves = []
-    for _ in range(depth):
-        level = cut(_firsts(level))
-        if level.isEmpty():
-            break
-        leaves.append(level.where("name IS NOT NULL").select("doc_id", F.regexp_replace("name", "^/", "").alias("name"), "page_ref", "path"))
-        step = level.join(kids.hint("merge"), (F.col("_doc") == F.col("doc_id")) & (F.col("_up") == F.col("node")))
-        level = step.select("doc_id", F.col("_kid").alias("node"), F.col("_name").alias("name"), F.col("_ref").alias("page_ref"), F.array_append("path", F.col("_ord")).alias("path"))
-    found = reduce(DataFrame.unionByName, leaves) if leaves else nodes.where("false").select("doc_id", "name", "page_ref", F.array("ord").alias("path"))
+    leading slash. nodes: doc_id, node, parent, ord, name, page_ref (both null for a branch). As page trees, without a
+    shuffle for a level; names are compared within a document's row."""
+    always = lambda k: F.lit(True)
+    walked = _walk(_family(nodes, ["name", "page_ref"]), depth, lambda k, above: {"name": k["name"], "page_ref": k["page_ref"]}, lambda k: k["name"].isNotNull(), always)
+    found = walked.select("doc_id", F.inline("found")).select("doc_id", F.regexp_replace("name", "^/", "").alias("name"), "page_ref", "path")
     return found.groupBy("doc_id", "name").agg(F.min_by("page_ref", "path").alias("page_ref"), F.min("path").alias("path"))
 
 

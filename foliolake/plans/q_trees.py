@@ -19,26 +19,28 @@ first_v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, nod
 
 @query(f"{TREE} SELECT doc_id, node, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS page_no, resources, media_box, rotate FROM first_v")
 def h1_flatten_page_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as pages of nations as documents."""
+    """Customers as pages of books."""
     return T.flatten_page_tree(V.page_nodes(spark, sf))
 
 
 @query(
-    """WITH p AS (SELECT c_nationkey AS doc_id, c_custkey AS num, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page_no FROM customer WHERE c_nationkey % 3 = 0),
-o AS (SELECT c_nationkey AS doc_id, c_custkey AS num, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page_no FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 3 <> 0 AND c_nationkey % 2 = 1)
+    """WITH b AS (SELECT *, c_nationkey + 25 * (c_custkey // 10000) AS doc_id FROM customer), p AS (SELECT doc_id, c_custkey AS num, row_number() OVER (PARTITION BY doc_id ORDER BY c_custkey) - 1 AS page_no FROM b WHERE doc_id % 3 = 0),
+o AS (SELECT doc_id, c_custkey AS num, row_number() OVER (PARTITION BY doc_id ORDER BY c_custkey) - 1 AS page_no FROM b WHERE c_custkey % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 2 = 1)
 SELECT doc_id, num, CAST(page_no AS INTEGER) AS page_no FROM (SELECT * FROM p UNION ALL SELECT * FROM o)"""
 )
 def h2_page_tree_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as documents; two of three have no page tree, and every second one was scanned."""
-    objects = table(spark, sf, "customer").selectExpr("c_nationkey doc_id", "c_custkey num", "IF(c_custkey % 2 = 0, 'Page', 'Font') type")
-    return T.page_tree_fallback(_pages(spark, sf).where("doc_id % 3 = 0"), objects, table(spark, sf, "nation").selectExpr("n_nationkey doc_id").where("doc_id % 2 = 1"))
+    """Books of which two of three have no page tree, and every second one was scanned."""
+    books = table(spark, sf, "customer").withColumn("doc_id", F.expr(V.BOOK))
+    objects = books.selectExpr("doc_id", "c_custkey num", "IF(c_custkey % 2 = 0, 'Page', 'Font') type")
+    return T.page_tree_fallback(_pages(spark, sf).where("doc_id % 3 = 0"), objects, books.select("doc_id").where("doc_id % 2 = 1").distinct())
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").selectExpr("c_nationkey doc_id", "c_custkey num", "CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) page_no")
+    books = table(spark, sf, "customer").withColumn("doc_id", F.expr(V.BOOK))
+    return books.selectExpr("doc_id", "c_custkey num", "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c_custkey) - 1 AS INT) page_no")
 
 
-PAGES = "pages_v AS (SELECT c_nationkey AS doc_id, c_custkey AS num, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS page_no FROM customer)"
+PAGES = "pages_v AS (SELECT doc_id, c_custkey AS num, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c_custkey) - 1 AS INTEGER) AS page_no FROM (SELECT *, c_nationkey + 25 * (c_custkey // 10000) AS doc_id FROM customer))"
 
 
 @query(
@@ -62,9 +64,9 @@ def h4_flatten_name_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: A name stands for a chain of as many wrappers as its customer's key says; longer ones, and some others, lead nowhere.
-DESTS = """dests_v AS (SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'dict' ELSE 'tree' END AS origin, CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END || 'd' || (c_custkey // 4 % 50) AS name, CASE WHEN c_custkey % 10 < 8 AND c_custkey % 23 <> 0 THEN c_custkey END AS page_ref FROM customer),
+DESTS = """dests_v AS (SELECT c_nationkey + 25 * (c_custkey // 10000) AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'dict' ELSE 'tree' END AS origin, CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END || 'd' || (c_custkey // 4 % 50) AS name, CASE WHEN c_custkey % 10 < 8 AND c_custkey % 23 <> 0 THEN c_custkey END AS page_ref FROM customer),
 d_v AS (SELECT doc_id, origin, name, min(page_ref) AS page_ref FROM dests_v GROUP BY ALL),
-entries_v AS (SELECT o_orderkey AS entry, o_custkey % 25 AS doc_id, CASE WHEN o_orderkey % 4 <> 3 THEN 'd' || (o_orderkey % 60) END AS dest_name FROM orders),
+entries_v AS (SELECT o_orderkey AS entry, o_custkey % 25 + 25 * (o_custkey // 10000) AS doc_id, CASE WHEN o_orderkey % 4 <> 3 THEN 'd' || (o_orderkey % 60) END AS dest_name FROM orders),
 resolved_v AS (SELECT e.*, CASE WHEN a.doc_id IS NOT NULL THEN a.page_ref WHEN b.doc_id IS NOT NULL THEN b.page_ref ELSE c.page_ref END AS page_ref FROM entries_v e LEFT JOIN d_v a ON a.doc_id = e.doc_id AND a.origin = 'dict' AND a.name = e.dest_name
 LEFT JOIN d_v b ON b.doc_id = e.doc_id AND b.origin = 'dict' AND b.name = '/' || e.dest_name LEFT JOIN d_v c ON c.doc_id = e.doc_id AND c.origin = 'tree' AND c.name = e.dest_name)"""
 
@@ -72,12 +74,12 @@ LEFT JOIN d_v b ON b.doc_id = e.doc_id AND b.origin = 'dict' AND b.name = '/' ||
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as outline entries that name their destinations in four ways."""
     c = table(spark, sf, "customer")
-    d = c.selectExpr("c_nationkey doc_id", "IF(c_custkey % 2 = 0, 'dict', 'tree') origin", "concat(IF(c_custkey % 4 = 0, '/', ''), 'd', c_custkey DIV 4 % 50) name", "c_custkey * 100 num")
-    chain = c.selectExpr("c_nationkey doc_id", "c_custkey", "explode(sequence(0, CAST(c_custkey % 10 AS INT))) j")
+    d = c.selectExpr(f"{V.BOOK} doc_id", "IF(c_custkey % 2 = 0, 'dict', 'tree') origin", "concat(IF(c_custkey % 4 = 0, '/', ''), 'd', c_custkey DIV 4 % 50) name", "c_custkey * 100 num")
+    chain = c.selectExpr(f"{V.BOOK} doc_id", "c_custkey", "explode(sequence(0, CAST(c_custkey % 10 AS INT))) j")
     last = "j = c_custkey % 10"
     objects = chain.selectExpr("doc_id", "c_custkey * 100 + j num", f"CASE WHEN NOT {last} THEN 'dict' WHEN c_custkey % 23 = 0 THEN 'number' ELSE 'array' END kind", f"IF({last}, c_custkey, NULL) page_ref", f"IF({last}, NULL, c_custkey * 100 + j + 1) inner")
     way = lambda k, name: f"IF(o_orderkey % 4 = {k}, concat('d', o_orderkey % 60), NULL) {name}"
-    entries = table(spark, sf, "orders").selectExpr("o_orderkey entry", "o_custkey % 25 doc_id", way(0, "dest_name"), way(1, "array_name"), "CASE o_orderkey % 4 WHEN 2 THEN 'GoTo' WHEN 3 THEN 'Launch' END action", "IF(o_orderkey % 4 >= 2, concat('d', o_orderkey % 60), NULL) action_name")
+    entries = table(spark, sf, "orders").selectExpr("o_orderkey entry", "o_custkey % 25 + 25 * (o_custkey DIV 10000) doc_id", way(0, "dest_name"), way(1, "array_name"), "CASE o_orderkey % 4 WHEN 2 THEN 'GoTo' WHEN 3 THEN 'Launch' END action", "IF(o_orderkey % 4 >= 2, concat('d', o_orderkey % 60), NULL) action_name")
     return T.resolve_named_dest(T.dest_names(entries), T.unwrap_dests(d, objects))
 
 

@@ -138,31 +138,37 @@ def archive(spark: SparkSession, sf: str) -> DataFrame:
 ARCHIVE = "archive_v AS (SELECT p_brand AS archive_id, CASE WHEN p_partkey % 2 = 0 THEN 'P' ELSE 'p' END || p_partkey || (['.png','.JPG','.gif','.txt','.webp'])[(p_size % 5) + 1] AS entry_name FROM part)"
 
 
+#: Customers by nation and ten thousands of their key: books of some four hundred pages each, whose number grows with the data.
+BOOK = "c_nationkey + 25 * (c_custkey DIV 10000)"
+
+
 def page_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as pages of nations, each a document with five groups of twenty parts: doc_id, node, parent, ord, type,
+    """Customers as pages of documents, each with five groups of twenty parts: doc_id, node, parent, ord, type,
     resources, media_box, rotate. Some parts hang on a second group, one holds a group, and one the root."""
-    nation, customer = (table(spark, sf, t) for t in ("nation", "customer"))
-    nodes = nation.selectExpr("n_nationkey doc_id", "explode(sequence(0, 19)) k")
+    customer = table(spark, sf, "customer").withColumn("doc_id", F.expr(BOOK))
+    docs = customer.select("doc_id").distinct()
+    nodes = docs.selectExpr("doc_id", "explode(sequence(0, 19)) k")
     group = ["IF(k % 2 = 0, concat('G', k), NULL) resources", "CAST(NULL AS STRING) media_box", "IF(k % 2 = 1, 90, NULL) rotate"]
     part = ["IF(k % 3 = 0, concat('S', k), NULL) resources", "IF(k % 4 = 0, concat('M', k), NULL) media_box", "CAST(NULL AS INT) rotate"]
     rows = [
-        nation.selectExpr("n_nationkey doc_id", "'r' node", "CAST(NULL AS STRING) parent", "0 ord", "'Pages' type", "'R0' resources", "'M0' media_box", "0 rotate"),
+        docs.selectExpr("doc_id", "'r' node", "CAST(NULL AS STRING) parent", "0 ord", "'Pages' type", "'R0' resources", "'M0' media_box", "0 rotate"),
         nodes.where("k < 5").selectExpr("doc_id", "concat('g', k) node", "'r' parent", "k ord", "'Pages' type", *group),
         nodes.where("k = 1").selectExpr("doc_id", "'g1' node", "'s3' parent", "99 ord", "'Pages' type", *group),
         nodes.selectExpr("doc_id", "concat('s', k) node", "concat('g', k % 5) parent", "k ord", "'Pages' type", *part),
         nodes.where("k % 7 = 0").selectExpr("doc_id", "concat('s', k) node", "concat('g', (k + 1) % 5) parent", "50 + k ord", "'Pages' type", *part),
         nodes.where("k = 0").selectExpr("doc_id", "'r' node", "'s5' parent", "98 ord", "'Pages' type", "'R0' resources", "'M0' media_box", "0 rotate"),
-        customer.selectExpr("c_nationkey doc_id", "concat('c', c_custkey) node", "concat('s', c_custkey % 20) parent", "CAST(c_custkey AS INT) ord", "'Page' type", "IF(c_custkey % 11 = 0, concat('C', c_custkey), NULL) resources", "IF(c_custkey % 13 = 0, concat('B', c_custkey), NULL) media_box", "IF(c_custkey % 17 = 0, 180, NULL) rotate"),
+        customer.selectExpr("doc_id", "concat('c', c_custkey) node", "concat('s', c_custkey % 20) parent", "CAST(c_custkey AS INT) ord", "'Page' type", "IF(c_custkey % 11 = 0, concat('C', c_custkey), NULL) resources", "IF(c_custkey % 13 = 0, concat('B', c_custkey), NULL) media_box", "IF(c_custkey % 17 = 0, 180, NULL) rotate"),
     ]
     return reduce(DataFrame.unionByName, rows)
 
 
-PAGE_NODES = """parts_v AS (SELECT n_nationkey AS doc_id, CAST(k AS INTEGER) AS k, CASE WHEN k % 3 = 0 THEN 'S' || k END AS resources, CASE WHEN k % 4 = 0 THEN 'M' || k END AS media_box, CAST(NULL AS INTEGER) AS rotate FROM nation, range(20) t(k)),
+PAGE_NODES = """books_v AS (SELECT *, c_nationkey + 25 * (c_custkey // 10000) AS doc_id FROM customer), docs_v AS (SELECT DISTINCT doc_id FROM books_v),
+parts_v AS (SELECT doc_id, CAST(k AS INTEGER) AS k, CASE WHEN k % 3 = 0 THEN 'S' || k END AS resources, CASE WHEN k % 4 = 0 THEN 'M' || k END AS media_box, CAST(NULL AS INTEGER) AS rotate FROM docs_v, range(20) t(k)),
 groups_v AS (SELECT doc_id, k, CASE WHEN k % 2 = 0 THEN 'G' || k END AS resources, CAST(NULL AS VARCHAR) AS media_box, CASE WHEN k % 2 = 1 THEN 90 END AS rotate FROM parts_v WHERE k < 5),
-page_nodes_v AS (SELECT n_nationkey AS doc_id, 'r' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS ord, 'Pages' AS type, 'R0' AS resources, 'M0' AS media_box, 0 AS rotate FROM nation
-UNION ALL SELECT n_nationkey, 'r', 's5', 98, 'Pages', 'R0', 'M0', 0 FROM nation
+page_nodes_v AS (SELECT doc_id, 'r' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS ord, 'Pages' AS type, 'R0' AS resources, 'M0' AS media_box, 0 AS rotate FROM docs_v
+UNION ALL SELECT doc_id, 'r', 's5', 98, 'Pages', 'R0', 'M0', 0 FROM docs_v
 UNION ALL SELECT doc_id, 'g' || k, 'r', k, 'Pages', resources, media_box, rotate FROM groups_v
 UNION ALL SELECT doc_id, 'g1', 's3', 99, 'Pages', resources, media_box, rotate FROM groups_v WHERE k = 1
 UNION ALL SELECT doc_id, 's' || k, 'g' || (k % 5), k, 'Pages', resources, media_box, rotate FROM parts_v
 UNION ALL SELECT doc_id, 's' || k, 'g' || ((k + 1) % 5), 50 + k, 'Pages', resources, media_box, rotate FROM parts_v WHERE k % 7 = 0
-UNION ALL SELECT c_nationkey, 'c' || c_custkey, 's' || (c_custkey % 20), CAST(c_custkey AS INTEGER), 'Page', CASE WHEN c_custkey % 11 = 0 THEN 'C' || c_custkey END, CASE WHEN c_custkey % 13 = 0 THEN 'B' || c_custkey END, CASE WHEN c_custkey % 17 = 0 THEN 180 END FROM customer)"""
+UNION ALL SELECT doc_id, 'c' || c_custkey, 's' || (c_custkey % 20), CAST(c_custkey AS INTEGER), 'Page', CASE WHEN c_custkey % 11 = 0 THEN 'C' || c_custkey END, CASE WHEN c_custkey % 13 = 0 THEN 'B' || c_custkey END, CASE WHEN c_custkey % 17 = 0 THEN 180 END FROM books_v)"""
