@@ -87,6 +87,39 @@ def s7_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that arrive as files of a table, imported by a stream that ends when all are in. (A pattern, as a stream
     takes a path without one for a folder.)"""
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    slim = lambda b: b.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+    slim = lambda b: b.select("doc_id", "imported", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
     ingest.ingest_table(spark, f"{sf}/documents.parque[t]", "doc_id long, text string", "doc_id", f"{base}/out", f"{base}/progress", slim).awaitTermination()
     return ingest.latest(spark, f"{base}/out").select("doc_id", "digest", "n")
+
+
+#: Documents in books of a thousand; each third book is imported again, with changed texts.
+@query("SELECT doc_id, doc_id // 1000 AS book, md5(text || CASE WHEN doc_id // 1000 % 3 = 0 THEN ' again' ELSE '' END) AS digest FROM documents")
+def s7_import_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Books written as files, imported by a stream of binary files; a second folder has files of some of them, which
+    replace the first import in a second run of the stream."""
+    base = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").selectExpr("doc_id DIV 1000 book", "to_json(struct(doc_id, text)) value")
+    again = table(spark, sf, "documents").where("doc_id DIV 1000 % 3 = 0").selectExpr("doc_id DIV 1000 book", "to_json(struct(doc_id, concat(text, ' again') text)) value")
+    book = lambda path: F.regexp_extract(path, "book=([0-9]+)", 1)
+    for n, rows in enumerate((docs, again)):
+        rows.repartition("book").write.partitionBy("book").text(f"{base}/in/{n}")
+        ingest.ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/progress", "*.txt", key=book).awaitTermination()
+    lines = ingest.latest(spark, f"{base}/out").select(book(F.col("path")).cast("long").alias("book"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    row = lines.select("book", F.from_json("line", "doc_id long, text string").alias("r"))
+    return row.select("r.doc_id", "book", F.md5("r.text").alias("digest"))
+
+
+@query(
+    f"""WITH {V.TEXT_LINES}, k AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '> ' || line ELSE line END AS now FROM text_lines_v WHERE doc_id % 9 <> 0 AND (doc_id % 3 <> 0 OR line_no % 2 = 0))
+SELECT doc_id, count(*) AS n_lines, md5(string_agg(now, chr(10) ORDER BY line_no)) AS digest FROM k GROUP BY doc_id"""
+)
+def s6_replace_books(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of all documents as a table of books; each third book is replaced by one with half of its lines, each
+    ninth by one without any."""
+    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    lines = V.text_lines(spark, sf)
+    S.write_book_tables({"lines": lines}, path)
+    third = lines.where("doc_id % 3 = 0")
+    S.replace_books({"lines": third.where("doc_id % 9 <> 0 AND line_no % 2 = 0").withColumn("line", F.concat(F.lit("> "), "line"))}, third.select("doc_id"), path)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
+    return S.read_books(spark, path, "lines").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(joined).alias("digest"))

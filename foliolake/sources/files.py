@@ -85,8 +85,70 @@ def import_summary(chapters: DataFrame, scanned: DataFrame) -> DataFrame:
     return per.join(scanned, "doc_id", "left").select("doc_id", line.alias("summary"))
 
 
-def write_book_tables(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
-    """Writes each table as Parquet below a path, dealt into folders by a hash of doc_id, which readers can prune."""
+#: Folders that a table of books is dealt into; the column's name says how many there are.
+BUCKETS, PART = 64, "part_of_"
+
+
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn(f"{PART}{buckets}", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int"))
+
+
+def _part(df: DataFrame) -> tuple[str, int]:
+    """The column of a table's folders and their number."""
+    name = next(c for c in df.columns if c.startswith(PART))
+    return name, int(name.removeprefix(PART))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_book_tables(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
+    """Writes each table as Parquet below a path, dealt into folders by a hash of doc_id, which readers can prune. A large
+    folder is several files; what was there before is replaced as a whole."""
+    for name, df in tables.items():
+        column = f"{PART}{buckets}"
+        _dealt(df, buckets).hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(column).parquet(f"{path}/{name}")
+
+
+def replace_books(tables: dict[str, DataFrame], books: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replaces the rows of some books (doc_id) in each table below a path, or adds them; a book without rows in a table
+    has none afterwards. A table that isn't there yet is written.
+
+    Only the folders that these books are dealt into are read and written again, each staged and moved when the job is done
+    (Spark's dynamic overwrite of partitions), so that a job that is tried again does the same. What the driver gets is the
+    folders' numbers. Tables stay dealt into as many folders as they were written with.
+    """
+    spark = books.sparkSession
     for name, df in tables.items():
-        out = df.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-        out.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+        at = f"{path}/{name}"
+        if not _exists(spark, at):
+            write_book_tables({name: df}, path, buckets)
+            continue
+        there = spark.read.parquet(at)
+        column, n = _part(there)
+        keys = _dealt(books.select("doc_id").distinct(), n)
+        touched = sorted(r[0] for r in keys.select(column).distinct().collect())
+        old = there.where(F.col(column).isin(touched)).join(keys.select("doc_id").hint("merge"), "doc_id", "left_anti")
+        new = _dealt(df, n)
+        rows = old.select(new.columns).unionByName(new)
+        full = {r[0] for r in rows.select(column).distinct().collect()}
+        rows.hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(at)
+        for empty in set(touched) - full:  # no row is left to be written in its place
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{column}={empty}")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def read_books(spark: SparkSession, path: str, name: str, ids: list[int] | None = None, schema: str | None = None) -> DataFrame:
+    """A table of books, or its rows for some books, for which only their folders are read. schema: of the table, for one
+    that may have no rows at all."""
+    if schema and not _exists(spark, f"{path}/{name}"):
+        return spark.createDataFrame([], schema)
+    df = spark.read.parquet(f"{path}/{name}")
+    column, n = _part(df)
+    if ids is not None:
+        # Hashes of literals, which the optimizer folds before it lists folders.
+        folders = [F.pmod(F.xxhash64(F.lit(i).cast("long")), F.lit(n)).cast("int") for i in ids]
+        df = df.where(F.col(column).isin(*folders) & F.col("doc_id").isin(ids)) if ids else df.where(F.lit(False))
+    return df.drop(column)

@@ -8,7 +8,6 @@ from foliolake.operators import stats as A
 from foliolake.operators import textstruct as T
 from foliolake.operators import trees as H
 from foliolake.sources import files as S
-from foliolake.streaming import ingest
 from pyspark.sql import functions as F
 
 SPAN = "doc_id long, page_no int, stream_id int, seq int, x double, y double, fs double, mono boolean, text string"
@@ -276,19 +275,6 @@ def test_sources(spark, tmp_path):
     entries = spark.createDataFrame([("z", n) for n in ("p10.png", "P2.jpg", "p1.gif", "x.txt")] + [("y", "a.txt")], "archive_id string, entry_name string")
     assert [r["entry_name"] for r in S.archive_pages(entries).orderBy("page_no").collect()] == ["p1.gif", "P2.jpg", "p10.png"]
     assert [r["archive_id"] for r in S.empty_archives(entries).collect()] == ["y"]
-    S.write_book_tables({"files": files.select("doc_id", "ext")}, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "files")).count() == 3
-
-
-def test_stream(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "a.txt").write_text("one")
-    for text in ("one", "two"):
-        (src / f"{text}.txt").write_text(text)
-        ingest.ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), "*.txt").awaitTermination()
-    got = ingest.latest(spark, str(tmp_path / "out")).select(F.decode("content", "UTF-8").alias("t")).collect()
-    assert sorted(r["t"] for r in got) == ["one", "one", "two"]
 
 
 def test_stats(spark):
