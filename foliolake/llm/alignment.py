@@ -19,7 +19,6 @@ import functools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -125,9 +124,9 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
     return Vocabularies(a, b, names, parts, *(np.array([len(t) for t in x]) for x in (a, b)), *marked, linkable(a, b))
 
 
-def align_windows(keys: list[bytes], v: Vocabularies) -> list[tuple[str, bytes] | None]:
+def align_windows(keys: list[bytes], v: Vocabularies) -> list[tuple[str, bytes] | bool]:
     """For each window's tuple of ids (A's, -1, B's, as 32-bit integers) its groups of ids between the bytes where a token of A
-    and one of B end, as text, and the places of the pairs of ids that end there; None if A's and B's bytes differ. The
+    and one of B end, as text, and the places of the pairs of ids that end there; False if A's and B's bytes differ. The
     windows are aligned together: their tokens are laid end to end, and as no token is empty, one token of each ends at a
     byte where both do."""
     both = np.frombuffer(b"".join(keys), np.int32)
@@ -138,7 +137,7 @@ def align_windows(keys: list[bytes], v: Vocabularies) -> list[tuple[str, bytes]
     bytes_a, bytes_b = ([t[i] for i in ids.tolist()] for t, ids in ((v.a, ids_a), (v.b, ids_b)))
     bound_a, bound_b = ([0, *np.cumsum(n).tolist()] for n in (n_a, length - n_a - 1))
     if b"".join(bytes_a) != b"".join(bytes_b) or len(keys) > 1 and not np.array_equal(*(np.concatenate([[0], np.cumsum(size[ids])])[b] for size, ids, b in ((v.size_a, ids_a, bound_a), (v.size_b, ids_b, bound_b)))):
-        return [None] if len(keys) == 1 else [x for k in keys for x in align_windows([k], v)]
+        return [False] if len(keys) == 1 else [x for k in keys for x in align_windows([k], v)]
     end_a, end_b = np.cumsum(v.size_a[ids_a]), np.cumsum(v.size_b[ids_b])
     ends = np.zeros(end_a[-1] + 1, np.uint8)
     ends[end_a] = 1
@@ -165,21 +164,17 @@ class WindowMemo:
     def __init__(self, v: Vocabularies, size: int = MEMO):
         self.v, self.size, self.young, self.old = v, size, {}, {}
 
-    def look_up(self, keys: list[bytes]) -> list[tuple[str, bytes] | None]:
-        """The alignment of every window; those that aren't known are aligned together."""
-        young, found = self.young, list(map(self.young.get, keys, repeat(0)))
-        unknown: dict[bytes, list[int]] = {}
-        for i, f in enumerate(found):
-            if f == 0:
-                unknown.setdefault(keys[i], []).append(i)
-        new = [k for k in unknown if k not in self.old]
-        made = dict(zip(new, align_windows(new, self.v) if new else [], strict=True))
-        for key, places in unknown.items():
-            value = made[key] if key in made else self.old[key]
-            for i in places:
-                found[i] = value
-            if len(key) <= LONGEST:
-                young[key] = value
+    def look_up(self, keys: list[bytes]) -> list[tuple[str, bytes] | bool]:
+        """The alignment of every window, False for none; those that aren't known are aligned together."""
+        young, found = self.young, list(map(self.young.get, keys))
+        unknown = [i for i, f in enumerate(found) if f is None]
+        made = dict.fromkeys(keys[i] for i in unknown)
+        made.update((k, self.old[k]) for k in made.keys() & self.old.keys())
+        new = [k for k, value in made.items() if value is None]
+        made.update(zip(new, align_windows(new, self.v) if new else [], strict=True))
+        for i in unknown:
+            found[i] = made[keys[i]]
+        young.update((k, value) for k, value in made.items() if len(k) <= LONGEST)
         if len(young) >= self.size:
             self.old, self.young = young, {}
         return found
@@ -191,49 +186,56 @@ def _memo(path_a: str, path_b: str) -> WindowMemo:
     return WindowMemo(vocabularies(path_a, path_b))
 
 
-def windows(data: bytes, a: bytes, b: bytes, v: Vocabularies) -> list[bytes] | None:
-    """The windows of a text as tuples of ids: A's, -1, B's; None if A's tokens don't join to the data or B's are of another
-    length. a, b: ids as little-endian 32-bit integers."""
-    ids_a, ids_b = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
-    size_a, size_b = v.size_a[ids_a], v.size_b[ids_b]
-    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    if not len(a) or not len(b) or end_b[-1] != len(data) or b"".join(map(v.a.__getitem__, ids_a.tolist())) != data:
-        return None
-    at_a, at_b = np.flatnonzero(v.space_a[ids_a]), np.flatnonzero(v.space_b[ids_b])
-    start_a, start_b = (end_a - size_a)[at_a], (end_b - size_b)[at_b]
-    begins = np.zeros(len(data), np.uint8)
-    begins[start_a] = 1
-    begins[start_b] += 1
-    cut_a, cut_b = at_a[begins[start_a] == 2], at_b[begins[start_b] == 2]
-    first = [] if len(cut_a) and cut_a[0] == 0 else [0]
-    i, k = (np.concatenate([first, c, [len(ids)]]).astype(np.int64) for c, ids in ((cut_a, ids_a), (cut_b, ids_b)))
+def windows(a: list[bytes], b: list[bytes], lengths: list[int], v: Vocabularies) -> tuple[list[bytes], list[int]]:
+    """The windows of some texts as tuples of ids (A's, -1, B's), one text after another, and how many each text has. a, b:
+    ids as little-endian 32-bit integers. A text whose tokens of A or B don't have its length in bytes has no windows: both
+    tokenizers only leave bytes out or, in B's case, replace them, which shows where windows are aligned."""
+    n_a, n_b = (np.array([len(x) // 4 for x in side]) for side in (a, b))
+    ids_a, ids_b = (np.frombuffer(b"".join(side), "<i4") for side in (a, b))
+    ends = [np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])] for ids, n, size in ((ids_a, n_a, v.size_a), (ids_b, n_b, v.size_b))]
+    whole = (n_a > 0) & (n_b > 0) & (np.diff(ends[0]) == lengths) & (np.diff(ends[1]) == lengths)
+    if not whole.all():
+        good = np.flatnonzero(whole).tolist()
+        keys, found = windows(*([side[i] for i in good] for side in (a, b, lengths)), v) if good else ([], [])
+        counts = [0] * len(a)
+        for i, n in zip(good, found, strict=True):
+            counts[i] = n
+        return keys, counts
+    begins = np.zeros(ends[0][-1] + 1, np.uint8)
+    marked = []
+    for ids, n, size, space in ((ids_a, n_a, v.size_a, v.space_a), (ids_b, n_b, v.size_b, v.space_b)):
+        mark = space[ids]
+        mark[np.cumsum(n) - n] = True  # a text begins a window
+        at, sizes = np.flatnonzero(mark), size[ids]
+        start = (np.cumsum(sizes) - sizes)[at]
+        begins[start] += 1
+        marked.append((at, start))
+    # Where tokens of both begin, those before them end together.
+    i, k = (np.concatenate([at[begins[start] == 2], [len(ids)]]) for (at, start), ids in zip(marked, (ids_a, ids_b), strict=True))
     n = np.arange(len(i))
     both = np.full(len(ids_a) + len(ids_b) + len(i) - 1, -1, np.int32)
     both[np.arange(len(ids_a)) + np.repeat((k + n)[:-1], np.diff(i))] = ids_a
     both[np.arange(len(ids_b)) + np.repeat((i + n)[1:], np.diff(k))] = ids_b
     bounds, keys = (4 * (i + k + n)).tolist(), both.tobytes()
-    return [keys[p:q] for p, q in zip(bounds, bounds[1:], strict=False)]
+    counts = np.diff(np.searchsorted(i, np.concatenate([[0], np.cumsum(n_a)])))
+    return [keys[p:q] for p, q in zip(bounds, bounds[1:], strict=False)], counts.tolist()
 
 
 def align_texts(texts: list[str], a_of: Callable[[str], bytes], b_of: Callable[[str], bytes], v: Vocabularies, memo: WindowMemo) -> list[tuple[int, int, str, np.ndarray] | None]:
     """For each text the numbers of A's and B's tokens, the groups as text, and the places of all links in the table of
     pairs; None where there are no tokens."""
-    keys: list[bytes] = []
-    held = []
-    for text in texts:
-        led = " " + text
-        a, b = (a_of(led), b_of(text)) if text else (b"", b"")
-        own = windows(led.encode(), a, b, v)
-        held.append((len(a) // 4, len(b) // 4, len(keys), 0 if own is None else len(own)))
-        keys += own or []
-    found, out = memo.look_up(keys), []
-    for n_a, n_b, at, n in held:
+    led = [" " + t if t else "" for t in texts]
+    a, b = list(map(a_of, led)), list(map(b_of, texts))
+    keys, counts = windows(a, b, [len(t.encode()) for t in led], v)
+    found, out, at = memo.look_up(keys), [], 0
+    for x, y, n in zip(a, b, counts, strict=True):
         own = found[at : at + n]
-        if not n or None in own:
+        at += n
+        if not n or False in own:
             out.append(None)
             continue
         groups, links = zip(*own, strict=True)
-        out.append((n_a, n_b, ";".join(groups), np.frombuffer(b"".join(links), "<i4")))
+        out.append((len(x) // 4, len(y) // 4, ";".join(groups), np.frombuffer(b"".join(links), "<i4")))
     return out
 
 

@@ -101,4 +101,4 @@ def test_windows_with_other_bytes():
     ids = lambda *t: alignment.packed(list(t))
     good = ids(v.a.index(b" the")) + between + ids(v.b.index(b" the"))
     bad = ids(v.a.index(b" the")) + between + ids(v.b.index(b" a"))
-    assert [x is None for x in alignment.align_windows([good, bad, good], v)] == [False, True, False]
+    assert [x is False for x in alignment.align_windows([good, bad, good], v)] == [False, True, False]
