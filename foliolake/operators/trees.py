@@ -270,7 +270,7 @@ def dest_to_page(dests: DataFrame, pages: DataFrame) -> DataFrame:
     document; null for other actions than going to a page. pages: doc_id, num, page_no."""
     refs = pages.select("doc_id", F.col("num").alias("page_ref"), F.col("page_no").alias("by_ref"))
     n = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
-    out = dests.join(refs, ["doc_id", "page_ref"], "left").join(n, "doc_id", "left")
+    out = dests.join(refs.hint("merge"), ["doc_id", "page_ref"], "left").join(n.hint("merge"), "doc_id", "left")
     number = F.when(F.col("n_pages") > 0, F.greatest(F.lit(0), F.least(F.col("page_num"), F.col("n_pages") - 1)))
     page = F.when(F.col("action").isNull() | (F.col("action") == "GoTo"), F.when(F.col("page_ref").isNotNull(), F.col("by_ref")).when(F.col("page_num").isNotNull(), number))
     return out.withColumn("page_no", page.cast("int")).drop("by_ref", "n_pages")
@@ -327,6 +327,6 @@ def route_fallback(files: DataFrame, engine: DataFrame, fallback: DataFrame) ->
     e = engine.select("doc_id", F.col("result").alias("_e"), F.col("error").alias("_err"))
     f = fallback.select("doc_id", F.col("result").alias("_f"))
     allowed = (F.col("route") != "comic") | F.col("ext").isin("cbz", "cbt")
-    out = files.join(e, "doc_id", "left").join(f, "doc_id", "left").withColumn("_f", F.when(allowed, F.col("_f")))
+    out = files.join(e.hint("merge"), "doc_id", "left").join(f.hint("merge"), "doc_id", "left").withColumn("_f", F.when(allowed, F.col("_f")))
     status = F.when(F.col("_e").isNotNull(), "engine").when(F.col("_f").isNotNull(), "fallback").otherwise("failed")
     return out.select("doc_id", "route", F.coalesce("_e", "_f").alias("result"), status.alias("status"), F.when(F.col("_e").isNull(), F.coalesce("_err", F.lit("no result"))).alias("reason"))

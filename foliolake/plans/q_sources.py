@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliolake.operators.trees import route_fallback
 from foliolake.plans import views as V
 from foliolake.plans.registry import query, table
 from foliolake.sources import files as S
@@ -123,3 +124,38 @@ def s6_replace_books(spark: SparkSession, sf: str) -> DataFrame:
     S.replace_books({"lines": third.where("doc_id % 9 <> 0 AND line_no % 2 = 0").withColumn("line", F.concat(F.lit("> "), "line"))}, third.select("doc_id"), path)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
     return S.read_books(spark, path, "lines").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(joined).alias("digest"))
+
+
+@query(
+    f"""WITH {TRAILERS}, f AS (SELECT doc_id, doc_id % 50 AS batch, CASE WHEN strlen(text) < 8 THEN 'too short' WHEN doc_id % 5 = 0 THEN 'no PDF mark' WHEN doc_id IN (SELECT doc_id FROM trailers_v WHERE key = 'Encrypt') THEN 'encrypted' END AS reason, strlen(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS batch, reason, CAST(n + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 9 END AS BIGINT) AS n_bytes FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN reason = 'too short' THEN NULL ELSE reason END ELSE reason END AS reason) FROM f)"""
+)
+def s4_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files in two imports; those without a PDF's mark and those with an encrypted trailer are refused. Both
+    tables are read back."""
+    path = f"{shared_dir(spark)}/quarantine-{uuid.uuid4().hex}"
+    made = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("%PDF-1.7 "), "text"))
+    files = table(spark, sf, "documents").select("doc_id", F.encode(made, "UTF-8").alias("content"))
+    for batch in (1, 2):
+        rows = S.encrypted_reason(S.validate_header(files.where(F.col("doc_id") % 2 == batch - 1)), trailers(spark, sf))
+        S.quarantine(rows.drop("ok"), path, batch)
+    schema = "doc_id long, content binary, reason string, batch int"
+    both = [S.quarantined(spark, path, status, schema) for status in (S.ACCEPTED, S.REFUSED)]
+    return both[0].unionByName(both[1]).select("doc_id", "batch", "reason", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query(
+    f"""WITH {V.FILES}, x AS (SELECT doc_id, lower(regexp_extract(path, '[^.]*$')) AS ext FROM files_v),
+o AS (SELECT doc_id, CASE WHEN ext IN ('cbz', 'cbt', 'cbr', 'cb7') THEN 'comic' WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('zip', 'jpg') THEN 'fallback' ELSE 'text' END AS route, ext FROM x)
+SELECT doc_id, route, CASE WHEN doc_id % 5 <> 0 THEN 'e' || doc_id WHEN doc_id % 3 = 0 AND (route <> 'comic' OR ext IN ('cbz', 'cbt')) THEN 'f' || doc_id END AS result,
+CASE WHEN doc_id % 5 = 0 AND NOT (doc_id % 3 = 0 AND (route <> 'comic' OR ext IN ('cbz', 'cbt'))) THEN 'bad ' || doc_id END AS reason FROM o"""
+)
+def m5_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """What neither the engine nor the fallback could read is refused with the engine's error; both tables are read back."""
+    path = f"{shared_dir(spark)}/quarantine-{uuid.uuid4().hex}"
+    routed = S.route_format(V.files(spark, sf)).withColumn("ext", S.extension(F.col("path")))
+    engine = V.files(spark, sf).selectExpr("doc_id", "IF(doc_id % 5 <> 0, concat('e', doc_id), NULL) result", "IF(doc_id % 5 = 0, concat('bad ', doc_id), NULL) error")
+    tried = route_fallback(routed, engine, V.files(spark, sf).where("doc_id % 3 = 0").selectExpr("doc_id", "concat('f', doc_id) result"))
+    S.quarantine(tried.select("doc_id", "route", "result", F.when(F.col("status") == "failed", F.col("reason")).alias("reason")), path, 1)
+    both = [S.quarantined(spark, path, status, "doc_id long, route string, result string, reason string, batch int") for status in (S.ACCEPTED, S.REFUSED)]
+    return both[0].unionByName(both[1]).drop("batch")

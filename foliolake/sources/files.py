@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Formats by extension, and what reads them.
@@ -46,10 +46,41 @@ def validate_header(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
+def encrypted_reason(files: DataFrame, trailers: DataFrame) -> DataFrame:
+    """Adds reason ``encrypted`` to files whose merged trailer has the key ``Encrypt``, unless they have a reason already."""
+    locked = trailers.where(F.col("key") == "Encrypt").select("doc_id").distinct().withColumn("_locked", F.lit(True))
+    given = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
+    return files.join(locked.hint("merge"), "doc_id", "left").withColumn("reason", F.coalesce(given, F.when(F.col("_locked"), "encrypted"))).drop("_locked")
+
+
 def reject_encrypted(files: DataFrame, trailers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files whose merged trailer has no key ``Encrypt``, and the others with a reason."""
-    locked = trailers.where(F.col("key") == "Encrypt").select("doc_id").distinct()
-    return files.join(locked, "doc_id", "left_anti"), files.join(locked, "doc_id", "left_semi").withColumn("reason", F.lit("encrypted"))
+    out = encrypted_reason(files, trailers)
+    return out.where("reason IS NULL").select(files.columns), out.where("reason IS NOT NULL")
+
+
+#: Where rows with and without a reason lie in a table that quarantine() writes.
+ACCEPTED, REFUSED = "accepted", "refused"
+
+
+def quarantine(rows: DataFrame, path: str, batch: int) -> dict[str, int]:
+    """Writes rows (with their columns, reason among them) below a path in one pass: those without a reason as accepted,
+    the others as refused, with their reason. Returns how many each are, as observed while they were written.
+
+    A batch of an import has a folder of its own in both, so that one that is tried again replaces what it wrote, and
+    other batches stay: the refused ones add up to a quarantine table.
+    """
+    seen = Observation()
+    status = F.when(F.col("reason").isNull(), ACCEPTED).otherwise(REFUSED)
+    marked = rows.withColumns({"status": status, "batch": F.lit(batch)}).observe(seen, F.count_if(F.col("reason").isNull()).alias(ACCEPTED), F.count_if(F.col("reason").isNotNull()).alias(REFUSED))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status", "batch").parquet(path)
+    return {ACCEPTED: 0, REFUSED: 0} | seen.get
+
+
+def quarantined(spark: SparkSession, path: str, status: str, schema: str) -> DataFrame:
+    """The accepted or the refused rows of all batches, with their batch; the other ones are not read. schema: of the rows
+    and their batch."""
+    return spark.read.schema(f"{schema}, status string").parquet(path).where(F.col("status") == status).drop("status")
 
 
 def natural_key(name: Column) -> Column:
@@ -82,7 +113,7 @@ def import_summary(chapters: DataFrame, scanned: DataFrame) -> DataFrame:
     """One line a document on its import. chapters: doc_id, chap_no, pages, by_outline; scanned: doc_id, scanned."""
     per = chapters.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pages").alias("p"), F.bool_or("by_outline").alias("o"))
     line = F.concat_ws(" · ", F.concat(F.col("p").cast("string"), F.lit(" pages")), F.when(F.col("o"), F.concat(F.col("n").cast("string"), F.lit(" chapters by outline"))).otherwise("sections of 20 pages"), F.when(F.col("scanned"), "scanned"))
-    return per.join(scanned, "doc_id", "left").select("doc_id", line.alias("summary"))
+    return per.join(scanned.hint("merge"), "doc_id", "left").select("doc_id", line.alias("summary"))
 
 
 #: Folders that a table of books is dealt into; the column's name says how many there are.
