@@ -77,13 +77,21 @@ def _sections(rows: DataFrame, order_col: str, is_heading: Column, by: list[str]
     return rows.withColumn("is_heading", is_heading).withColumn("chap_no", F.sum(F.col("is_heading").cast("int")).over(order).cast("int"))
 
 
-def split_text_chapters(lines: DataFrame) -> DataFrame:
-    """Chapters of plain text: doc_id, chap_no, title, first_line, n_lines, n_chars. A numbered chapter line starts one;
-    what comes before the first, if it isn't blank, is chapter 0; numbered list lines are no headings."""
-    rows = _sections(lines, "line_no", F.col("line").rlike(CHAPTER_HEADING))
-    out = rows.groupBy("doc_id", "chap_no").agg(
-        F.max(F.when(F.col("is_heading"), F.trim("line"))).alias("title"), F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.bool_or(F.trim("line") != "").alias("filled")
-    )
+def split_text_chapters(docs: DataFrame) -> DataFrame:
+    """Chapters of plain text: doc_id, chap_no, title, first_line, n_lines, n_chars. docs: doc_id, lines array<string>. A
+    numbered chapter line starts one; what comes before the first, if it isn't blank, is chapter 0; numbered list lines are
+    no headings. A chapter is a slice of its document's lines, so nothing is shuffled."""
+    begins = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(CHAPTER_HEADING), i)), lambda i: i.isNotNull())
+    rows = docs.select("doc_id", "lines", F.concat(F.array(F.lit(0)), begins).alias("b"))  # chapter 0 begins with the text
+
+    def chapter(at: Column, k: Column) -> Column:
+        own = F.slice("lines", at + 1, F.coalesce(F.get("b", k + 1), F.size("lines")) - at)
+        return F.struct(
+            k.cast("int").alias("chap_no"), F.when(k > 0, F.trim(F.get("lines", at))).alias("title"), at.alias("first_line"), F.size(own).cast("long").alias("n_lines"),
+            F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("n_chars"), F.exists(own, lambda x: F.trim(x) != "").alias("filled"),
+        )
+
+    out = rows.select("doc_id", F.inline(F.transform("b", chapter)))
     return out.where("chap_no > 0 OR filled").select("doc_id", "chap_no", F.left(F.coalesce("title", F.lit("正文")), F.lit(40)).alias("title"), "first_line", "n_lines", "n_chars")
 
 
@@ -103,13 +111,22 @@ def split_html_chapters(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "chap_no", normalize_title(F.col("title"), F.lit("正文")).alias("title"), "n_blocks", "n_chars")
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's values up to each place, itself included, by doubling the stretch that is added up: a number of
+    passes that is the logarithm of the length, without a shuffle."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+    steps = F.when(rounds > 0, F.transform(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, values.cast("array<long>"), lambda s, k: F.transform(s, lambda v, i: v + F.coalesce(F.get(s, i - k), F.lit(0).cast("long"))))
+
+
 def chunk_headingless(docs: DataFrame, most: int = PARAGRAPH, section: int = SECTION_CHARS) -> DataFrame:
     """Paragraphs of texts without headings: doc_id, para_no, chap_no, text. Sentences longer than ``most`` characters are
-    cut; a new section starts after so many characters."""
+    cut; a new section starts after so many characters. Characters are added up within the row."""
     cut = F.flatten(F.transform(sentences(F.coalesce("text", F.lit(""))), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda k: F.substring(s, k * most + 1, F.lit(most)))))
-    rows = docs.select("doc_id", F.posexplode(cut).alias("para_no", "text"))
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("para_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("chap_no", (F.floor(before / section) + 1).cast("int")).select("doc_id", "para_no", "chap_no", "text")
+    rows = docs.select("doc_id", cut.alias("p"))
+    rows = rows.withColumn("until", running_sums(F.transform("p", lambda t: F.length(t))))
+    paragraph = F.transform("p", lambda t, i: F.struct((F.floor((F.get("until", i) - F.length(t)) / section) + 1).cast("int").alias("chap_no"), t.alias("text")))
+    return rows.select("doc_id", F.posexplode(paragraph).alias("para_no", "r")).select("doc_id", "para_no", "r.chap_no", "r.text")
 
 
 def chapter_of(pages: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ SELECT doc_id, chap_no, left(coalesce(title, '正文'), 40) AS title, first_line
 )
 def c7_split_text_chapters(spark: SparkSession, sf: str) -> DataFrame:
     """Chapters of documents whose every tenth line is made a heading."""
-    line = F.when(F.col("line_no") % 10 == 3, F.concat(F.lit("第"), F.expr("CAST(line_no DIV 10 + 1 AS STRING)"), F.lit("章 "), "line")).otherwise(F.col("line"))
-    return C.split_text_chapters(V.text_lines(spark, sf).withColumn("line", line))
+    line = lambda x, i: F.when(i % 10 == 3, F.concat(F.lit("第"), F.floor(i / 10 + 1).cast("string"), F.lit("章 "), x)).otherwise(x)
+    return C.split_text_chapters(table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines")))
 
 
 @query(

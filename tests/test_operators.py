@@ -213,8 +213,8 @@ def test_levels_and_downsampling(spark):
 
 def test_text_chapters(spark):
     def split(text):
-        lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "doc_id long, line_no int, line string")
-        return [r["title"] for r in C.split_text_chapters(lines).orderBy("chap_no").collect()]
+        docs = spark.createDataFrame([(1, text.split("\n"))], "doc_id long, lines array<string>")
+        return [r["title"] for r in C.split_text_chapters(docs).orderBy("chap_no").collect()]
 
     assert split("第一章 起点\nx\n第二章 中途\ny\n第三章 终点\nz") == ["第一章 起点", "第二章 中途", "第三章 终点"]
     assert split("1. 第一步\n2. 第二步") == ["正文"]
@@ -283,3 +283,23 @@ def test_stats(spark):
     assert [r["img_seq"] for r in A.largest_image(images, pages).orderBy("page_no").collect()] == [1, 3, None, None]
     assert A.distinct_notes(images).first()["notes"] == ["n2"]
     assert A.image_summary(images).first()["usable"] == 2
+
+
+def test_text_in_rows(spark):
+    """Keywords, paragraphs and running sums within a row, of empty, null and long texts; nothing is shuffled."""
+    docs = spark.createDataFrame([(1, "b b aaaa bbbb aaaa cccc " * 3), (2, ""), (3, None), (4, "x"), (5, "。".join("ab" * k for k in range(1, 60)))], "doc_id long, text string")
+    words = A.keywords(docs, 2)
+    assert [tuple(r) for r in words.where("doc_id < 5").orderBy("rank").collect()] == [(1, 1, "aaaa", 6), (1, 2, "bbbb", 3)]
+    paras = C.chunk_headingless(docs, 100, 300)
+    for made in (words, paras):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    own = paras.where("doc_id = 5").orderBy("para_no").collect()
+    before = 0
+    for r in own:
+        assert r.chap_no == before // 300 + 1 and len(r.text) <= 100
+        before += len(r.text)
+    assert before == sum(2 * k for k in range(1, 60)) + 58 and [r.para_no for r in own] == list(range(len(own)))
+    for n in (0, 1, 2, 3, 7, 8, 9, 100):
+        values = list(range(n))
+        got = spark.createDataFrame([(values,)], "v array<int>").select(C.running_sums(F.col("v")).alias("s")).first()["s"]
+        assert got == [sum(values[: k + 1]) for k in range(n)]
