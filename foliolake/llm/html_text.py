@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ BROADCAST_TOKENS = 2_000_000
 
 #: Fixed values of HTML: elements without content, those whose content isn't markup, and those that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|title|select|xmp"
+RAW = "script|style|template|textarea|iframe|title|select|xmp"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -61,10 +62,13 @@ CHROME_NAME = re.compile(
 )
 #: Around articles that are not the page's own.
 _OTHERS = re.compile("comment|repl|respond|discuss|related|recommend")
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
+#: Comments, elements whose content isn't markup, and tags without an angle bracket inside. No part of it scans beyond the
+#: next bracket, or scans twice what it skips.
+_SIMPLE = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^<>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^<>\"]*+\"|'[^<>']*+')*+)>|<[!?/][^<>]*+>",
     re.S | re.I,
 )
+_RAW_START, _NAME = re.compile(rf"<({RAW})(?=[\s/>])", re.I), re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
@@ -103,13 +107,84 @@ class Block:
     links: int
 
 
+class _Ends:
+    """Ends of tags with brackets or lone quotes inside. Places of quotes and closing brackets are listed once a page, and
+    from what place on there is no end is remembered, so that all tags together take time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page, self.marks = page, [(m.start(), m[0]) for m in re.finditer("[\"'>]", page)]
+        self.places = [at for at, _ in self.marks]
+        self.closing = [0] * len(self.marks)  # of each mark, the next one of its kind
+        last: dict[str, int] = {}
+        for k in range(len(self.marks) - 1, -1, -1):
+            self.closing[k] = last.get(self.marks[k][1], len(self.marks))
+            last[self.marks[k][1]] = k
+        self.open_ended: set[int] = set()
+
+    def bracket(self, at: int) -> int:
+        """The next closing bracket; -1 for none."""
+        k = bisect_left(self.places, at)
+        k = k if k < len(self.marks) and self.marks[k][1] == ">" else self._next_bracket(k)
+        return self.places[k] if k < len(self.marks) else -1
+
+    def _next_bracket(self, k: int) -> int:
+        at = self.page.find(">", self.places[k]) if k < len(self.marks) else -1
+        return bisect_left(self.places, at) if at >= 0 else len(self.marks)
+
+    def tag(self, at: int) -> int:
+        """The closing bracket of a tag outside its quotes; -1 if there is none, as a quote isn't closed."""
+        k, passed = bisect_left(self.places, at), []
+        while k < len(self.marks) and self.marks[k][1] != ">" and k not in self.open_ended:
+            passed.append(k)
+            k = self.closing[k] + 1
+        if k < len(self.marks) and self.marks[k][1] == ">":
+            return self.places[k]
+        self.open_ended.update(passed)
+        return -1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str | None, str | None, str | None, str | None]]:
+    """Begin and end of every tag, comment and element of raw content, its raw element's name, or the tag's slash, name and
+    attributes. A tag whose quotes aren't closed ends at the next bracket and has no name; without one it is text."""
+    done = 0
+    for m in _SIMPLE.finditer(page):
+        if page.find("<", done, m.start()) >= 0:
+            break
+        yield m.start(), m.end(), *m.groups()
+        done = m.end()
+    # Most pages have nothing else; from the first other bracket on each is looked at.
+    ends, at, last = None, page.find("<", done), page.rfind(">")
+    while at >= 0:
+        m = _SIMPLE.match(page, at)
+        if m:
+            yield at, m.end(), *m.groups()
+            at = page.find("<", m.end())
+            continue
+        found = None
+        if at < last:
+            ends = ends or _Ends(page)
+            if raw := _RAW_START.match(page, at):
+                begin = ends.bracket(raw.end()) + 1
+                close = re.compile(rf"</{raw[1]}\s*+>", re.I).search(page, begin)
+                found = at, close.end() if close else len(page), raw[1], None, None, None
+            elif name := _NAME.match(page, at):
+                end = ends.tag(name.end())
+                found = (at, end + 1, None, name[1], name[2], page[name.end() : end]) if end >= 0 else (at, ends.bracket(name.end()) + 1, None, None, None, None)
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                found = at, ends.bracket(at) + 1, None, None, None, None
+        if found:
+            yield found
+        at = page.find("<", found[1] if found else at + 1)
+
+
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements and blocks of text of a page, in order."""
     blocks: list[Block] = []
     elements: list[Element] = []
-    stack: list[tuple[str, int]] = []  # name, place in elements
+    stack: list[tuple[str, int, int]] = []  # name, place in elements, how many stand below it and the inline ones there
+    open_: Counter[str] = Counter()
     held: list[str] = []
-    link_chars = at = in_link = 0
+    link_chars = at = 0
 
     def flush() -> None:
         nonlocal link_chars
@@ -122,31 +197,30 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         link_chars = 0
 
     def close(k: int) -> None:
-        nonlocal in_link
-        in_link -= sum(s[0] == "a" for s in stack[k:])
+        open_.subtract(s[0] for s in stack[k:])
         del stack[k:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            part = page[at : m.start()]
+    for begin, end, raw, slash, tag, attributes in tags(page):
+        if begin > at:
+            part = page[at:begin]
             held.append(part)
-            link_chars += len(part) if in_link else 0
-        at = m.end()
-        name = (m[3] or "").lower()
+            link_chars += len(part) if open_["a"] else 0
+        at = end
+        name = (tag or "").lower()
         if not name:
-            if m[1] and m[1].lower() not in ("svg", "math"):
-                flush() if m[1].lower() == "title" else None
+            if raw and raw.lower() == "title":
+                flush()
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(s[0] in BLOCKS for s in stack[k:]):
-                        flush()
-                    close(k)
-                    break
-            else:
-                if name in BLOCKS:
+        if slash:
+            if open_[name]:  # else there is nothing to look for
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if any(s[0] in BLOCKS for s in stack[k:]):
                     flush()
+                close(k)
+            elif name in BLOCKS:
+                flush()
             continue
         if name in BLOCKS:
             flush()
@@ -154,19 +228,23 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             held.append(" ")
         ends = IMPLIED.get(name)
         if ends:  # the outermost one to end, through elements that don't stop it
-            k = len(stack)
-            last = k
-            while k and (stack[k - 1][0] in ends or stack[k - 1][0] in INLINE):
+            last = k = len(stack)
+            while k:
+                k = k if stack[k - 1][0] not in INLINE else stack[k - 1][2]
+                if not k or stack[k - 1][0] not in ends:
+                    break
                 k -= 1
-                last = k if stack[k][0] in ends else last
+                last = k
             close(last)
         up = stack[-1][1] if stack else -1
         path, depth = (elements[up].path, elements[up].depth + 1) if stack else (0, 0)
-        label = " ".join(x.strip("\"'").lower() for x in _NAMED.findall(m[4])) if m[4] else ""
-        elements.append(Element(_hash(path, name), name, label, bool(m[4] and _HIDDEN.search(m[4])), up, depth))
-        if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, len(elements) - 1))
-            in_link += name == "a"
+        label = " ".join(x.strip("\"'").lower() for x in _NAMED.findall(attributes)) if attributes else ""
+        elements.append(Element(_hash(path, name), name, label, bool(attributes and _HIDDEN.search(attributes)), up, depth))
+        if name not in VOID and not attributes.endswith("/"):
+            # Below a run of inline elements stands what an implied end has to look at next.
+            below = stack[-1][2] if stack and stack[-1][0] in INLINE else len(stack)
+            stack.append((name, len(elements) - 1, below))
+            open_[name] += 1
     if at < len(page):
         held.append(page[at:])
     flush()
