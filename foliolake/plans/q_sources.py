@@ -127,8 +127,8 @@ def s6_replace_books(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TRAILERS}, f AS (SELECT doc_id, doc_id % 50 AS batch, CASE WHEN strlen(text) < 8 THEN 'too short' WHEN doc_id % 5 = 0 THEN 'no PDF mark' WHEN doc_id IN (SELECT doc_id FROM trailers_v WHERE key = 'Encrypt') THEN 'encrypted' END AS reason, strlen(text) AS n FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS batch, reason, CAST(n + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 9 END AS BIGINT) AS n_bytes FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN reason = 'too short' THEN NULL ELSE reason END ELSE reason END AS reason) FROM f)"""
+    f"""WITH {TRAILERS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS batch, CAST(strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 9 END AS BIGINT) AS n_bytes,
+CASE WHEN doc_id % 5 = 0 THEN CASE WHEN strlen(text) < 8 THEN 'too short' ELSE 'no PDF mark' END WHEN doc_id IN (SELECT doc_id FROM trailers_v WHERE key = 'Encrypt') THEN 'encrypted' END AS reason FROM documents"""
 )
 def s4_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files in two imports; those without a PDF's mark and those with an encrypted trailer are refused. Both
