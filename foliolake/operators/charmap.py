@@ -101,7 +101,8 @@ def overlay_differences(base: DataFrame, diffs: DataFrame, names: dict[str, str]
     placed = placed.select("font_id", "seq", (F.col("start") + F.col("k") - 1).alias("code"), "glyph").where("code BETWEEN 0 AND 255")
     known = glyph_to_unicode(placed, "glyph", "uni", names).where("uni <> ''").groupBy("font_id", "code").agg(F.max_by("uni", "seq").alias("new"))
     codes = diffs.select("font_id").distinct().select("font_id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("code"))
-    full = codes.join(F.broadcast(base.where("code BETWEEN 0 AND 255").select(F.col("code").cast("int").alias("code"), "uni")), "code")  # 256 rows at most
+    # One row a code, so 256 at most, whatever the base holds.
+    full = codes.join(F.broadcast(base.where("code BETWEEN 0 AND 255").groupBy(F.col("code").cast("int").alias("code")).agg(F.max("uni").alias("uni"))), "code")
     return full.join(known.hint("merge"), ["font_id", "code"], "left").select("font_id", F.col("code").cast("long").alias("code"), F.coalesce("new", "uni").alias("uni"))
 
 

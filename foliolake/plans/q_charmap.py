@@ -80,6 +80,39 @@ def d3_decode_codes(spark: SparkSession, sf: str) -> DataFrame:
     return D.decode_codes(strings, fonts, none, encoding)
 
 
+#: Suppliers as fonts of four kinds: composite with a map of two-byte keys, composite with one-byte keys alone, composite
+#: with both, and a simple font with both.
+@query(
+    """WITH w AS (SELECT c_custkey AS id, s_suppkey % 4 AS kind, c_name AS name FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
+c AS (SELECT id, kind, unnest(string_split(name, '')) AS x, unnest(range(length(name))) AS i FROM w), a AS (SELECT *, ascii(x) AS a, x BETWEEN '0' AND '9' AS digit FROM c),
+m AS (SELECT id, kind, i, CASE kind WHEN 0 THEN CASE WHEN a % 2 = 0 THEN '<' || x || '>' WHEN digit THEN 'd' ELSE '' END WHEN 1 THEN CASE WHEN a % 2 = 0 THEN '[' || x || ']' WHEN digit THEN 'd' ELSE x END
+WHEN 2 THEN CASE WHEN a % 3 = 0 THEN 'T' || x WHEN a % 3 = 1 THEN 'O' || x WHEN digit THEN 'd' ELSE x END ELSE CASE WHEN a % 2 = 0 THEN 'o' ELSE 't' END END AS t FROM a)
+SELECT id, string_agg(t, '' ORDER BY i) || CASE WHEN any_value(kind) = 0 THEN 'EX' ELSE '' END AS text FROM m GROUP BY id"""
+)
+def d3_composite_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of customers as byte strings in composite and simple fonts, with two-byte codes, an odd last byte, codes that
+    only the other map or the encoding knows, and codes that nothing knows."""
+    n = table(spark, sf, "supplier").count()
+    fonts = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("font_id"), (F.col("s_suppkey") % 4).cast("int").alias("kind"))
+    keys = fonts.select("font_id", "kind", F.explode(F.sequence(F.lit(32), F.lit(126))).alias("a")).withColumn("x", F.char(F.col("a")))
+    even, third = F.col("a") % 2 == 0, F.col("a") % 3
+    entry = lambda width, code, uni: F.struct(F.lit(width).alias("code_len"), code.cast("long").alias("code"), uni.alias("uni"))
+    maps = (
+        F.when((F.col("kind") == 0) & even, entry(2, 256 + F.col("a"), F.concat(F.lit("<"), "x", F.lit(">")))).when((F.col("kind") == 0) & (F.col("a") == 33), entry(2, F.col("a"), F.lit("EX")))
+        .when((F.col("kind") == 1) & even, entry(1, F.col("a"), F.concat(F.lit("["), "x", F.lit("]"))))
+        .when((F.col("kind") == 2) & (third == 0), entry(2, F.col("a"), F.concat(F.lit("T"), "x"))).when((F.col("kind") == 2) & (third == 1), entry(1, F.col("a"), F.concat(F.lit("O"), "x")))
+        .when((F.col("kind") == 3) & even, entry(1, F.col("a"), F.lit("o"))).when(F.col("kind") == 3, entry(2, F.col("a"), F.lit("t")))
+    )
+    cmap = keys.select("font_id", maps.alias("m")).where("m IS NOT NULL").select("font_id", "m.*")
+    encoding = keys.where("x BETWEEN '0' AND '9'").select("font_id", F.col("a").cast("long").alias("code"), F.lit("d").alias("uni"))
+    font_id = (F.col("c_custkey") % n).alias("font_id")
+    pairs = lambda high: F.unhex(F.regexp_replace(F.hex(F.encode("c_name", "UTF-8")), "(..)", f"{high}$1"))
+    kind = F.col("c_custkey") % n % 4
+    raw = F.when(kind == 0, F.concat(pairs("01"), F.lit(bytearray(b"!")))).when(kind == 2, pairs("00")).otherwise(F.encode("c_name", "UTF-8"))
+    strings = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), font_id, raw.alias("raw"))
+    return D.decode_codes(strings, fonts.select("font_id", (F.col("kind") < 3).alias("composite")), cmap, encoding)
+
+
 CJK = "中文发票测试"
 CHARSETS = {"gbk": CJK, "big5": "中文", "shift_jis": "日本", "euc-jp": "日本", "euc-kr": "한국", "unicode": CJK}
 
