@@ -9,7 +9,7 @@ sense and needs no suffix of the corpus to be stored:
 2. Runs are counted. A run whose smallest hash comes once in the corpus holds no repeated window; runs equal to another
    in all bytes are repeated throughout. What is left, runs at the edges of repeated passages, is examined.
 3. The bytes of edge runs, and of one run of each equal group with the same smallest hash, are dealt by that hash, and
-   their windows are compared by a second hash within it, so that 128 bits decide. A smallest hash with very many
+   their windows are compared by a second hash within it, of which 63 bits tell them apart. A smallest hash with very many
    different runs isn't gathered: its windows become rows that are counted with partial aggregation.
 4. Each text marks the windows found. Only rows of counts and edges are shuffled for the search, and the texts twice, by
    their key, to meet what was found; equal runs are aggregated before any of these shuffles.
@@ -254,9 +254,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty; texts of fewer than 200 bytes lose nothing. Repeated rows are repeats of each other:
     both lose what they share. Keys may be null or repeated, as what is found is looked up by content. An empty table
-    gives an empty table. Only the two named columns are read. Windows count as equal by 128 bits of hashes of their bytes
-    (64 of the smallest string's and 64 of the whole's), not byte by byte: of n windows a wrong match has a chance of
-    about n * n / 2**129.
+    gives an empty table. Only the two named columns are read. Windows count as equal by a hash of their
+    bytes within those that share their smallest string's hash, not byte by byte. The first hash is then the same for equal
+    smallest strings, and the second one's lowest bit is the same for all windows, so 63 bits decide: of n different windows with one smallest
+    string a wrong match has a chance of about n * n / 2**64.
     """
     rows = stored(_run_rows(df, id_col, text_col), "runs")
     again = rows.groupBy("small").agg(F.sum("times").alias("times")).where("times >= 2").select("small")
