@@ -161,29 +161,100 @@ def all_image_src(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(ANY_IMAGE), F.lit(1))
 
 
-#: Inline marks, tried in this order at each place.
-INLINE = r"\\.|!\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)]*\)|`[^`]+`|\*\*\*.+?\*\*\*|\*\*.+?\*\*|\*[^*\s][^*]*?\*|(?<![A-Za-z0-9_])_[^_\s][^_]*?_(?![A-Za-z0-9_])|[^\\*_`!\[]+|(?s:.)"
+def running_sums(values: Column) -> Column:
+    """Sums of an array's values up to each place, itself included, by doubling the stretch that is added up: a number of
+    passes that is the logarithm of the length, without a shuffle."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+    steps = F.when(rounds > 0, F.transform(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, values.cast("array<long>"), lambda s, k: F.transform(s, lambda v, i: v + F.coalesce(F.get(s, i - k), F.lit(0).cast("long"))))
+
+
+#: Inline marks, tried in this order at each place: escapes, images, both ends of a link, code, delimiters, text.
+INLINE = r"\\.|!\[[^\]]*\]\([^)]*\)|\[(?=[^\[\]]*\]\([^)]*\))|\]\([^)]*\)|`[^`]+`|\*{1,3}|_|[^\\*_`!\[\]]+|(?s:.)"
+_PAIR = "struct<lo:int,hi:int,b:int,i:int,n:int>"
+
+
+def _inline_pairs(tokens: Column) -> Column:
+    """Which delimiters and ends of links belong together: lo, hi, b, i and how many characters of both they take. A fold with
+    a stack of open delimiters: one that closes takes the nearest open one that has its mark, and what opened since then is
+    text. Three asterisks are both marks, and may be closed or opened one after the other. tokens: array of kind, n,
+    opens, closes."""
+    opener = "struct<at:int,n:int,u:boolean>"
+    start = F.struct(F.array().cast(f"array<{opener}>").alias("stack"), F.array().cast(f"array<{_PAIR}>").alias("pairs"), F.lit(-1).alias("link"), F.lit(0).alias("at"))
+
+    def pair(lo: Column, hi: Column, n: Column) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"), (n >= 2).cast("int").alias("b"), (n % 2).cast("int").alias("i"), n.alias("n"))
+
+    def step(s: Column, m: Column) -> Column:
+        stack, at, n, under = s["stack"], s["at"], m["n"], m["kind"] == "under"
+        mark = m["kind"].isin("star", "under")
+        size, top, second = F.size(stack), F.element_at(stack, -1), F.get(stack, F.size(stack) - 2)
+        nearest = lambda fits: F.array_max(F.transform(stack, lambda o, k: F.when((o["u"] == under) & (at - o["at"] > 1) & fits(o), k)))
+        hit = F.coalesce(nearest(lambda o: (o["n"] == n) | (o["n"] == 3)), nearest(lambda o: n == 3))
+        both = F.coalesce((n == 3) & (size > 1) & (at - top["at"] > 1) & ~top["u"] & ~second["u"] & (top["n"] + second["n"] == 3), F.lit(False)) & ~under
+        one = F.get(stack, hit)
+        closes = mark & m["closes"] & (both | hit.isNotNull())
+        rest = F.when(one["n"] <= n, F.array().cast(f"array<{opener}>")).otherwise(F.array(F.struct(one["at"].alias("at"), (3 - n).alias("n"), one["u"].alias("u"))))
+        left = F.when(both, F.slice(stack, 1, F.greatest(size - 2, F.lit(0)))).otherwise(F.concat(F.slice(stack, 1, F.coalesce(hit, F.lit(0))), rest))
+        link = (m["kind"] == "end") & (s["link"] >= 0)
+        new = (
+            F.when(closes & both, F.array(pair(second["at"], at, second["n"]), pair(top["at"], at, top["n"]))).when(closes, F.array(pair(one["at"], at, F.least(n, one["n"]))))
+            .when(link, F.array(F.struct(s["link"].alias("lo"), at.alias("hi"), F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(1).alias("n")))).otherwise(F.array().cast(f"array<{_PAIR}>"))
+        )
+        pushed = F.array_append(stack, F.struct(at.alias("at"), n.alias("n"), under.alias("u")))
+        return F.struct(
+            F.when(closes, left).when(mark & m["opens"], pushed).otherwise(stack).alias("stack"), F.concat(s["pairs"], new.cast(f"array<{_PAIR}>")).alias("pairs"),
+            F.when(m["kind"] == "begin", at).when(link | (m["kind"] == "stop"), -1).otherwise(s["link"]).alias("link"), (at + 1).alias("at"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: s["pairs"])
 
 
 def inline_runs(md: Column) -> Column:
-    """array<struct<t, b, i, c>>: styled pieces of a line of Markdown. Links keep their text, images their caption."""
-
-    def run(x: Column) -> Column:
-        kind = lambda t, b=0, i=0, c=0: F.struct(t.alias("t"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(c).alias("c"))
-        inner = lambda n: F.substring(x, F.lit(n + 1), F.length(x) - 2 * n)
-        n = F.length(x)
-        return (
-            F.when(x.rlike(r"^\\.$"), kind(F.substring(x, 2, 1)))
-            .when(x.rlike(r"^!\[.*\]\(.*\)$"), kind(F.concat(F.lit("［图："), F.regexp_extract(x, r"^!\[([^\]]*)\]", 1), F.lit("］"))))
-            .when(x.rlike(r"^\[.*\]\(.*\)$"), kind(F.regexp_extract(x, r"^\[([^\]]*)\]", 1)))
-            .when(x.rlike("^`[^`]+`$"), kind(inner(1), c=1))
-            .when(x.rlike(r"^\*\*\*.+\*\*\*$") & (n > 6), kind(inner(3), 1, 1))
-            .when(x.rlike(r"^\*\*.+\*\*$") & (n > 4), kind(inner(2), 1))
-            .when(x.rlike(r"^\*.+\*$|^_.+_$") & (n > 2), kind(inner(1), 0, 1))
-            .otherwise(kind(x))
-        )
-
-    return F.transform(F.regexp_extract_all(md, F.lit(INLINE), F.lit(0)), run)
+    """array<struct<t, b, i, c>>: styled pieces of a line of Markdown. Marks nest: bold may hold italic, code or a link, and
+    what isn't closed is text. A delimiter opens before what isn't white space and closes behind it; underscores don't within
+    a word. Links keep their text, images their caption. Null gives null."""
+    parts = F.regexp_extract_all(md, F.lit(INLINE), F.lit(0))
+    around = lambda a, k: F.coalesce(F.get(a, k), F.lit(" "))
+
+    def token(a: Column, x: Column, k: Column) -> Column:
+        before, after = F.substring(around(a, k - 1), -1, 1), F.substring(around(a, k + 1), 1, 1)
+        kind = (
+            F.when(x.rlike(r"^\\."), "escape").when(x.rlike(r"^!\[.*\]\("), "image").when(x.rlike(r"^\](?=\()"), "end").when(x == "[", "begin").when(x == "]", "stop")
+            .when(x.rlike("^`[^`]+`$"), "code").when(x.rlike(r"^\*+$"), "star").when(x == "_", "under").otherwise("text")
+        )
+        word = r"^[A-Za-z0-9_]$"
+        free = lambda c: (x != "_") | ~c.rlike(word)
+        return F.struct(kind.alias("kind"), F.length(x).alias("n"), (~after.rlike(r"^\s$") & free(before)).alias("opens"), (~before.rlike(r"^\s$") & free(after)).alias("closes"), x.alias("x"))
+
+    def styled(a: Column) -> Column:
+        return F.transform(F.array(_inline_pairs(a)), lambda pairs: finished(a, pairs))[0]
+
+    def finished(a: Column, pairs: Column) -> Column:
+        event = lambda at, order, b, i, n: F.struct(at.alias("at"), F.lit(order).alias("order"), b.alias("b"), i.alias("i"), n.alias("n"))
+        zero = F.lit(0)
+        opened, closed = F.transform(pairs, lambda p: event(p["lo"], 0, p["b"], p["i"], p["n"])), F.transform(pairs, lambda p: event(p["hi"], 1, -p["b"], -p["i"], p["n"]))
+        events = F.sort_array(F.concat(opened, closed, F.transform(a, lambda _, k: event(k, 2, zero, zero, zero))))
+
+        def sums(e: Column) -> Column:
+            one = lambda f: running_sums(F.transform(e, lambda v: v[f]))
+            return F.filter(F.arrays_zip(e.alias("e"), one("b").alias("b"), one("i").alias("i"), one("n").alias("n")), lambda z: z["e"]["order"] == 2)
+
+        return F.transform(F.array(F.transform(F.array(events), sums)[0]), lambda z: F.transform(a, lambda m, k: run(m, F.get(z, k), F.get(z, k - 1))))[0]
+
+    def run(m: Column, now: Column, last: Column) -> Column:
+        used = now["n"] - F.coalesce(last["n"], F.lit(0).cast("long"))
+        x, kind = m["x"], m["kind"]
+        text = (
+            F.when(kind == "escape", F.substring(x, 2, 1)).when(kind == "image", F.concat(F.lit("［图："), F.regexp_extract(x, r"^!\[([^\]]*)\]", 1), F.lit("］"))).when(kind == "code", F.substring(x, F.lit(2), m["n"] - 2))
+            .when(kind.isin("star", "under"), F.repeat(F.substring(x, 1, 1), (m["n"] - used).cast("int"))).when(kind.isin("begin", "end") & (used > 0), "").otherwise(x)
+        )
+        # What is left of a delimiter stands outside of what it opens or closes.
+        style = lambda f: F.when(kind.isin("star", "under"), F.least(now[f], F.coalesce(last[f], F.lit(0).cast("long")))).otherwise(now[f]).cast("int").alias(f)
+        return F.struct(text.alias("t"), style("b"), style("i"), (kind == "code").cast("int").alias("c"))
+
+    tokens = F.transform(F.array(parts), lambda a: F.transform(a, lambda x, k: token(a, x, k)))[0]
+    return F.filter(F.transform(F.array(tokens), styled)[0], lambda r: r["t"] != "")
 
 
 def display_hundredths(text: Column, code: Column) -> Column:

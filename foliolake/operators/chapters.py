@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolake.functions.scalars import normalize_title, sentences
+from foliolake.functions.scalars import normalize_title, running_sums, sentences
 from foliolake.operators.textstruct import html_blocks, md_blocks
 
 #: Pages and images a section without marks has, characters a paragraph may have, lines a page has.
@@ -111,14 +111,6 @@ def split_html_chapters(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "chap_no", normalize_title(F.col("title"), F.lit("正文")).alias("title"), "n_blocks", "n_chars")
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of an array's values up to each place, itself included, by doubling the stretch that is added up: a number of
-    passes that is the logarithm of the length, without a shuffle."""
-    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
-    steps = F.when(rounds > 0, F.transform(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, values.cast("array<long>"), lambda s, k: F.transform(s, lambda v, i: v + F.coalesce(F.get(s, i - k), F.lit(0).cast("long"))))
-
-
 def chunk_headingless(docs: DataFrame, most: int = PARAGRAPH, section: int = SECTION_CHARS) -> DataFrame:
     """Paragraphs of texts without headings: doc_id, para_no, chap_no, text. Sentences longer than ``most`` characters are
     cut; a new section starts after so many characters. Characters are added up within the row."""

@@ -139,6 +139,21 @@ def p12_inline_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("conv_id", "turn", F.array_join(F.transform("r", lambda x: x["t"]), "").alias("plain"), n("b").alias("bold"), n("i").alias("italic"), n("c").alias("code"))
 
 
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, text AS t, regexp_replace(text, '[\[\]]', '', 'g') AS l FROM conversations)
+SELECT conv_id, turn, md5('a' || t || 'z a' || t || 'z k a' || l || 'z a' || t || 'z*_' || t || 'z') AS plain, 3 * length(t) + length(l) + 13 AS bold, length(t) + length(l) + 7 AS italic, 1 AS code FROM c"""
+)
+def p12_nested_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """All characters of all turns in nested marks: bold around italic around code and a link, and delimiters that close
+    nothing. Plain text and the characters in each style."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.regexp_replace("text", r"([\\*_`!\[\]])", r"\\$1").alias("e"), F.regexp_replace(F.regexp_replace("text", r"[\[\]]", ""), r"([\\*_`!])", r"\\$1").alias("l"))
+    piece = lambda c: F.concat(F.lit("a"), F.col(c), F.lit("z"))
+    md = F.concat(F.lit("**"), piece("e"), F.lit(" *"), piece("e"), F.lit(" `k` ["), piece("l"), F.lit("](http://a.b/c_d)* "), piece("e"), F.lit("***_"), F.col("e"), F.lit("z"))
+    runs = t.select("conv_id", "turn", P.inline_runs(md).alias("r"))
+    n = lambda f: F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + F.when(x[f] == 1, F.length(x["t"])).otherwise(0))
+    return runs.select("conv_id", "turn", F.md5(F.array_join(F.transform("r", lambda x: x["t"]), "")).alias("plain"), n("b").alias("bold"), n("i").alias("italic"), n("c").alias("code"))
+
+
 @query("SELECT doc_id, CAST((length(text) + 2) * CASE WHEN doc_id % 3 = 0 THEN 62 ELSE 55 END + 2 * CASE WHEN doc_id % 3 = 0 THEN 38 ELSE 45 END AS DOUBLE) / 100 AS width FROM documents")
 def p13_display_width(spark: SparkSession, sf: str) -> DataFrame:
     """Display width of whole texts with two wide characters, monospaced by turns."""
