@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions.scalars import glyph_by_rule, utf16_text
+from foliolake.sources.shared import deal
 
 #: Codes that one range may have.
 MOST_CODES = 65_536
+#: Codes in a partition of fonts.
+DEALT_CODES = 2**19
 #: Glyph names that no rule gives, and their texts. Single Latin letters stand for themselves.
 GLYPHS = {
     "Agrave": "À", "Aacute": "Á", "Acircumflex": "Â", "Atilde": "Ã", "Adieresis": "Ä", "Aring": "Å", "Ccedilla": "Ç", "Egrave": "È", "Eacute": "É", "Ecircumflex": "Ê",
@@ -79,12 +82,13 @@ def expand_ranges(ranges: DataFrame) -> DataFrame:
     ``hi``; a range has at most ``MOST_CODES`` codes. Keys of up to two hex digits are one byte.
     """
     base = ranges.select("font_id", "kind", "dst", (F.when(F.col("kind") == "char", 0).otherwise(1)).alias("pass"), "seq", F.when(F.length("lo") <= 2, 1).otherwise(2).alias("code_len"), _number(F.col("lo")).alias("lo"), _number(F.col("hi")).alias("hi"))
-    last = F.least(F.col("hi"), F.col("lo") + MOST_CODES - 1)
-    runs = base.where("kind = 'range' AND hi >= lo").select("font_id", "pass", "seq", "code_len", "dst", "lo", F.explode(F.sequence("lo", last)).alias("code"))
-    runs = runs.select("font_id", "pass", "seq", "code_len", "code", _plus(F.element_at("dst", 1), F.col("code") - F.col("lo")).alias("to"))
-    lists = base.where("kind = 'array'").select("font_id", "pass", "seq", "code_len", "lo", F.posexplode("dst").alias("k", "to")).select("font_id", "pass", "seq", "code_len", (F.col("lo") + F.col("k")).alias("code"), "to")
-    ones = base.where("kind = 'char'").select("font_id", "pass", "seq", "code_len", F.col("lo").alias("code"), F.element_at("dst", 1).alias("to"))
-    every = ones.unionByName(runs).unionByName(lists)
+    kind, last = F.col("kind"), F.least(F.col("hi"), F.col("lo") + MOST_CODES - 1)
+    n = F.when((kind == "range") & (F.col("hi") >= F.col("lo")), last - F.col("lo") + 1).when((kind == "array") & (F.size("dst") > 0), F.size("dst").cast("long")).when(kind == "char", F.lit(1).cast("long"))
+    # Fonts are dealt by their codes before these are made, so that their codes are sorted in memory and don't move.
+    dealt = deal(base.withColumn("n", n).where("n > 0"), ["font_id"], F.col("n"), DEALT_CODES)
+    codes = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
+    to = F.when(kind == "range", _plus(F.element_at("dst", 1), F.col("k"))).when(kind == "array", F.get("dst", F.col("k"))).otherwise(F.element_at("dst", 1))
+    every = codes.select("font_id", "code_len", (F.col("lo") + F.col("k")).alias("code"), "pass", "seq", to.alias("to"))
     return every.groupBy("font_id", "code_len", "code").agg(F.max_by("to", F.struct("pass", "seq")).alias("to")).select("font_id", "code_len", "code", utf16(F.col("to")).alias("uni"))
 
 
