@@ -28,8 +28,12 @@ def merge_newest(batch: DataFrame, out: str, buckets: int = BUCKETS) -> None:
     books are read and written, so an import costs what it touches, and a batch that is tried again changes nothing.
     """
     spark = batch.sparkSession
-    ties = [F.desc(f.name) for f in batch.schema.fields if f.name not in ("doc_id", "imported") and f.dataType.typeName() in ("string", "binary", "long", "integer")]
-    newest = batch.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("imported"), *ties))).where("_n = 1").drop("_n")
+    ties = [f.name for f in batch.schema.fields if f.name not in ("doc_id", "imported") and f.dataType.typeName() in ("string", "binary", "long", "integer")]
+    order = F.struct("imported", *ties)
+    rest = [c for c in batch.columns if c not in ("doc_id", "imported", *ties)]
+    # Greatest rows rather than numbered ones: what asks for the keys alone doesn't read and move the contents.
+    best = batch.groupBy("doc_id").agg(F.max("imported").alias("imported"), F.max(order).alias("_best"), *([F.max_by(F.struct(*rest), order).alias("_rest")] if rest else []))
+    newest = best.select("doc_id", "imported", *(F.col("_best")[c].alias(c) for c in ties), *(F.col("_rest")[c].alias(c) for c in rest)).select(batch.columns)
     known = read_books(spark, out, TABLE, schema=f"doc_id {batch.schema['doc_id'].dataType.simpleString()}, imported timestamp")
     had = known.select("doc_id", F.col("imported").alias("_had")).join(batch.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     fresh = newest.join(had.hint("merge"), "doc_id", "left").where("_had IS NULL OR _had <= imported").drop("_had")
