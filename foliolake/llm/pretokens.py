@@ -17,6 +17,9 @@ from collections.abc import Callable
 _RUN = re.compile(r"[ \n](?:\s|\Z)")
 #: The ids of longer pieces are not kept, so that the memo's size in bytes has a bound.
 LONGEST = 48
+#: Pieces in a generation of a memo, by what it is for: pieces after a blank are most of a text. An encoder has three memos
+#: of two generations, so this bounds a Python worker's memory; frequent pieces go from the old generation to the young one.
+MEMO, MEMO_REST = 60_000, 300_000
 #: Characters that stand for the 256 bytes in public byte-level BPE vocabularies: printable Latin-1 as it is, the others
 #: in order from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,7 +43,7 @@ class Memo(dict):
     """From pieces to their ids, little-endian 32-bit integers; what isn't known is computed. There are two generations
     of at most ``size`` pieces: when the young one is full, it becomes the old one."""
 
-    def __init__(self, encode: Callable[[str], bytes], size: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], size: int = MEMO):
         super().__init__()
         self.encode, self.size, self.old = encode, size, {}
 
@@ -64,7 +67,7 @@ class Encoder:
         self.pre = Memo(lambda p: encode([p]))
         # A piece of letters alone is one pre-token, with or without a blank before it.
         self.first = Memo(lambda p: encode([p] if p.isalpha() else findall(p)) if p else b"")
-        self.rest = Memo(lambda p: encode([" " + p] if p.isalpha() else findall(" " + p)))
+        self.rest = Memo(lambda p: encode([" " + p] if p.isalpha() else findall(" " + p)), MEMO_REST)
         self.line_end = encode(["\n"])
 
     def __call__(self, text: str) -> bytes:

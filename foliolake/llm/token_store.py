@@ -171,4 +171,9 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
 
 def ids_crc32(ids: str) -> Column:
     """Unsigned crc32 of a column of ids as little-endian unsigned 32-bit integers."""
-    return F.pandas_udf(lambda x: x.map(lambda v: zlib.crc32(np.asarray(v, "<u4").tobytes())), "bigint")(ids)
+
+    def crc32(lists: pa.Array) -> pa.Array:
+        data, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy().tolist()
+        return pa.array([zlib.crc32(data[i:j]) for i, j in zip(ends, ends[1:])], pa.int64())
+
+    return F.arrow_udf(crc32, "bigint")(ids)
