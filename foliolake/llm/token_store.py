@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake.llm.bpe_codec import list_array
-from foliolake.llm.pretokens import Encoder, mapped, packed
+from foliolake.llm.pretokens import Encoder, mapped_text, packed
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC = b"BPS1"
@@ -82,10 +82,10 @@ def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model  # the BPE itself: the texts are cut by the pattern before
+    tokenize = tokenizer.model.tokenize  # the BPE itself: the texts are cut by the pattern before
 
     def encode(tokens: list[str]) -> bytes:
-        return packed([t.id for p in tokens for t in model.tokenize(mapped(p.encode()))])
+        return packed([t.id for p in tokens for t in tokenize(mapped_text(p))])
 
     plain = Encoder(regex.compile(pattern).findall, encode)
     added = {t.content: (packed([i]), t) for i, t in tokenizer.get_added_tokens_decoder().items()}
