@@ -80,12 +80,14 @@ def is_mono_font(name: Column) -> Column:
 
 def advance_hundredths(text: Column, mono: Column) -> Column:
     """Approximate advance of a text in hundredths of an em, an integer, so that sums don't depend on order."""
-    # Texts of one-byte characters, most of all texts, have nothing wide, and need no pattern.
-    ascii_only = F.octet_length(text) == F.length(text)
+    # Texts of one-byte characters, most of all texts, have nothing wide, and need no pattern; without a blank, as words are,
+    # nothing is looked for in them.
+    ascii_only, each = F.octet_length(text) == F.length(text), F.when(mono, ADVANCE["other_mono"]).otherwise(ADVANCE["other"])
     blank = F.length(text) - F.length(F.translate(text, BLANK.strip("[]"), ""))
     wide = F.when(ascii_only, 0).otherwise(F.regexp_count(text, F.lit(WIDE)))
     other = F.length(text) - blank - wide
-    return blank * F.when(mono, ADVANCE["blank_mono"]).otherwise(ADVANCE["blank"]) + wide * ADVANCE["wide"] + other * F.when(mono, ADVANCE["other_mono"]).otherwise(ADVANCE["other"])
+    some = blank * F.when(mono, ADVANCE["blank_mono"]).otherwise(ADVANCE["blank"]) + wide * ADVANCE["wide"] + other * each
+    return F.when(ascii_only & ~F.contains(text, F.lit(" ")), F.length(text) * each).otherwise(some)
 
 
 def approx_advance(text: Column, fs: Column, mono: Column) -> Column:

@@ -2,8 +2,10 @@
 
 import random
 
+from foliolake.functions import scalars as P
 from foliolake.operators import layout as L
 from foliolake.plans import catalog
+from pyspark.sql import functions as F
 from same import rows_of
 from test_line_arrays import SPAN, some_pages
 
@@ -38,3 +40,9 @@ def test_one_pass_against_the_steps(spark):
 def test_documents_are_taken_apart_once(spark, sf):
     plan = catalog.QUERIES["l10_interleave_images"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("ArrowAggregatePython") == 1 and "Window [row_number" not in plan
+
+
+def test_advances_of_words_and_blanks(spark):
+    want = {("abc", False): 135, ("abc", True): 165, ("", False): 0, (" ", False): 25, ("a b", True): 165, ("a\u00a0b", False): 115, ("中b", False): 140, ("é", True): 55, (None, False): None, ("ab", None): 90, (" ", None): 25}
+    rows = spark.createDataFrame(list(want), "text string, mono boolean")
+    assert {(r.text, r.mono): r.n for r in rows.withColumn("n", P.advance_hundredths(F.col("text"), F.col("mono"))).collect()} == want
